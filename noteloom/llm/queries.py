@@ -13,6 +13,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -54,7 +60,7 @@ FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes >=
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op3_warc, op4_simhash, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import materialize
 from .tokens import STOPS, default_path, stem, vocabulary, words_of
 
 #: Entries that a counter holds before a task sends it on.
@@ -75,11 +75,24 @@ def pretoken_table(docs: DataFrame, text_col: str = "text", tokenizer: str | Non
     return distinct.mapInArrow(sizes, "pretoken string, freq long, n_tokens long")
 
 
+def frequent_from(table: DataFrame, most: int) -> float:
+    """A frequency that at most `most` pre-tokens reach, from counts per step of 1/8 of a doubling (some hundred rows)."""
+    step = F.ceil(F.log2("freq") * 8)
+    rows = table.groupBy(step.alias("step")).agg(F.min("freq").alias("least"), F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    cut, total = float("inf"), 0
+    for r in rows:
+        total += r.n
+        if total > most:
+            break
+        cut = r.least
+    return cut
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
     """Per row of `docs`: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
     spark = docs.sparkSession
     table = materialize(pretoken_table(docs, text_col, tokenizer), "pretokens")
-    top = table.orderBy(F.desc("freq"), "pretoken").limit(frequent).select("pretoken", "n_tokens").toPandas()
+    top = table.filter(F.col("freq") >= frequent_from(table, frequent)).select("pretoken", "n_tokens").toPandas()
     hot = spark.sparkContext.broadcast(dict(zip(top.pretoken, map(int, top.n_tokens))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

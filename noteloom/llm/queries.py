@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -60,7 +66,7 @@ FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes >=
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc, op4_simhash, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_simhash, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

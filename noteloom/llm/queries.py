@@ -13,6 +13,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -25,6 +31,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -66,7 +78,7 @@ FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes >=
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_simhash, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

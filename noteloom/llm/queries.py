@@ -46,6 +46,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -77,9 +83,29 @@ FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes >=
 """
 
 
+OP7_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+), c AS (
+  SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id
+), longer AS (
+  SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)
+), kept AS (
+  SELECT min(conv_id) AS conv_id FROM c WHERE turns NOT IN (SELECT turns FROM longer) GROUP BY turns
+)
+SELECT t.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
+"""
+
+#: Sizes follow the contract's words; the copies themselves draw on a hash that DuckDB does not have, so op6 has no SQL.
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op8_packing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL}

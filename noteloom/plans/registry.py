@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import base
+
+MODULES = ("reports",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"noteloom.plans.{name}")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["follow_through"](spark, sf_dir)
+    return queries()["r11_surface_stats"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(base.SQL)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import base
 
-MODULES = ("reports",)
+MODULES = ("reports", "notes", "tags")
 
 
 def _load() -> None:

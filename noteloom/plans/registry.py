@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import base
 
-MODULES = ("reports", "notes", "tags", "graph")
+MODULES = ("reports", "notes", "tags", "graph", "search")
 
 
 def _load() -> None:

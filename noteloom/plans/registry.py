@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import base
 
-MODULES = ("reports", "notes", "tags", "graph", "search")
+MODULES = ("reports", "notes", "tags", "graph", "search", "vectors", "lifecycle")
 
 
 def _load() -> None:

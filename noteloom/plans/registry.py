@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import base
 
-MODULES = ("reports", "notes", "tags", "graph", "search", "vectors", "lifecycle")
+MODULES = ("reports", "notes", "tags", "graph", "vectors", "search", "lifecycle", "transcripts", "triggers", "bus")
 
 
 def _load() -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noteloom.operators import bus as B
 
@@ -53,59 +54,43 @@ def cursor_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def warnings(fires: DataFrame, most: int = 2) -> DataFrame:
-    """The first `most` notes that fire in a session, each once, by state per session (B9). Columns: session, doc_id, at."""
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Seen(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.shown = handle.getListState("shown", "doc_id long", ttlDurationMs=7 * 86_400_000)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            shown = [r[0] for r in self.shown.get()]
-            out = []
-            batch = pd.concat(list(rows)).sort_values(["at", "doc_id"])
-            for r in batch.itertuples():
-                show = r.doc_id not in shown and len(shown) < most
-                if show:
-                    shown.append(int(r.doc_id))
-                out.append((key[0], int(r.doc_id), show))
-            self.shown.put([(d,) for d in shown])
-            yield pd.DataFrame(out, columns=["session", "doc_id", "shown"])
-
-        def close(self) -> None:
-            pass
-
-    return fires.groupBy("session").transformWithStateInPandas(Seen(), outputStructType="session string, doc_id long, shown boolean", outputMode="Append", timeMode="ProcessingTime")
+    """The first `most` notes that fire in a session, each once, by state per session that lives 7 days (B9). Columns: session, doc_id, at."""
+
+    def warn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        shown = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["at", "doc_id"])
+        out = []
+        for doc_id in rows.doc_id:
+            show = doc_id not in shown and len(shown) < most
+            if show:
+                shown.append(int(doc_id))
+            out.append((key[0], int(doc_id), show))
+        state.update((shown,))
+        state.setTimeoutDuration(7 * 86_400_000)
+        yield pd.DataFrame(out, columns=["session", "doc_id", "shown"])
+
+    return fires.groupBy("session").applyInPandasWithState(warn, "session string, doc_id long, shown boolean", "ids array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def present(beats: DataFrame, seconds: int = 300) -> DataFrame:
-    """Sessions that came alive, and that fell silent for `seconds`, by a timer per session (B6). Columns: session, at."""
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Presence(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.timer = handle.getValueState("timer", "at long")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            n = sum(len(r) for r in rows)
-            fresh = not self.timer.exists()
-            if not fresh:
-                self.handle.deleteTimer(self.timer.get()[0])
-            at = timers.getCurrentProcessingTimeInMs() + 1000 * seconds
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
-            if n and fresh:
-                yield pd.DataFrame({"session": [key[0]], "live": [True]})
-
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-            self.timer.clear()
-            yield pd.DataFrame({"session": [key[0]], "live": [False]})
+    """Sessions that came alive, and that fell silent for `seconds`, by a timeout per session (B6). Columns: session, at."""
 
-        def close(self) -> None:
-            pass
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"session": [key[0]], "live": [False]})
+            return
+        beats_now = sum(len(f) for f in frames)
+        fresh = not state.exists
+        state.update((beats_now + (0 if fresh else state.get[0]),))
+        state.setTimeoutDuration(1000 * seconds)
+        if fresh:
+            yield pd.DataFrame({"session": [key[0]], "live": [True]})
 
-    return beats.groupBy("session").transformWithStateInPandas(Presence(), outputStructType="session string, live boolean", outputMode="Append", timeMode="ProcessingTime")
+    return beats.groupBy("session").applyInPandasWithState(watch, "session string, live boolean", "beats long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def late_facts(held_path: str, late_path: str) -> Callable[[DataFrame, int], None]:
@@ -125,9 +110,12 @@ def late_facts(held_path: str, late_path: str) -> Callable[[DataFrame, int], Non
     return run
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str = "append", table: str = "drained") -> DataFrame:
-    """Run a stream over what is there now and return what it sent out (tests and backfills)."""
+def drain(stream: DataFrame, checkpoint: str, mode: str = "append", table: str = "drained", timers: bool = False) -> DataFrame:
+    """Run a stream over what is there now and return what it sent out (tests and backfills).
+
+    With `timers`, batches without data are off: timeouts ask for them again and again, and the run would not end."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not timers).lower())
     q = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(table)

@@ -10,6 +10,12 @@ and a search adds up the differences from group to group and drops a whole group
 A leaf sends out only the edges of a spanning forest of the links that it found; components follow from rounds of large
 and small stars over edges.
 
+The corpus stage `without_near_copies` has another test: two texts are near copies where the sets of their five-word
+shingles have a Jaccard similarity of 0.8 or more. At 0.8 fingerprints differ in ten bits of 64 on average and often in
+15, for which the index above would need blocks of four bits, so MinHash bands propose the pairs and the exact similarity
+confirms them. The member of a band that shares most bands with others is compared with all its members first; then all
+pairs of a band whose ends are still in different components.
+
 Nulls: a null text is empty, and all empty texts share fingerprint zero; null ids are never a component's id unless all
 its ids are null. Repeated rows stay rows. An empty table gives an empty table. Extra columns are kept by
 `without_near_copies`.
@@ -32,22 +38,32 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 LEAF = 1024
 #: Neighbours in Gray order that form a group.
 GROUP = 16
+#: Near copies of the corpus stage: words of a shingle, least Jaccard similarity, bands of MinHash values and values of a
+#: band. A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999.
+COPY_SHINGLE, COPY, BANDS, VALUES = 5, 0.8, 24, 5
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit majority of the hashed word shingles of a text, as an unsigned number."""
+def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashed word shingles of a text in order; a text of fewer words is one shingle, an empty one has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= size:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())), np.uint64, n - size + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())), np.uint64, n - size + 1)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit majority of the hashed word shingles of a text, as an unsigned number."""
+    hashes = shingle_hashes(text, size, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -208,10 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
 
 
-def with_components(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """(…, doc_id, fp), written already, with component (a fingerprint of it) and component_id (the smallest doc_id that a row reaches)."""
+def with_components(rows: DataFrame, leaf: int = LEAF, edges: DataFrame | None = None) -> DataFrame:
+    """(…, doc_id, fp), written already, with component (a fingerprint of it) and component_id (the smallest doc_id that a row
+    reaches); over the given edges (u, v) between values of fp, or else over fingerprints within the distance."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
-    groups = components(links(distinct, leaf))
+    groups = components(links(distinct, leaf) if edges is None else edges)
     joined = distinct.join(groups.withColumnRenamed("u", "fp"), "fp")
     lowest = joined.groupBy("root").agg(F.min("low").alias("lowest"))
     moved = materialize(joined.join(lowest, "root").select("fp", "root", "lowest"), "components")
@@ -225,12 +242,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_components(rows, leaf).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """One row of each component, with its columns: that of the smallest id (of repeated rows, the first as stored)."""
-    rid, fp = free_name(docs, "near_row"), free_name(docs, "near_fp")
-    tagged = materialize(docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(fp, fingerprints(F.col(text_col))), "tagged")
-    rows = tagged.select(F.col(rid).alias("rid"), F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
-    grouped = materialize(with_components(rows, leaf).select("rid", "doc_id", "component", "component_id"), "grouped")
+def signatures(text: Column) -> Column:
+    """struct<a, b, n, bands> of a text: 128 bits that tell its shingle set, the set's size, and its MinHash bands."""
+
+    @F.pandas_udf("a long, b long, n long, bands array<long>")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        odd = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * VALUES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        rows = []
+        for t in texts:
+            found = np.unique(shingle_hashes(t, COPY_SHINGLE))
+            a, b = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64).tolist()
+            least = np.full(BANDS * VALUES, ~np.uint64(0))
+            for at in range(0, len(found), 1 << 12):
+                least = np.minimum(least, (found[at : at + (1 << 12)] * odd).min(1))
+            bands = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, VALUES))] if len(found) else []
+            rows.append((a, b, len(found), np.array(bands, np.uint64).view(np.int64)))
+        return pd.DataFrame(rows, columns=["a", "b", "n", "bands"])
+
+    return sign(text)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts (fp, text) have the similarity of near copies."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        sets: dict[str, np.ndarray] = {}
+        out = []
+        for pair in zip(a, b):
+            for t in pair:
+                if t not in sets:
+                    sets[t] = np.unique(shingle_hashes(t, COPY_SHINGLE))
+            x, y = sets[pair[0]], sets[pair[1]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= COPY * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    end = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
+    return pairs.join(end("u"), "u").join(end("v"), "v").filter(alike("text_u", "text_v")).select("u", "v")
+
+
+def copy_links(sets: DataFrame) -> DataFrame:
+    """Edges (u, v) whose components are those of all near copies that share a band; from (fp, n, bands, text)."""
+    banded = materialize(sets.select("fp", "n", F.explode("bands").alias("band")), "bands")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(banded.join(sizes, "band"), "bands")
+    discard(banded)
+    weight = materialize(shared.groupBy("fp").agg(F.sum("size").alias("weight")), "weights")
+    texts = materialize(sets.select("fp", "text").join(weight, "fp", "left_semi"), "texts")
+    # lengths alone rule out pairs that cannot reach the similarity
+    close = F.least("n", "m") >= COPY * F.greatest("n", "m")
+    pair = (F.least("fp", "gp").alias("u"), F.greatest("fp", "gp").alias("v"))
+
+    first = shared.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "n")).alias("x")).select("band", F.col("x.fp").alias("gp"), F.col("x.n").alias("m"))
+    begun = materialize(shared.join(first, "band").filter((F.col("fp") != F.col("gp")) & close).select(*pair).distinct(), "pairs")
+    found = materialize(confirmed(begun, texts), "links")
+    root = components(found).select(F.col("u").alias("fp"), "root")
+    rooted = materialize(shared.join(root, "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    left = materialize(rooted.join(mixed, "band", "left_semi"), "rooted")
+    other = left.select("band", F.col("fp").alias("gp"), F.col("n").alias("m"), F.col("root").alias("other"))
+    more = left.join(other, "band").filter((F.col("root") < F.col("other")) & close).select(*pair).distinct().join(begun, ["u", "v"], "left_anti")
+    return found.unionByName(materialize(confirmed(more, texts), "links"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near copies, with its columns: that of the smallest id (of repeated rows, the first as stored)."""
+    rid, sign = free_name(docs, "near_row"), free_name(docs, "near_sign")
+    tagged = materialize(docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(sign, signatures(F.col(text_col))), "tagged")
+    each = tagged.select(F.col(rid).alias("rid"), F.col(id_col).alias("doc_id"), F.col(f"{sign}.a").alias("a"), F.col(f"{sign}.b").alias("b"))
+    # texts of equal shingle sets are one entry, named by its first row
+    entries = materialize(each.groupBy("a", "b").agg(F.min("rid").alias("fp")), "entries")
+    rows = materialize(each.join(entries, ["a", "b"]).select("rid", "doc_id", "fp"), "rows")
+    sets = tagged.select(F.col(rid).alias("fp"), F.col(f"{sign}.n").alias("n"), F.col(f"{sign}.bands").alias("bands"), F.col(text_col).alias("text")).join(entries, "fp", "left_semi")
+    grouped = materialize(with_components(rows, edges=copy_links(sets)).select("rid", "doc_id", "component", "component_id"), "grouped")
     # a component's smallest id is that of the row to keep; among rows with that id (repeats, or all null) the first one stays
     first = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("rid").alias("first"))
     keep = first.select(F.col("first").alias(rid))

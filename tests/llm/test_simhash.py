@@ -75,3 +75,37 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(0, "other"), (1, ""), (3, "alpha"), (4, "long ")]
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_copies(texts):
+    """Components over five-word Jaccard similarities of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_corpus_loses_all_near_copies(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(0, 5000))
+    texts = []
+    for n in (20, 60, 120, 240, 400):
+        base = [word() for _ in range(n)]
+        for k in (0, 0, 1, 1, 2, 2, 3, 4, 5, 6, 8, 12, 20):  # words replaced: similarities from 1 to under 0.8
+            w = list(base)
+            for at in rng.choice(n, k, replace=False):
+                w[at] = word()
+            texts.append(" ".join(w))
+        texts += [" ".join(base[: n * 9 // 10]), " ".join(base[n // 3 :]), " ".join(base).upper() + "\n"]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute_copies(texts))
+    assert 20 < len(want) < len(texts) - 20
+    assert {r.doc_id for r in S.without_near_copies(docs).collect()} == want

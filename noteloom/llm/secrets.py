@@ -7,6 +7,8 @@ test about the alphabet's middle and a test of lag-1 serial correlation. Under t
 count of equal pairs and of changes between lower case, upper case and digits give a p-value, and candidates of like
 length are judged together by the Benjamini-Hochberg rule over the whole table: long strings can prove more, so they do
 not share a threshold with short ones. P-values are counted in steps of a quarter bit, so the rule needs some hundred rows.
+A run that meets base spans is a candidate as a whole and so is what the base spans leave of it; it counts where it
+reaches beyond them, and then stands for its remainders.
 
 Nulls: a null text is empty, null ids are kept. Repeated rows stay rows. An empty table gives an empty table. Extra
 columns are kept by `masked`.
@@ -23,6 +25,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+KEY = "[A-Za-z0-9+/_-]"
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets, narrowest first, with the pattern of a string that uses it and no narrower one.
 ALPHABETS = (
@@ -135,10 +138,44 @@ def tested(found: Column) -> Column:
     return found
 
 
+def base_spans(text: Column) -> Column:
+    """Base spans as sorted array<struct<start, kind, end>>; kind is a place in KINDS."""
+    return F.array_sort(F.concat(plain(spans(text, ASSIGN, 2, 6), 0), plain(spans(text, ACCESS, 0, 0), 1), plain(spans(text, HEX, 0, 0), 2)))
+
+
+def plain(xs: Column, kind: int) -> Column:
+    return F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+
+def blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans, so that places stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(acc["at"], x["start"])
+        end = F.greatest(acc["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
+
+    walked = F.aggregate(base, zero, step)
+    return F.when(F.size(base) > 0, F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def with_candidates(docs: DataFrame, text_col: str, base_name: str, blank_name: str, all_name: str) -> DataFrame:
+    """`docs` with base spans, the blanked text, and tested candidates: runs of the text, and what base spans leave of them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn(base_name, base_spans(text))
+    rows = rows.withColumn(blank_name, blanked(text, F.col(base_name)))
+    left = spans(F.col(blank_name), CANDIDATE)
+    runs = F.when(F.size(base_name) > 0, spans(text, CANDIDATE)).otherwise(F.slice(left, 1, 0))
+    # without base spans both are the same; with them, runs that no span meets are in both
+    return rows.withColumn(all_name, F.array_union(left, runs)).withColumn(all_name, tested(F.col(all_name)))
+
+
 def thresholds(docs: DataFrame, text_col: str = "text", false: float = FALSE) -> dict[int, int]:
     """For each stratum, the least step at which the share of false discoveries stays under `false` (at most 5 rows)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.filter(text.rlike(CANDIDATE)).select(F.explode(tested(spans(text, CANDIDATE))).alias("c"))
+    rows = docs.select(F.col(text_col).alias("text")).filter(text.rlike(CANDIDATE))
+    each = with_candidates(rows, "text", "base", "blank", "found").select(F.explode("found").alias("c"))
     counts = each.groupBy("c.stratum", "c.step").agg(F.count("*").alias("n"))
     out: dict[int, int] = {}
     total: dict[int, int] = {}
@@ -153,25 +190,6 @@ def thresholds(docs: DataFrame, text_col: str = "text", false: float = FALSE) ->
     return out
 
 
-def all_spans(docs: DataFrame, text_col: str = "text") -> tuple[Column, Column]:
-    """(base spans, random spans) of a row as sorted array<struct<start, kind, end>>; kind is a place in KINDS."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    limits = thresholds(docs, text_col)
-    plain = lambda xs, kind: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    base = F.array_sort(F.concat(plain(spans(text, ASSIGN, 2, 6), 0), plain(spans(text, ACCESS, 0, 0), 1), plain(spans(text, HEX, 0, 0), 2)))
-    if not limits:
-        return base, F.slice(base, 1, 0)
-
-    def sure(c: Column) -> Column:
-        ok = F.lit(False)
-        for stratum, step in limits.items():
-            ok = ok | ((c["stratum"] == stratum) & (c["step"] >= step))
-        return ok & (c["p_random"] >= LEVEL)
-
-    extra = plain(F.filter(tested(spans(text, CANDIDATE)), sure), 3)
-    return base, extra
-
-
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random."""
     rows = with_spans(docs, text_col)
@@ -190,11 +208,22 @@ def written(xs: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", base_name: str = "secret_base", all_name: str = "secret_spans") -> DataFrame:
-    """`docs` with its base spans and all spans; a random span that meets a base span is left out."""
-    base, extra = all_spans(docs, text_col)
-    rows = docs.withColumn(base_name, base).withColumn(all_name, extra)
-    apart = lambda x: ~F.exists(F.col(base_name), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return rows.withColumn(all_name, F.array_sort(F.concat(F.col(base_name), F.filter(F.col(all_name), apart))))
+    """`docs` with its base spans and all spans; a random span is there where base spans do not cover its characters."""
+    limits = thresholds(docs, text_col)
+    if not limits:
+        rows = docs.withColumn(base_name, base_spans(F.coalesce(F.col(text_col), F.lit(""))))
+        return rows.withColumn(all_name, F.col(base_name))
+    blank = free_name(docs, "secret_blank")
+
+    def sure(c: Column) -> Column:
+        ok = F.lit(False)
+        for stratum, step in limits.items():
+            ok = ok | ((c["stratum"] == stratum) & (c["step"] >= step))
+        return ok & (c["p_random"] >= LEVEL) & F.substring(F.col(blank), c["start"] + 1, c["end"] - c["start"]).rlike(KEY)
+
+    rows = with_candidates(docs, text_col, base_name, blank, all_name).withColumn(all_name, plain(F.filter(F.col(all_name), sure), 3))
+    around = lambda x: F.exists(F.col(all_name), lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))
+    return rows.withColumn(all_name, F.array_sort(F.concat(F.col(base_name), F.filter(F.col(all_name), lambda x: ~around(x))))).drop(blank)
 
 
 def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = None, mask: str = "[masked]") -> DataFrame:

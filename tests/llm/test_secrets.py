@@ -52,3 +52,20 @@ def test_masking(spark):
     assert got[1].text == "é a [masked] b" and got[1].n_chars == 14
     assert (got[2].text, got[2].n_chars, got[3].text, got[3].n_chars, got[4].text) == ("clean", 5, None, None, "[masked]")
     assert S.scanned(docs.limit(0)).count() == 0
+
+
+def test_keys_beside_base_spans(spark):
+    rng = random.Random(7)
+    draw = lambda n, of=string.ascii_letters + string.digits: "".join(rng.choices(of, k=n))
+    rows = ["a " + draw(40) + " b" for _ in range(60)] + ["".join(rng.choices(["the", "tion", "ing", "er"], k=8)) for _ in range(60)]
+    joined = [("AKIA" + draw(16, string.ascii_uppercase + string.digits), "/" + draw(40)) for _ in range(30)]
+    inside = [(draw(24), draw(32, "0123456789abcdef"), draw(24)) for _ in range(30)]
+    padded = "see " + "0123456789abcdef" * 3 + "== there"
+    texts = rows + [f"é id {''.join(x)} end" for x in joined + inside] + [padded]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.masked(docs).collect()}
+    n = {r.doc_id: r.n_random for r in S.scanned(docs).collect()}
+    kept = [any(p in out[len(rows) + i] for p in x) for i, x in enumerate(joined + inside)]
+    assert sum(kept[:30]) <= 3 and sum(kept[30:]) <= 3
+    assert sum(n[len(rows) + i] >= 1 for i in range(60)) >= 54
+    assert out[len(texts) - 1] == "see [masked]== there" and n[len(texts) - 1] == 0

@@ -80,17 +80,17 @@ def strongest(tags: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:
     return scored(j, n).orderBy(F.desc("score"), F.desc("cooccur"), "a", "b").limit(limit).select("a", "b", "cooccur", "lift", "score")
 
 
-def mentions(notes: DataFrame, entities: DataFrame, most_words: int = 4) -> DataFrame:
+def mentions(notes: DataFrame, entities: DataFrame, key_words: int = 4) -> DataFrame:
     """(id, entity): notes whose text names an entity at word boundaries (K8).
 
-    Word n-grams of notes meet entity names by an equi-join; only then is the boundary rule checked, so no note is
-    compared with all names."""
+    Word n-grams of notes meet the first `key_words` words of entity names by an equi-join; only then is the boundary rule
+    checked on the whole name, so no note is compared with all names."""
     names = entities.select(F.col("entity"), F.lower(F.trim("name")).alias("name")).filter((F.length("name") >= 3) & ~F.col("name").rlike("^[0-9]+$"))
-    key = lambda c: F.array_join(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), " ")
-    named = names.withColumn("key", key(F.col("name"))).withColumn("k", F.size(F.split("key", " "))).filter(F.col("k") <= most_words)
+    key = lambda c: F.array_join(F.slice(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), 1, key_words), " ")
+    named = names.withColumn("key", key(F.col("name"))).withColumn("k", F.size(F.split("key", " ")))
     text = F.lower(F.concat_ws("\n", "title", "content"))
     words = notes.select("id", F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "").alias("w"))
-    sizes = [r.k for r in named.select("k").distinct().collect()]  # at most most_words numbers
+    sizes = [r.k for r in named.select("k").distinct().collect()]  # at most key_words numbers
     grams = None
     for k in sizes:
         one = words.filter(F.size("w") >= k).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))).alias("key"))

@@ -20,3 +20,9 @@ def test_mentions_need_boundaries(spark):
     notes = spark.createDataFrame([(1, "The auth-service", "x"), (2, "t", "auth-services"), (3, "t", "pre_auth-service"), (4, "t", "(AUTH-SERVICE)")], "id long, title string, content string")
     e = spark.createDataFrame([("e", "auth-service"), ("n", "12345"), ("s", "ab")], "entity string, name string")
     assert sorted(r.id for r in K.mentions(notes, e).collect()) == [1, 4]
+
+
+def test_mentions_of_long_names(spark):
+    notes = spark.createDataFrame([(1, "The Bank of the United Kingdom", "x"), (2, "t", "the bank of the united nations"), (3, "t", "(the bank of the united kingdom-wide"), (4, "Bank of the", "united kingdom")], "id long, title string, content string")
+    e = spark.createDataFrame([("k", "bank of the united kingdom"), ("n", "The bank of the united nations"), ("s", "bank")], "entity string, name string")
+    assert sorted((r.id, r.entity) for r in K.mentions(notes, e).collect()) == [(1, "k"), (1, "s"), (2, "n"), (2, "s"), (3, "s"), (4, "s")]

@@ -4,10 +4,11 @@
 2. Pieces are dealt by number to parts of bounded size; each part is packed by best-fit decreasing.
 3. Dual feasible functions over a part's lengths bound its bin count from below. A part that meets the bound is certified.
    Parts with a gap release all bins that are not full, and every part releases its bins that are a quarter empty;
-   released pieces are dealt anew, across parts, and packed again. A round stands only if it saves bins.
+   released pieces are dealt anew, across parts, and packed again, until a round saves no bin.
 
-Nulls: a null text is empty (one piece: the closing 0); null ids are kept. Repeated rows are packed each by itself.
-An empty table gives an empty table. Extra columns are not read.
+Nulls: a null text is empty (one piece: the closing 0); null ids are kept. Repeated rows are packed each by itself. A very
+long text is cut into whole sequences and one shorter piece. Pieces of equal length go by row number, bins of equal room
+by the latest, so a rerun packs alike. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from .tokens import default_path, vocabulary
 CAPACITY = 2048
 #: Pieces in a part: what one task holds at once.
 PART = 100_000
-ROUNDS = 3
 SCHEMA = "rid long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 PACKED = SCHEMA + ", sequence_id long, offset long, fill long, certified boolean"
 
@@ -127,13 +127,13 @@ def _bins(packed: DataFrame) -> int:
     return packed.filter("offset = 0").count()
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """Pieces (as from `token_pieces`, written already) with sequence_id, offset, fill and certified."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
     whole = pieces.filter(F.col("length") == capacity).select(*SCHEMA_NAMES, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("fill"), F.lit(True).alias("certified"))
     rest = pieces.filter(F.col("length") < capacity)
     out = materialize(_packed(rest, max(1, -(-rest.count() // part)), 0, capacity, kind), "packed")
-    for number in range(1, rounds + 1):
+    for number in range(1, 60):  # until a round saves nothing; sequence ids have six bits for its number
         loose = (F.col("fill") < capacity) & (~F.col("certified") | (F.col("fill") <= capacity * 3 // 4))
         released, kept = out.filter(loose), out.filter(~loose)
         n = released.count()

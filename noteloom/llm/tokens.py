@@ -1,21 +1,29 @@
 """Ids of the word-level BPE vocabulary (lower case, white space dropped), as its library gives them.
 
-The vocabulary never merges across white space, so the words between white space are its outermost pre-tokens: ids of a
-word do not depend on its neighbours. A worker asks the library once for each distinct word and joins what it got.
+The library takes out its special strings, normalises (NFC, white space, lower case), cuts at white space and by a pattern
+into runs of letters, single digits and runs of other signs, and merges inside those pieces only. So what stands between
+white space is encoded alone, and the ASCII signs that end it are a piece of their own. A worker asks the library's model
+once for each distinct piece and joins what it got. Only characters under U+0250 are cut or lowered here: there lower case
+is one character for one (but for U+0130, which is left to the library) and nothing composes; all else goes through the
+whole library.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
-
-#: Python's str.split() also cuts at these; the library takes them for symbols.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
-#: Distinct words that a worker remembers before it starts anew (some 100 MB).
-CACHE = 500_000
-#: Marks that often end a word; a lone one is a pre-token of its own.
-STOPS = (",", ".")
+#: Characters that are left to the library: separators that only Python cuts at, and what lies beyond U+024F.
+_OTHER = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPECIAL = "<|"
+#: Bytes that a worker's memory of pieces may take (counted as text, ids and 250 a piece), and the longest text that it
+#: holds as one piece.
+CACHE, LONGEST = 128 << 20, 256
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 
 
 def default_path() -> str:
@@ -25,19 +33,21 @@ def default_path() -> str:
 
 
 def words_of(text: str) -> list[str]:
-    """The pre-tokens of a text. A text with a control character that str.split() takes for white space stays one."""
-    if _NOT_SPACE.search(text):
-        return [text]
-    return (text.lower() if text.isascii() else text).split()
+    """The outermost pieces of a text. A text with a control character that str.split() takes for white space stays one."""
+    if _OTHER.search(text):
+        return [text] if _SEPARATOR.search(text) else text.split()
+    return (text if SPECIAL in text else text.lower()).split()
 
 
 def stem(word: str) -> str:
-    """A word without the stop or comma at its end: they are two pre-tokens, so only the word is remembered."""
-    return word[:-1] if word[-1:] in STOPS and word[:-1].isalpha() else word
+    """A word without the signs at its end: they are a piece of their own after a letter or digit, so it is remembered alone."""
+    core = word.rstrip(SIGNS)
+    last = core[-1:]
+    return core if core is not word and last.isalnum() and last < "ɐ" and last != "İ" and SPECIAL not in word else word
 
 
 class Vocabulary:
-    """The library's tokenizer with a memory of the words it has seen."""
+    """The library's tokenizer with a memory of the pieces it has seen."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -45,22 +55,43 @@ class Vocabulary:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.model._resize_cache(0)  # its memory is this class
+        self.model = self.library.model
         self.known: dict[str, bytes] = {}
-        self.cache = cache
-        self.stops = {s: self.encode_words([s])[0].tobytes() for s in STOPS}
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, from one call of the library over all of them joined by spaces."""
-        starts = np.cumsum([0] + [len(w) + 1 for w in words])
-        e = self.library.encode(" ".join(words), add_special_tokens=False)
-        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-        cuts = np.searchsorted(at, starts)
-        ids = np.array(e.ids, "<u4")
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        self.size, self.cache = 0, cache
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit numbers."""
+        out: list[bytes | None] = []
+        rest = []
+        for w in words:
+            if w.isascii() and (w.isalpha() and w.islower() or w and not w.strip(SIGNS)):  # one piece
+                out.append(array("I", [t.id for t in self.model.tokenize(w)]).tobytes())
+            elif w.isalpha() and not _OTHER.search(w) and w == w.lower():
+                out.append(array("I", [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(_BYTES))]).tobytes())
+            else:
+                out.append(None)
+                rest.append(w)
+        if rest:
+            found = iter(self.library.encode_batch_fast(rest, add_special_tokens=False))
+            out = [array("I", next(found).ids).tobytes() if x is None else x for x in out]
+        return out
+
+    def count_words(self, words: list[str]) -> list[int]:
+        return [len(x) // 4 for x in self.encode_words(words)]
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text as the library cuts it, normalised; a text with special strings, or one that changes when it
+        is normalised twice, stays one."""
+        plain = self.library.normalizer.normalize_str(text)
+        if SPECIAL in text or self.library.normalizer.normalize_str(plain) != plain:
+            return [text]
+        return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, as little-endian unsigned 32-bit numbers."""
-        get, stops = self.known.get, self.stops
+        known = self.known
+        get = known.get
         rows, later, fresh = [], [], {}
         for t in texts:
             words = words_of(t)
@@ -72,19 +103,29 @@ class Vocabulary:
                         w = words[i]
                         core = stem(w)
                         p = get(core)
-                        if p is None:
-                            fresh[core] = None
-                            later.append((parts, i, core, w))
+                        if core is w:
+                            fresh[w] = None
+                            later.append((parts, i, w, ""))
+                            continue
+                        tail = w[len(core) :]
+                        q = get(tail)
+                        if p is None or q is None:
+                            fresh[core] = fresh[tail] = None
+                            later.append((parts, i, core, tail))
                         else:
-                            parts[i] = p if core is w else p + stops[w[-1]]
+                            parts[i] = p + q
         if fresh:
-            if len(self.known) + len(fresh) > self.cache:
-                self.known.clear()
             new = list(fresh)
-            fresh = dict(zip(new, (x.tobytes() for x in self.encode_words(new))))
-            self.known.update(fresh)
-            for parts, i, core, w in later:
-                parts[i] = fresh[core] if core is w else fresh[core] + stops[w[-1]]
+            fresh = dict(zip(new, self.encode_words(new)))
+            for parts, i, core, tail in later:
+                parts[i] = fresh[core] + fresh[tail] if tail else fresh[core]
+            short = {w: x for w, x in fresh.items() if len(w) <= LONGEST}
+            more = sum(map(len, short)) + sum(map(len, short.values())) + 250 * len(short)
+            if self.size + more > self.cache:
+                known.clear()
+                self.size = 0
+            known.update(short)
+            self.size += more
         return [b"".join(parts) for parts in rows]
 
 

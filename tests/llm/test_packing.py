@@ -3,18 +3,28 @@ import zlib
 
 import numpy as np
 from noteloom.llm import packing as P
-from noteloom.llm.tokens import Vocabulary, default_path
+from noteloom.llm.tokens import Vocabulary, default_path, words_of
 from pyspark.sql import functions as F
 
 
+def fuzz(n, seed):
+    """Texts of signs from all planes, with many stops, cases, combining marks and special strings."""
+    rng = random.Random(seed)
+    signs = [chr(i) for i in range(0x250)] + list("'s't're  \n\t abcABC.,") * 8 + list("—‘…İΣſ中é́ 　\x1c\x1f😀̧͔ß") + ["<|endoftext|>", "<|ENDOFTEXT|>", "word, ", "end. ", "İ.", "İ,", "EVİ. ", "É! ", "1977, "] * 3
+    anywhere = lambda: chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)]))
+    return ["".join(anywhere() if k % 2 and rng.random() < 0.4 else rng.choice(signs) for _ in range(rng.randint(0, 30))) for k in range(n)]
+
+
 def test_ids_are_the_librarys():
-    v = Vocabulary(default_path(), cache=40)
-    rng = random.Random(4)
-    signs = [chr(i) for i in range(0x250)] + list("'s't're  \n\t abcABC.,") * 8 + list("—‘…İΣſ中é́ 　\x1c\x1f😀") + ["<|endoftext|>", "word, ", "end. "] * 3
-    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)]
-    got = [y for i in range(0, 3000, 50) for y in v.ids(texts[i : i + 50])]
-    for t, x in zip(texts, got):
-        assert np.frombuffer(x, "<u4").tolist() == v.library.encode(t, add_special_tokens=False).ids, t
+    v = Vocabulary(default_path(), cache=40_000)
+    texts = ["İ.", "İ,", "GİBİ, EVİ. OLDUĞU", "<|ENDOFTEXT|>.", "word<|endoftext|>,", "word," * 300] + fuzz(20_000, 4)
+    got = [y for i in range(0, len(texts), 50) for y in v.ids(texts[i : i + 50])]
+    want = v.library.encode_batch_fast(texts, add_special_tokens=False)
+    for t, x, w in zip(texts, got, want):
+        assert np.frombuffer(x, "<u4").tolist() == w.ids, t
+        cut = [p for y in words_of(t) for p in v.pieces(y)]
+        assert sum(v.count_words(cut)) == len(w.ids), t
+    assert v.size <= 40_000 + 30_000  # what one call added, at most
 
 
 def test_bounds_and_best_fit():

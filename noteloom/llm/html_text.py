@@ -1,18 +1,25 @@
 """Operator 2: main text by wrapper induction.
 
 Pages of a host share a template. One page of each host (the smallest hashed page_id, not the whole group) lends its tree;
-every other page of the host is aligned with it by simple tree matching, on trees whose runs of like siblings are folded
-into one node. Sums over all aligned pages, formed within tasks before they meet, say for each node of the tree how often
-its text was the same. Nodes that stay the same are template; the content root is the lowest node that holds nearly all
-text that varies. A second scan aligns each page again and takes the text of its content root: the marked article where
-the page has one, else the wrapper's, else the whole body. Menus, headers outside the article, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are known by tag, role, class or id; inside the content root a container
-(never a paragraph, heading or list) that is template goes too.
+every other page of the host is aligned with it by simple tree matching, on trees whose like siblings share slots. Sums
+over all aligned pages, formed within tasks before they meet, say for each slot how many characters vary from page to page,
+how many of them stand in links, and which texts recur. They decide what is kept:
+
+* the content root is the lowest slot that holds most of the varying text outside links, with the page's title line;
+* a text that recurs in its slot on nearly all pages is template, whatever its element;
+* a slot whose text is links is a menu.
+
+Pages of hosts with fewer pages are aligned with one page of all hosts whose pages have the same containers. Tags, roles,
+class names and ids are evidence beside that: what they call a menu, footer, sidebar, notice, advert, form or comment has
+no say in the content root and goes, unless it holds nearly all that varies; marked articles are preferred to a slot around
+them. Where too few pages align, the page's own marks and masses of text decide. A page that shares more than half of its text
+with the tree's page is a copy and tells nothing.
 
 A block's white space (Unicode's) becomes one space; inline elements and `br` do not end a block.
 
 Nulls: a null html is empty and gives '' with 0 characters; a null url, or one without a host, belongs to the host ''.
-Rows with null page_id are kept. Repeated rows stay rows. An empty table gives an empty table. Extra columns are not read.
+Rows with null page_id are kept. Repeated rows stay rows. A very long page is read whole. Of slots with equal masses the
+first on the page is taken. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +49,9 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Elements that their own kind ends, with what bounds the search for an open one.
 ENDS_SELF = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 SAME = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
-DROP_TAGS = frozenset("aside button canvas dialog footer form head menu nav noscript object select svg template".split())
+#: Elements that show nothing of a page's text.
+UNSEEN = frozenset("canvas head noscript object script select style svg template".split())
+DROP_TAGS = frozenset("aside button dialog footer form menu nav".split())
 DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog navigation search".split())
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
@@ -50,37 +59,45 @@ DROP_NAMES = frozenset(
     "promoted recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr td th figure figcaption".split())
-#: Share of aligned pages with the same text that makes a node template, and the fewest such pages.
+LISTS = frozenset("ul ol menu nav div section table dl".split())
+#: Slots that like containers of one parent have; those beyond share the last. Plain elements share one.
+SLOTS = 8
+#: Share of aligned pages with the same text that makes it template, and the fewest such pages.
 CONSTANT, PAGES = 0.9, 4
-#: Share of varying text that the content root holds at least.
-HOLDS = 0.9
-#: Pairs of children beyond which siblings are matched in order instead of by the best alignment.
-MOST_PAIRS = 2_500
+#: Share of varying text that the next node on the way to the content root holds, and share of links in a menu.
+HOLDS, LINKS = 0.6, 0.8
+#: Share of its text that a page has in common with another if it is a copy, and share that marks leave at least.
+COPY, LEAVE = 0.5, 0.3
+#: Evidence that an element is no content, the strongest first; what is hidden is none in any case.
+NONE, TAG, NAME, HIDDEN = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "key", "drop", "parent", "children", "text")
+    __slots__ = ("tag", "key", "mark", "parent", "children", "text")
 
-    def __init__(self, tag: str, key: str, drop: bool, parent: Node | None):
-        self.tag, self.key, self.drop, self.parent = tag, key, drop, parent
+    def __init__(self, tag: str, key: str, mark: int, parent: Node | None):
+        self.tag, self.key, self.mark, self.parent = tag, key, mark, parent
         self.children: list[Node] = []
-        self.text: list[tuple[int, str]] = []  # (number of the block on the page, piece)
+        self.text: list[tuple[int, str, bool]] = []  # (number of the block on the page, piece, in a link)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page's block elements. Pieces of text carry the number of the block that they belong to."""
-    root = here = Node("#", "#", False, None)
-    block, at = 0, 0
+    """The tree of a page's block elements. Pieces of text carry the number of the block that they belong to; a node's mark
+    is the evidence (TAG, NAME) that it is no content, or HIDDEN."""
+    root = here = Node("#", "#", NONE, None)
+    block, at, link = 0, 0, False
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
-            here.text.append((block, entities.unescape(piece) if "&" in piece else piece))
+            here.text.append((block, entities.unescape(piece) if "&" in piece else piece, link))
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
+            if tag == "a":
+                link = False
             up = here
             while up is not None and up.tag != tag:
                 up = up.parent
@@ -90,10 +107,12 @@ def parse(page: str) -> Node:
                 here = up.parent
             continue
         if tag == "br":
-            here.text.append((block, " "))
+            here.text.append((block, " ", link))
             continue
         if tag in VOID and tag != "hr":
             continue
+        if tag == "a":
+            link = True
         if tag == "body":  # ends a head that was left open
             while here.tag not in ("#", "html"):
                 here = here.parent
@@ -113,28 +132,29 @@ def parse(page: str) -> Node:
             if up is not None and up.tag in like:
                 here = up.parent
         more = m["more"] or m["more2"] or ""
-        names, drop = "", tag in DROP_TAGS
+        names, mark = "", HIDDEN if tag in UNSEEN else TAG if tag in DROP_TAGS or tag == "header" and not in_article(here) else NONE
         if "=" in more or "hidden" in more:
             for k, v in ATTRIBUTE.findall(more):
                 k, v = k.lower(), v.strip("\"'").lower()
                 if k in ("class", "id"):
                     names += "." + re.sub(r"\d+", "#", v)
-                    drop = drop or any(x in DROP_NAMES for x in re.split(r"[^a-z0-9]+", v))
+                    if any(x in DROP_NAMES for x in re.split(r"[^a-z0-9]+", v)):
+                        mark = mark or NAME
                 elif k == "role":
-                    drop = drop or v in DROP_ROLES
-                else:
-                    drop = drop or (k == "hidden" and v != "until-found") or (k == "aria-hidden" and v == "true")
+                    mark = mark or (NAME if v in DROP_ROLES else NONE)
+                elif k == "hidden" and v != "until-found" or k == "aria-hidden" and v == "true":
+                    mark = HIDDEN
         if tag in INLINE:
-            if not drop:
+            if not mark:
                 continue
         else:
             block += 1
-        node = Node(tag, tag + names, drop, here)
+        node = Node(tag, tag + names, mark, here)
         here.children.append(node)
         if not more.endswith("/") or tag not in ("svg", "path"):
             here = node
     if at < len(page):
-        here.text.append((block, entities.unescape(page[at:])))
+        here.text.append((block, entities.unescape(page[at:]), link))
     return root
 
 
@@ -146,97 +166,58 @@ def in_article(node: Node | None) -> bool:
     return False
 
 
-def dropped(node: Node) -> bool:
-    return node.drop or node.tag == "header" and not in_article(node.parent)
+def own_text(node: Node) -> tuple[int, int, int]:
+    """The checksum (never 0) of a node's own text without its elements', its characters, and those of them in links."""
+    if not node.text:
+        return 0, 0, 0
+    words = " ".join("".join(t for _, t, _ in node.text).split())
+    linked = sum(len(t) for _, t, a in node.text if a)
+    return (zlib.crc32(words.encode("utf-8", "replace")) + 1 if words else 0), len(words), min(len(words), linked)
 
 
 class Fold:
-    """A tree whose runs of like siblings are one node; `nodes` in page order, with parents and texts."""
+    """A tree whose like siblings share slots; lists by slot, parents before children."""
 
     def __init__(self, root: Node):
-        self.members: list[list[Node]] = []
-        self.keys: list[str] = []
-        self.parents: list[int] = []
-        self.kids: list[list[int]] = []
-        self._add([root], -1)
-
-    def _add(self, members: list[Node], parent: int) -> None:
-        todo = [(members, parent)]
-        while todo:
-            members, parent = todo.pop()
-            me = len(self.keys)
-            self.members.append(members)
-            self.keys.append(members[0].key)
-            self.parents.append(parent)
-            self.kids.append([])
-            if parent >= 0:
-                self.kids[parent].append(me)
-            runs: list[list[Node]] = []
-            for m in members:
+        self.members: list[list[Node]] = [[root]]
+        self.keys, self.kids = [root.key], [[]]
+        at = 0
+        while at < len(self.members):
+            slots: dict[tuple, list[Node]] = {}
+            for m in self.members[at]:
+                seen: dict[str, int] = {}
                 for c in m.children:
-                    if dropped(c):
+                    if c.mark == HIDDEN:
                         continue
-                    if runs and runs[-1][0].key == c.key:
-                        runs[-1].append(c)
+                    if c.tag in PLAIN:
+                        slots.setdefault((0, c.key), []).append(c)
                     else:
-                        runs.append([c])
-            todo.extend((r, me) for r in reversed(runs))
-
-    def sums(self) -> list[tuple[int, int]]:
-        """Each folded node's checksum and number of characters, every piece of text read once."""
-        root = self.members[0][0]
-        order, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            order.append(n)
-            todo.extend(c for c in n.children if not dropped(c))
-        known: dict[int, tuple[int, int]] = {}
-        for n in reversed(order):
-            words = " ".join(" ".join(t.split()) for _, t in n.text).encode("utf-8", "replace")
-            known[id(n)] = _joined([(zlib.crc32(words), len(words)), *(known[id(c)] for c in n.children if id(c) in known)])
-        return [_joined([known[id(m)] for m in x]) for x in self.members]
-
-
-def _joined(parts: list[tuple[int, int]]) -> tuple[int, int]:
-    return (parts[0][0] if len(parts) == 1 else zlib.crc32(str([h for h, _ in parts]).encode())), sum(n for _, n in parts)
-
-
-def own_text(node: Node) -> list[str]:
-    """All words under a node, without what is dropped by tag or name."""
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        out.extend(w for _, t in n.text for w in t.split())
-        todo.extend(c for c in reversed(n.children) if not dropped(c))
-    return out
+                        seen[c.key] = n = min(seen.get(c.key, 0) + 1, SLOTS)
+                        slots.setdefault((1, c.key, n), []).append(c)
+            # plain slots in a fixed order, then containers as they come
+            for slot in sorted((k for k in slots if not k[0])) + [k for k in slots if k[0]]:
+                self.kids[at].append(len(self.members))
+                self.members.append(slots[slot])
+                self.keys.append(slot[1])
+                self.kids.append([])
+            at += 1
 
 
 def match(a: tuple[list[str], list[list[int]]], b: tuple[list[str], list[list[int]]]) -> dict[int, int]:
-    """Simple tree matching of two folded trees (keys, children): the nodes of `a` with their partners in `b`."""
+    """Simple tree matching of two trees (keys, children): the nodes of `a` with their partners in `b`."""
     keys_a, kids_a = a
     keys_b, kids_b = b
     best: dict[tuple[int, int], int] = {}
 
-    def pairs(i: int, j: int) -> list[tuple[int, int]]:
-        return [(x, y) for x in kids_a[i] for y in kids_b[j] if keys_a[x] == keys_b[y]]
-
     def aligned(i: int, j: int) -> list[tuple[int, int]]:
         """The in-order matching of children with the largest sum."""
         ka, kb = kids_a[i], kids_b[j]
-        if len(ka) * len(kb) > MOST_PAIRS:
-            out, at = [], 0
-            for x in ka:
-                for k in range(at, len(kb)):
-                    if keys_b[kb[k]] == keys_a[x]:
-                        out.append((x, kb[k]))
-                        at = k + 1
-                        break
-            return out
         table = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
         for p in range(len(ka) - 1, -1, -1):
+            row, below = table[p], table[p + 1]
             for q in range(len(kb) - 1, -1, -1):
                 w = best.get((ka[p], kb[q]), 0)
-                table[p][q] = max(table[p + 1][q], table[p][q + 1], w and w + table[p + 1][q + 1])
+                row[q] = max(below[q], row[q + 1], w and w + below[q + 1])
         out, p, q = [], 0, 0
         while p < len(ka) and q < len(kb):
             w = best.get((ka[p], kb[q]), 0)
@@ -253,12 +234,12 @@ def match(a: tuple[list[str], list[list[int]]], b: tuple[list[str], list[list[in
     while todo:  # parents before children, so that sums can be formed backwards
         pair = todo.pop()
         order.append(pair)
-        if len(kids_a[pair[0]]) * len(kids_b[pair[1]]) <= MOST_PAIRS:
-            todo.extend(pairs(*pair))
-        else:
-            todo.extend(aligned(*pair))
+        by_key: dict[str, list[int]] = {}
+        for y in kids_b[pair[1]]:
+            by_key.setdefault(keys_b[y], []).append(y)
+        todo.extend((x, y) for x in kids_a[pair[0]] for y in by_key.get(keys_a[x], ()))
     for pair in reversed(order):
-        best[pair] = 1 + sum(best.get(p, 0) for p in aligned(*pair))
+        best[pair] = 1 + sum(best[p] for p in aligned(*pair))
     out, todo = {}, order[:1]
     while todo:
         i, j = todo.pop()
@@ -268,130 +249,213 @@ def match(a: tuple[list[str], list[list[int]]], b: tuple[list[str], list[list[in
 
 
 def skeleton(page: str) -> str:
-    """A page's folded tree as JSON: keys, children and checksums of texts."""
+    """A page's slots as JSON: keys, children, marks, members and checksums of own texts."""
     f = Fold(parse(page))
-    return json.dumps([f.keys, f.kids, [h for h, _ in f.sums()]])
+    texts = [sorted({h for h, _, _ in map(own_text, x) if h}) for x in f.members]
+    return json.dumps([f.keys, f.kids, [x[0].mark for x in f.members], [len(x) for x in f.members], texts])
 
 
-def compared(page: str, reference: list) -> list[tuple[int, bool, int]]:
-    """Each reference node that the page has: whether its text is the same, and the page's characters there."""
+def load(reference: str) -> list:
+    """A skeleton with its texts as sets."""
+    out = json.loads(reference)
+    return [*out[:4], [set(x) for x in out[4]], set().union(*out[4])]
+
+
+def compared(page: str, reference: list) -> list[tuple[int, int, int, int, int]]:
+    """What a page tells of the reference's slots, as (slot, text, characters, in links, varying outside links) with text 0,
+    and (slot, text, 0, 0, 0) for each text of the slot that the page repeats. A copy tells nothing."""
     f = Fold(parse(page))
-    sums = f.sums()
-    return [(i, sums[j][0] == reference[2][i], sums[j][1]) for i, j in match((reference[0], reference[1]), (f.keys, f.kids)).items()]
+    texts = [[x for x in map(own_text, m) if x[0]] for m in f.members]
+    chars = sum(n for x in texts for _, n, _ in x)
+    if sum(n for x in texts for h, n, _ in x if h in reference[5]) > COPY * chars:
+        return []
+    out = []
+    for i, j in match((reference[0], reference[1]), (f.keys, f.kids)).items():
+        own = reference[4][i]
+        varying = sum(n - a for h, n, a in texts[j] if h not in own)
+        out.append((i, 0, sum(n for _, n, _ in texts[j]), sum(a for _, _, a in texts[j]), varying))
+        out.extend((i, h, 0, 0, 0) for h in {h for h, _, _ in texts[j]} & own)
+    return out
 
 
-def wrapper(reference: list, sums: list[tuple[int, int, int, int]]) -> dict:
-    """Template nodes and content root from (node, pages, same, characters that vary)."""
-    keys, kids, _ = reference
-    pages, same, chars = {}, {}, {}
-    for i, n, s, c in sums:
-        pages[i], same[i], chars[i] = n, s, c
+def descend(keys: list[str], kids: list[list[int]], marks: list[int], sizes: list[int], mass: list[int], trust: int, prefer: float | None) -> int:
+    """The content root: down from the root to the child that holds most of the mass outside what marks take away, as long
+    as no title is left behind. Marked articles that hold `prefer` of its mass are preferred to it: the one that holds most
+    of theirs, or else the node around them."""
+    n = len(keys)
+    held, title = list(mass), [keys[i].split(".")[0] in ("h1", "h2") and mass[i] > 0 for i in range(n)]
+    for i in range(n - 1, -1, -1):  # children stand behind their parents
+        for k in kids[i]:
+            if not NONE < marks[k] <= trust:
+                held[i] += held[k]
+                title[i] = title[i] or title[k]
     root = 0
     while kids[root]:
-        heavy = max(kids[root], key=lambda k: chars.get(k, 0))
-        tag = keys[heavy].split(".")[0]
-        if tag in PLAIN or chars.get(heavy, 0) < HOLDS * max(chars.get(root, 0), 1):
+        able = [k for k in kids[root] if not NONE < marks[k] <= trust]
+        heavy = max(able, key=lambda k: held[k], default=None)
+        if heavy is None or keys[heavy].split(".")[0] in PLAIN or sizes[heavy] > 1 or held[heavy] < HOLDS * max(held[root], 1) or any(title[k] for k in able if k != heavy):
             break
         root = heavy
-    template = [i for i in range(len(keys)) if pages.get(i, 0) >= PAGES and same.get(i, 0) >= CONSTANT * pages[i] and keys[i].split(".")[0] not in PLAIN and i != root]
-    return {"keys": keys, "kids": kids, "root": root, "template": template, "seen": max(pages.values(), default=0)}
+    if prefer is not None:
+        todo, marked = [(root, root)], []
+        while todo:
+            i, above = todo.pop()
+            if keys[i].split(".")[0] in ("article", "main"):
+                marked.append((i, above))
+            else:
+                todo.extend((k, i) for k in reversed(kids[i]) if not NONE < marks[k] <= trust)
+        total = sum(held[i] for i, _ in marked)
+        if total and total >= prefer * held[root]:
+            i, above = max(marked, key=lambda x: held[x[0]])
+            return i if held[i] >= HOLDS * total else above
+    return root
 
 
-def main_text(page: str, w: dict | None) -> str:
+def trusted(kids: list[list[int]], marks: list[int], mass: list[int], leave: float) -> int:
+    """How far marks may be trusted: what they leave is more than nothing and at least the share `leave` of the mass."""
+    total = sum(mass)
+    for trust in (NAME, TAG):
+        left, todo = 0, [0]
+        while todo:
+            i = todo.pop()
+            left += mass[i]
+            todo.extend(k for k in kids[i] if not NONE < marks[k] <= trust)
+        if left and left >= leave * total:
+            return trust
+    return NONE
+
+
+def wrapper(reference: list, sums: list[tuple[int, int, int, int, int, int]], evidence: bool = True) -> dict:
+    """Content root, template texts and menus from (slot, text, pages, characters, in links, varying outside links)."""
+    keys, kids, marks, sizes = reference[:4]
+    n = len(keys)
+    pages, chars, links, mass, same = [0] * n, [0] * n, [0] * n, [0] * n, []
+    for i, text, count, c, a, v in sums:
+        if text:
+            same.append((i, text, count))
+        else:
+            pages[i], chars[i], links[i], mass[i] = count, c, a, v
+    trust = trusted(kids, marks, mass, LEAVE) if evidence else NONE
+    root = descend(keys, kids, marks, sizes, mass, trust, HOLDS if evidence else None)
+    for i in range(n - 1, -1, -1):
+        for k in kids[i]:
+            chars[i] += chars[k]
+            links[i] += links[k]
+    menus = [i for i in range(n) if pages[i] >= PAGES and keys[i].split(".")[0] in LISTS and i != root and links[i] >= LINKS * chars[i] > 0]
+    template: dict[int, list[int]] = {}
+    for i, text, count in same:
+        if count >= PAGES and count >= CONSTANT * pages[i]:
+            template.setdefault(i, []).append(text)
+    return {"keys": keys, "kids": kids, "root": root, "menus": menus, "template": sorted(template.items()), "trust": trust, "seen": pages[0]}
+
+
+def main_text(page: str, w: dict | None, evidence: bool = True) -> str:
     """The blocks of a page's content, joined by line feeds."""
     tree = parse(page)
-    roots, todo = {"article": [], "main": []}, [tree]
-    while todo:
-        n = todo.pop()
-        if n.drop:
-            continue
-        if n.tag in roots and not (n.tag == "article" and any(n_ is not None and n_.tag == "article" for n_ in ancestors(n))):
-            roots[n.tag].append(n)
-        todo.extend(reversed(n.children))
-    tops, skip = [], set()
-    marked = roots["article"] or roots["main"]
-    if w and (w["template"] or not marked):
-        f = Fold(tree)
+    f = Fold(tree)
+    gone, constant, tops = set(), set(), []
+    if w is not None and w["seen"] >= PAGES:
+        trust = w["trust"]
         partner = match((w["keys"], w["kids"]), (f.keys, f.kids))
-        skip = {id(m) for i in w["template"] if i in partner for m in f.members[partner[i]]}
-        if not marked and w["root"] in partner and w["seen"] >= PAGES:
+        if w["root"] in partner:
             tops = f.members[partner[w["root"]]]
-    if marked:
-        tops = [max(marked, key=lambda n: sum(map(len, own_text(n))))]
+        gone = {id(m) for i in w["menus"] if i in partner for m in f.members[partner[i]]}
+        constant = {id(m) for i, texts in w["template"] if i in partner for m in f.members[partner[i]] if own_text(m)[0] in texts}
+    if not tops:  # too few pages, or one that has no such root: its own marks and masses decide
+        mass = []
+        for x in f.members:
+            got = list(map(own_text, x))
+            mass.append(sum(n - a for _, n, a in got))
+        marks = [x[0].mark for x in f.members]
+        trust = trusted(f.kids, marks, mass, 0) if evidence else NONE
+        tops = f.members[descend(f.keys, f.kids, marks, [len(x) for x in f.members], mass, trust, 0 if evidence else None)]
     blocks: dict[int, list[str]] = {}
-    todo = list(reversed(tops or [tree]))
-    tops_ids = {id(t) for t in tops}
+    todo = list(reversed(tops))
+    first = set(map(id, tops))
     while todo:
         n = todo.pop()
-        if id(n) not in tops_ids and (dropped(n) or id(n) in skip):
+        if n.mark == HIDDEN or id(n) not in first and (NONE < n.mark <= trust or id(n) in gone):
             continue
-        for number, t in n.text:
-            blocks.setdefault(number, []).append(t)
+        if id(n) not in constant:
+            for number, t, _ in n.text:
+                blocks.setdefault(number, []).append(t)
         todo.extend(reversed(n.children))
     lines = (" ".join("".join(blocks[k]).split()) for k in sorted(blocks))
     return "\n".join(x for x in lines if x)
 
 
-def ancestors(node: Node) -> Iterator[Node]:
-    while node.parent is not None:
-        node = node.parent
-        yield node
-
-
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) for each host."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    pick = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    first = materialize(rows.groupBy("host").agg(F.min(pick).alias("pick")), "hosts")
-    chosen = rows.withColumn("pick", pick).join(first, ["host", "pick"]).dropDuplicates(["host"])
+def containers(html: Column) -> Column:
+    """A number that pages with the same containers (and class names, without digits) share."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:div|section|article|main|nav|aside|header|footer|table|form)\b[^>]*>"), F.lit(0))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.regexp_replace(F.lower(t), r"\d+", "#")))))
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and two keys of each row: its host's and its containers'."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", F.concat(F.lit("h"), host_of(F.col("url"))).alias("host"), html.alias("html"))
+    return rows.withColumn("shape", F.concat(F.lit("s"), F.hex(containers(F.col("html")))))
+
+
+def with_both(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """`rows` with the table's entry of the host, or else of the containers."""
+    for key in ("host", "shape"):
+        rows = rows.join(table.filter(F.col("key").startswith(key[0])).select(F.col("key").alias(key), F.col(name).alias(f"{name}_{key}")), key, "left")
+    return rows.withColumn(name, F.coalesce(f"{name}_host", f"{name}_shape")).withColumn("key", F.when(F.col(f"{name}_host").isNotNull(), F.col("host")).otherwise(F.col("shape")))
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """(key, wrapper as JSON) for each host with more than `PAGES` pages, and for each set of containers with as many."""
+    rows = rows.withColumn("pick", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    keys = F.explode(F.array("host", "shape")).alias("key")
+    first = materialize(rows.select(keys, "pick").groupBy("key").agg(F.min("pick").alias("pick"), F.count("*").alias("n")).filter(F.col("n") > PAGES).drop("n"), "keys")
+    chosen = rows.select(keys, "pick", "html").join(first, ["key", "pick"]).dropDuplicates(["key"])
 
     def skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"host": f.host, "reference": [skeleton(x) for x in f.html], "own": [zlib.crc32(x.encode("utf-8", "replace")) for x in f.html]})
+            yield pd.DataFrame({"key": f.key, "reference": [skeleton(x) for x in f.html]})
 
-    references = materialize(chosen.select("host", "html").mapInPandas(skeletons, "host string, reference string, own long"), "references")
+    references = materialize(chosen.select("key", "html").mapInPandas(skeletons, "key string, reference string"), "references")
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[str, int], list[int]] = {}
+        total: dict[tuple, list[int]] = {}
         loaded: dict[str, list] = {}
-        send = lambda: pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["host", "node", "pages", "same", "chars"])
+        send = lambda: pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["key", "slot", "text", "pages", "chars", "links", "varying"])
         for f in frames:
-            for host, page, reference, own in zip(f.host, f.html, f.reference, f.own):
-                if zlib.crc32(page.encode("utf-8", "replace")) == own:
-                    continue  # the reference itself, or a copy of it, tells nothing
-                if host not in loaded:
+            for key, page, reference in zip(f.key, f.html, f.reference):
+                if key not in loaded:
                     if len(loaded) > 1000:
                         loaded.clear()
-                    loaded[host] = json.loads(reference)
-                for i, same, n in compared(page, loaded[host]):
-                    t = total.setdefault((host, i), [0, 0, 0])
+                    loaded[key] = load(reference)
+                for i, text, *own in compared(page, loaded[key]):
+                    t = total.setdefault((key, i, text), [0, 0, 0, 0])
                     t[0] += 1
-                    t[1] += same
-                    t[2] += 0 if same else n
+                    for k, x in enumerate(own, 1):
+                        t[k] += x
             if len(total) > 200_000:
                 yield send()
                 total.clear()
         yield send()
 
-    joined = rows.select("host", "html").join(references, "host")
-    counted = joined.mapInPandas(sums, "host string, node int, pages long, same long, chars long").groupBy("host", "node").agg(*[F.sum(x).alias(x) for x in ("pages", "same", "chars")])
-    gathered = counted.groupBy("host").agg(F.collect_list(F.struct("node", "pages", "same", "chars")).alias("sums"))  # as many as the reference page has nodes
+    joined = with_both(rows.select("host", "shape", "html"), references, "reference").filter("reference IS NOT NULL").select("key", "html", "reference")
+    counted = joined.mapInPandas(sums, "key string, slot int, text long, pages long, chars long, links long, varying long").groupBy("key", "slot", "text").agg(*[F.sum(x).alias(x) for x in ("pages", "chars", "links", "varying")])
+    gathered = counted.groupBy("key").agg(F.collect_list(F.struct("slot", "text", "pages", "chars", "links", "varying")).alias("sums"))  # as many as the reference page has slots and texts
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"host": f.host, "wrapper": [json.dumps(wrapper(json.loads(r), sorted((x["node"], x["pages"], x["same"], x["chars"]) for x in s))) for r, s in zip(f.reference, f.sums)]})
+            yield pd.DataFrame({"key": f.key, "wrapper": [json.dumps(wrapper(json.loads(r), sorted(tuple(x) if not isinstance(x, dict) else tuple(x.values()) for x in s))) for r, s in zip(f.reference, f.sums)]})
 
-    return materialize(references.select("host", "reference").join(gathered, "host").mapInPandas(build, "host string, wrapper string"), "wrappers")
+    return materialize(references.join(gathered, "key").mapInPandas(build, "key string, wrapper string"), "wrappers")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
-    found = wrappers(pages)
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).join(found, "host", "left").drop("host")
+    rows = keyed(pages)
+    found = with_both(rows, wrappers(rows), "wrapper").select("page_id", "url", "html", "wrapper")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, dict] = {}
@@ -406,4 +470,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long")
+    return found.mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long")

@@ -1,3 +1,5 @@
+import random
+
 from noteloom.llm import html_text as H
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script>var t="</p>";</script><body>
@@ -10,6 +12,8 @@ PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script
 def test_main_text():
     want = "Title & 7\nFirst para 7 goes on\nSecond <7>\none\ntwo\nRead our blog every day\nLast 7."
     assert H.main_text(PAGE.format(tag="article", n=7), None) == want
+    parts = "<article><p>part one of it all</article><article><p>part two of it all</article>"
+    assert H.main_text(f"<body><div>{parts}</div><nav>x</nav>", None) == "part one of it all\npart two of it all"
     assert H.main_text("", None) == "" and H.main_text("<p>a<td>b <", None) == "a\nb <"
     assert H.main_text("<article><p>" + "word " * 100_000 + "</article>", None).count("word") == 100_000
 
@@ -27,8 +31,6 @@ def brute_match(a, b):
 
 
 def test_matching_is_the_best():
-    import random
-
     rng = random.Random(2)
 
     def tree(depth):
@@ -55,11 +57,59 @@ def test_matching_is_the_best():
 
 
 def test_wrapper_takes_what_varies(spark):
-    pages = [(i, "http://h.example/x", PAGE.format(tag="div class=q", n=i), "clash") for i in range(12)] + [(None, None, None, None), (50, "http://one.example/", PAGE.format(tag="div", n=3), "")]
+    pages = [(i, "http://h.example/x", PAGE.format(tag="div class=q", n=str(i) * 40), "clash") for i in range(12)] + [(None, None, None, None), (50, "http://one.example/", PAGE.format(tag="div", n=3), "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in H.extracted(df).collect()}
     assert len(got) == 14 and got[None].text == "" and got[None].n_chars == 0
-    want = "Title & 7\nFirst para 7 goes on\nSecond <7>\none\ntwo\nLast 7."
-    assert got[7].text == want and got[7].n_chars == len(want)
+    n = "7" * 40
+    want = f"Title & {n}\nFirst para {n} goes on\nSecond <{n}>\nLast {n}."
+    assert got[7].text == want and got[7].n_chars == len(want)  # the list and the advert are the same on all pages
     assert "Title & 3" in got[50].text and "cookies" not in got[50].text
     assert H.extracted(df.limit(0)).count() == 0
+
+
+def site(rng, host, pages, names, wide):
+    """Pages of one template without marks or known names: menus, teasers, constant lines, and the text between them."""
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
+    x, head = rng.sample(names, 6), words(4)
+    out = []
+    for k in range(pages):
+        blocks = [words(rng.randint(8, 40)) for _ in range(rng.randint(2, 6) * wide)]
+        menu = "".join(f"<a href=/{w}>{w}</a> " for w in words(6).split())
+        links = "".join(f"<li><a href=#>{words(3)}</a>" for _ in range(4))
+        inner = "".join(f"<p>{b}</p>" if j % 2 else f"<div class={x[5]}>{b}</div>" for j, b in enumerate(blocks))
+        title = words(5)
+        page = f"<html><body><div class={x[0]}>{head}</div><div class={x[1]}>{menu}</div><div class={x[2]}><h1>{title}</h1>{inner}<p>Read {head} daily</p><ul>{links}</ul></div><div class={x[3]}>{words(6)}</div><div class={x[4]}>&copy; {head}</div></body></html>"
+        out.append((f"http://{host}/{k}", page, "\n".join([title, *blocks])))
+    return out
+
+
+def test_unknown_names_without_marks(spark):
+    """Extraction equals the planted text where only the alignment can tell what is content; without it, it does not."""
+    rng = random.Random(9)
+    names = [f"x{a}{b}" for a in "abcdefgh" for b in "qwxyz"]
+    pages = [p for s in range(6) for p in site(rng, f"s{s}.example", 8, names, 1 + s)]
+    pages += [(f"http://t{k}.example/", *p[1:]) for k, p in enumerate(site(rng, "pool", 8, names, 2))]  # hosts of one page, one template
+    pages.append(pages[0])  # a repeated row
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extracted(df).collect()}
+    assert len(got) == len(pages)
+    assert [got[i] for i in range(len(pages))] == [t for _, _, t in pages]
+    assert sum(H.main_text(h, None) == t for _, h, t in pages) == 0
+
+
+def test_marks_are_evidence_only():
+    """The same pages with article tags: with marks and lists off, alignment alone finds what they mark."""
+    rng = random.Random(4)
+    pages = [PAGE.format(tag="article", n="".join(rng.choices("abcdefg ", k=300))).replace("<li>one<li>two", "").replace("every day", f"every {k} day") for k in range(9)]
+    reference = H.load(H.skeleton(pages[0]))
+    sums = {}
+    for p in pages[1:]:
+        for i, h, *own in H.compared(p, reference):
+            t = sums.setdefault((i, h), [0, 0, 0, 0])
+            for k, x in enumerate([1, *own]):
+                t[k] += x
+    off, on = (H.wrapper(reference, sorted((*k, *v) for k, v in sums.items()), e) for e in (False, True))
+    assert on["keys"][on["root"]] == off["keys"][off["root"]] == "article"
+    for p in pages[1:]:
+        assert H.main_text(p, on) == H.main_text(p, off, False)

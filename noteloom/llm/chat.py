@@ -4,11 +4,12 @@ A logged conversation whose turns begin a longer one is an earlier snapshot of i
 conversation and the rolling hash of the turns so far: two 64-bit hashes of (place, role, text), joined by exclusive or, so
 that blocks of `BLOCK` turns can be hashed apart and a long conversation does not fall to one task. Whole conversations
 whose (length, hash) is a prefix of a longer one go by an anti-join with the distinct prefixes; of equal conversations the
-one with the smallest conv_id stays. What is left is rendered, at most `BLOCK` turns a row.
+one with the smallest conv_id stays. What is left is rendered, one row a conversation: blocks become text apart, so that
+the task that joins a conversation reads one row for each `BLOCK` turns and holds no more than the text it returns.
 
 Nulls: a null conv_id is a conversation of its own (kept among equals only if none has an id), null turns come first, null
-roles and texts are empty. Rows that repeat a turn are turns, ordered by role and text. An empty table gives an empty
-table. Extra columns are not read.
+roles and texts are empty. Rows that repeat a turn are turns, ordered by role and text. A conversation of any number of
+turns, and texts of any length, stay whole. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -59,10 +60,12 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, part (from 0), n_turns and text of the maximal conversations."""
+    """conv_id, n_turns and text of the maximal conversations."""
     rows = materialize(placed(turns), "turns")
     kept = maximal(hashed(rows)).withColumnRenamed("conv_id", "c")
     turn = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     said = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").select("conv_id", F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("part"), F.struct("pos", turn.alias("said")).alias("t"))
-    parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("t"))  # BLOCK turns at most
-    return parts.select("conv_id", "part", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["said"]), "").alias("text"))
+    joined = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: x["said"]), "")
+    blocks = said.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.collect_list("t").alias("t"))  # BLOCK turns at most
+    blocks = blocks.select("conv_id", "n", F.struct("part", joined(F.col("t")).alias("said")).alias("t"))
+    return blocks.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.collect_list("t").alias("t")).select("conv_id", "n_turns", joined(F.col("t")).alias("text"))

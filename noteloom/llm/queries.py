@@ -95,7 +95,7 @@ WITH t AS (
 ), kept AS (
   SELECT min(conv_id) AS conv_id FROM c WHERE turns NOT IN (SELECT turns FROM longer) GROUP BY turns
 )
-SELECT t.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, count(*) AS n_turns,
+SELECT t.conv_id, count(*) AS n_turns,
        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
 FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
 """

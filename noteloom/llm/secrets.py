@@ -10,21 +10,26 @@ not share a threshold with short ones. P-values are counted in steps of a quarte
 A run that meets base spans is a candidate as a whole and so is what the base spans leave of it; it counts where it
 reaches beyond them, and then stands for its remainders.
 
-Nulls: a null text is empty, null ids are kept. Repeated rows stay rows. An empty table gives an empty table. Extra
-columns are kept by `masked`.
+Nulls: a null text is empty, null ids are kept. Repeated rows stay rows. A very long text is searched whole, in time near
+the number of its matches. Spans of equal start stand in the order of the kinds. An empty table gives an empty table.
+Extra columns are kept by `masked`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialize
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: What texts with a span of another kind than assign have; the look back leaves the insides of words quickly.
+LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
 KEY = "[A-Za-z0-9+/_-]"
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets, narrowest first, with the pattern of a string that uses it and no narrower one.
@@ -50,24 +55,36 @@ STRATA = (20, 24, 32, 48, 80)
 STEPS = 400
 
 
+EMPTY = "array<struct<start:int,end:int,value:string>>"
+
+
+def in_blocks(xs: Column, width: Callable[[Column], Column], make: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """`make(x, at)` of each item, `at` being the sum of the widths before it. Sums run over blocks and then inside them, so
+    that the cost of a text with many matches stays near their number."""
+    part = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, F.lit(block)))
+
+    def sums(items: Column, of: Callable[[Column], Column], start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, zero, lambda acc, x: F.struct((acc["at"] + of(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    total = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: acc + width(x))
+    placed = F.arrays_zip(part.alias("xs"), sums(part, total, F.lit(0)).alias("at"))
+    return F.flatten(F.transform(placed, lambda p: F.zip_with(p["xs"], sums(p["xs"], width, p["at"]), make)))
+
+
 def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """array<struct<start, end, value>> of leftmost non-overlapping matches; those with a shorter `group` are dropped after matching."""
     p = F.lit(pattern)
     found, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
     rest = F.regexp_extract_all(text, p, F.lit(group)) if group else found
     parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), rest.alias("g"))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def place(x: Column, at: Column) -> Column:
+        start = at + F.length(x["b"])
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.length(x["g"]).alias("n"))
 
-    named = F.transform(parts, lambda x: F.struct(x["b"].alias("b"), x["m"].alias("m"), x["g"].alias("g")))
-    walked = F.aggregate(named, zero, step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(zero["out"])
+    placed = F.filter(in_blocks(parts, lambda x: F.length(x["b"]) + F.length(x["m"]), place), lambda x: x["n"] >= least)
+    return F.when(F.size(found) > 0, F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))).otherwise(F.array().cast(EMPTY))
 
 
 def _tail(z: Column) -> Column:
@@ -82,7 +99,7 @@ def tested(found: Column) -> Column:
     """Candidates as array<struct<start, end, p_random, step, stratum>>: the battery's p-value, the p-value as ordinary
     writing in quarter bits, and the length stratum."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    keep = lambda c: (c["start"].alias("start"), c["end"].alias("end"))
+    keep = lambda c: (c["start"].alias("start"), c["end"].alias("end"), c["beyond"].alias("beyond"))
 
     def read(c: Column) -> Column:
         s = F.regexp_replace(c["value"], "=+$", "")
@@ -138,11 +155,6 @@ def tested(found: Column) -> Column:
     return found
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans as sorted array<struct<start, kind, end>>; kind is a place in KINDS."""
-    return F.array_sort(F.concat(plain(spans(text, ASSIGN, 2, 6), 0), plain(spans(text, ACCESS, 0, 0), 1), plain(spans(text, HEX, 0, 0), 2)))
-
-
 def plain(xs: Column, kind: int) -> Column:
     return F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
@@ -160,23 +172,29 @@ def blanked(text: Column, base: Column) -> Column:
     return F.when(F.size(base) > 0, F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def with_candidates(docs: DataFrame, text_col: str, base_name: str, blank_name: str, all_name: str) -> DataFrame:
-    """`docs` with base spans, the blanked text, and tested candidates: runs of the text, and what base spans leave of them."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(base_name, base_spans(text))
-    rows = rows.withColumn(blank_name, blanked(text, F.col(base_name)))
-    left = spans(F.col(blank_name), CANDIDATE)
-    runs = F.when(F.size(base_name) > 0, spans(text, CANDIDATE)).otherwise(F.slice(left, 1, 0))
-    # without base spans both are the same; with them, runs that no span meets are in both
-    return rows.withColumn(all_name, F.array_union(left, runs)).withColumn(all_name, tested(F.col(all_name)))
+def tested_rows(docs: DataFrame, text_col: str, base: str, found: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `docs` with base spans and tested candidates, written and read back: texts are searched once.
+
+    A text without a run of 20 key characters has spans of the kind assign alone, and none of them without `:` or `=`."""
+    long, set_, blank = (free_name(docs, x) for x in ("secret_long", "secret_set", "secret_blank"))
+    text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(EMPTY)
+    rows = docs.withColumn(long, text.rlike(LONG)).withColumn(set_, (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN))
+    assign = plain(F.when(F.col(set_), spans(text, ASSIGN, 2, 6)).otherwise(none), 0)
+    others = [plain(F.when(F.col(long), spans(text, p)).otherwise(none), k) for k, p in ((1, ACCESS), (2, HEX))]
+    rows = rows.withColumn(base, F.array_sort(F.concat(assign, *others)))
+    rows = rows.withColumn(blank, blanked(text, F.col(base)))
+    # runs of the text, and what base spans leave of them; without base spans both are the same
+    left = F.when(F.col(long), spans(F.col(blank), CANDIDATE)).otherwise(none)
+    runs = F.when(F.col(long) & (F.size(base) > 0), spans(text, CANDIDATE)).otherwise(none)
+    rows = rows.withColumn(found, F.array_union(left, runs))
+    beyond = lambda x: F.substring(F.col(blank), x["start"] + 1, x["end"] - x["start"]).rlike(KEY)
+    rows = rows.withColumn(found, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), beyond(x).alias("beyond"))))
+    return materialize(rows.withColumn(found, tested(F.col(found))).select(*keep, base, found), "secrets")
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", false: float = FALSE) -> dict[int, int]:
+def thresholds(found: DataFrame, column: str, false: float = FALSE) -> dict[int, int]:
     """For each stratum, the least step at which the share of false discoveries stays under `false` (at most 5 rows)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(text_col).alias("text")).filter(text.rlike(CANDIDATE))
-    each = with_candidates(rows, "text", "base", "blank", "found").select(F.explode("found").alias("c"))
-    counts = each.groupBy("c.stratum", "c.step").agg(F.count("*").alias("n"))
+    counts = found.select(F.explode(column).alias("c")).groupBy("c.stratum", "c.step").agg(F.count("*").alias("n"))
     out: dict[int, int] = {}
     total: dict[int, int] = {}
     rows = sorted(((r.stratum, r.step, r.n) for r in counts.collect()), reverse=True)  # strata times steps, 2,005 rows at most
@@ -192,10 +210,10 @@ def thresholds(docs: DataFrame, text_col: str = "text", false: float = FALSE) ->
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random."""
-    rows = with_spans(docs, text_col)
+    rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"])
     count = lambda kind: F.size(F.filter("secret_base", lambda x: x["kind"] == kind)).cast("long")
     return rows.select(
-        F.col(id_col).alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(written(F.col("secret_base")), 256).alias("base_sha256"), written(F.col("secret_spans")).alias("spans"),
         (F.size("secret_spans") - F.size("secret_base")).cast("long").alias("n_random"),
     )
@@ -207,23 +225,21 @@ def written(xs: Column) -> Column:
     return F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", base_name: str = "secret_base", all_name: str = "secret_spans") -> DataFrame:
-    """`docs` with its base spans and all spans; a random span is there where base spans do not cover its characters."""
-    limits = thresholds(docs, text_col)
-    if not limits:
-        rows = docs.withColumn(base_name, base_spans(F.coalesce(F.col(text_col), F.lit(""))))
-        return rows.withColumn(all_name, F.col(base_name))
-    blank = free_name(docs, "secret_blank")
+def with_spans(docs: DataFrame, text_col: str = "text", base_name: str = "secret_base", all_name: str = "secret_spans", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all by default) with their base spans and all spans; a random span is there where base
+    spans do not cover its characters."""
+    rows = tested_rows(docs, text_col, base_name, all_name, docs.columns if keep is None else keep)
+    limits = thresholds(rows, all_name)
 
     def sure(c: Column) -> Column:
         ok = F.lit(False)
         for stratum, step in limits.items():
             ok = ok | ((c["stratum"] == stratum) & (c["step"] >= step))
-        return ok & (c["p_random"] >= LEVEL) & F.substring(F.col(blank), c["start"] + 1, c["end"] - c["start"]).rlike(KEY)
+        return ok & (c["p_random"] >= LEVEL) & c["beyond"]
 
-    rows = with_candidates(docs, text_col, base_name, blank, all_name).withColumn(all_name, plain(F.filter(F.col(all_name), sure), 3))
+    rows = rows.withColumn(all_name, plain(F.filter(F.col(all_name), sure), 3))
     around = lambda x: F.exists(F.col(all_name), lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))
-    return rows.withColumn(all_name, F.array_sort(F.concat(F.col(base_name), F.filter(F.col(all_name), lambda x: ~around(x))))).drop(blank)
+    return rows.withColumn(all_name, F.array_sort(F.concat(F.col(base_name), F.filter(F.col(all_name), lambda x: ~around(x)))))
 
 
 def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = None, mask: str = "[masked]") -> DataFrame:

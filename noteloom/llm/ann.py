@@ -3,8 +3,10 @@
 Codebooks are full-dimensional: the first is fitted to a bounded sample of vectors (the `SAMPLE` with the smallest hashed
 ids), each further one to what the ones before leave over, and then all are refitted together by least squares. A vector
 is encoded by beam search over the codebooks and stored as one code for each, with the norm of what its code rebuilds.
-Queries meet all codes in blocks: a lookup table of products of the query and the codewords scores every code, and the
-best `DEPTH` of each block (ties to the smaller id) are scored again by the vectors themselves, in double precision.
+Queries go to the stored codes in rounds of at most `QUERIES`, a bounded table that every task holds; neither codes nor
+vectors are shuffled. A lookup table of products of the queries and the codewords scores every code of a batch, and the
+best `DEPTH` of the batch (ties to the smaller id) are scored again by the vectors beside them, in double precision. Only
+each query's `k` best of a batch are shuffled.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, nor do
 rows without an id. Rows that repeat an id stay candidates of others but not of that id's query. An empty table gives an
@@ -24,10 +26,10 @@ from .common import materialize
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM = 16, 256, 4
 NEAREST, EVERY = 20, 20
-#: Best codes of a block of candidates that are scored exactly.
-DEPTH = 512
-#: Vectors in a block of candidates, and queries in a block.
-BLOCK, QUERIES = 16_384, 1_024
+#: Best codes of a batch of candidates (Spark's Arrow batch, 10,000 rows by default) that are scored exactly.
+DEPTH = 128
+#: Queries of a round, 32 MB at 64 dimensions, and how many of them meet a batch's codes at once.
+QUERIES, AT_ONCE = 65_536, 64
 SEED = 5
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -94,7 +96,34 @@ def sound(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     return rows.filter(F.size("v") == (sizes[0].d if sizes else 0))
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, every: int = EVERY, sample: int = SAMPLE, depth: int = DEPTH, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def best_of(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: list[np.ndarray], k: int, depth: int) -> pd.DataFrame:
+    """Each query's `k` best of a batch: candidates by lookup tables over their codes, ranks by the vectors."""
+    order = np.argsort(ids, kind="stable")
+    ids, x, codes, norm = ids[order], x[order], codes[order], norm[order]
+    exact_norm = np.linalg.norm(x, axis=1)
+    stretch = np.where(norm > 0, exact_norm / np.where(norm > 0, norm, 1), 1.0).astype(np.float32)  # what coding has shortened
+    out = []
+    for at in range(0, len(queries), AT_ONCE):
+        q = queries[at : at + AT_ONCE]
+        score = np.zeros((len(x), len(q)), np.float32)
+        for m, book in enumerate(books):
+            score += (book @ q.T).astype(np.float32)[codes[:, m]]  # the lookup tables of this codebook
+        score = np.ascontiguousarray((score * stretch[:, None]).T)
+        take = min(depth, len(x))
+        for i, own in enumerate(score):
+            own[ids == query_ids[at + i]] = -np.inf
+            cut = -np.partition(-own, take - 1)[take - 1]
+            best = np.flatnonzero(own > cut)
+            best = np.concatenate([best, np.flatnonzero(own == cut)[: take - len(best)]])
+            best = best[ids[best] != query_ids[at + i]]
+            exact = (x[best] * q[i]).sum(1)
+            top = np.lexsort((ids[best], -exact))[:k]
+            out.append((np.full(len(top), query_ids[at + i]), ids[best][top], exact[top]))
+    query_id, vec_id, score = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, every: int = EVERY, sample: int = SAMPLE, depth: int = DEPTH, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score: the `k` largest inner products found for each id divisible by `every`."""
     spark = df.sparkSession
     rows = sound(df, id_col, vector_col)
@@ -110,39 +139,21 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 yield f.assign(codes=[c.tobytes() for c in codes], norm=np.linalg.norm(rebuilt(codes, books.value), axis=1))
 
     stored = materialize(rows.mapInPandas(coded, "vec_id long, v array<double>, codes binary, norm double"), "codes")
-    n = stored.count()
-    n_blocks, n_queries = -(-n // block), max(1, -(-n // (every * queries)))
-    deal = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
-    once = stored.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("q"))
-    asked = once.select(F.col("vec_id").alias("query_id"), "q", deal(n_queries, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cb"))
-    held = stored.select("vec_id", "v", "codes", "norm", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        right = right.sort_values("vec_id", kind="stable", ignore_index=True)
-        x, ids = np.array(right.v.tolist()), right.vec_id.to_numpy()
-        codes = np.frombuffer(b"".join(right.codes), np.uint8).reshape(len(right), -1)
-        exact_norm, norm = np.linalg.norm(x, axis=1), right.norm.to_numpy()
-        stretch = np.where(norm > 0, exact_norm / np.where(norm > 0, norm, 1), 1.0).astype(np.float32)  # what coding has shortened
-        out = []
-        for query_id, q in zip(left.query_id.to_numpy(), left.q):
-            q = np.array(q)
-            score = np.zeros(len(x), np.float32)
-            for m, book in enumerate(books.value):
-                score += (book @ q).astype(np.float32)[codes[:, m]]  # the lookup table of this codebook
-            score *= stretch
-            score[ids == query_id] = -np.inf
-            take = min(depth, len(x))
-            cut = -np.partition(-score, take - 1)[take - 1]
-            best = np.flatnonzero(score > cut)
-            best = np.concatenate([best, np.flatnonzero(score == cut)[: take - len(best)]])
-            best = best[ids[best] != query_id]
-            exact = (x[best] * q).sum(1)
-            order = np.lexsort((ids[best], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best][order], "score": exact[order]}))
-        return pd.concat(out)
-
-    found = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(search, SCHEMA)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = materialize(stored.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("q")), "queries")
+    rounds = max(1, -(-asked.count() * 5 // (4 * queries)))  # a fifth of room, as hashes fill rounds unevenly
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = None
+    for number in range(rounds):
+        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == number).toPandas()
+        table = spark.sparkContext.broadcast((own.vec_id.to_numpy(), np.array(own.q.tolist())))
+
+        def search(frames, table=table):
+            for f in frames:
+                if len(f) and len(table.value[0]):
+                    codes = np.frombuffer(b"".join(f.codes), np.uint8).reshape(len(f), -1)
+                    yield best_of(f.vec_id.to_numpy(), np.array(f.v.tolist()), codes, f.norm.to_numpy(), *table.value, books.value, k, depth)
+
+        found = materialize(stored.mapInPandas(search, SCHEMA).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "nearest")
+        table.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out.select("query_id", "rank", "vec_id", "score")

@@ -74,16 +74,21 @@ def event_class() -> Column:
 
 
 def followed(events: DataFrame, reads: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
-    """Events with in_window and ever: a read of one of their notes in the same session at or after them (R9), and the first such read.
-
-    Reads meet on (session, note) and the earliest qualifying one is kept, so an event yields one row however many reads match."""
-    each = events.select("surface", "event", "at", "session", F.explode("docs").alias("doc_id"))
-    read = reads.filter(F.col("surface").isin(*READS)).select(F.col("session").alias("s"), F.col("doc_id").alias("d"), F.col("created_at").alias("t"), F.col("id").alias("read_id"))
-    met = each.join(read, (F.col("session") == F.col("s")) & (F.col("doc_id") == F.col("d")) & (F.col("t") >= F.col("at")))
-    soon = F.col("t") <= F.col("at") + F.make_dt_interval(secs=F.lit(float(window_s)))
-    hit = met.groupBy("surface", "event").agg(F.bool_or(soon).alias("in_window"), F.min("t").alias("first_read_at"), F.min("read_id").alias("first_read"))
+    """Events with in_window and ever: a read of one of their notes in the same session at or after them (R9), and the first
+    such read inside the window (R10).
+
+    Events and reads of a (session, note) stand in one time order, backwards, and the last read seen is the next one after an
+    event: a busy session costs a sort, not a product."""
+    each = events.select("surface", "event", "session", F.explode("docs").alias("doc_id"), F.col("at").alias("t"), F.lit(None).cast("long").alias("read_id"))
+    read = reads.filter(F.col("surface").isin(*READS)).select(F.lit(None).cast("string").alias("surface"), F.lit(None).cast("string").alias("event"), "session", "doc_id", F.col("created_at").alias("t"), F.col("id").alias("read_id"))
+    both = each.unionByName(read).filter("session IS NOT NULL AND doc_id IS NOT NULL")
+    backwards = Window.partitionBy("session", "doc_id").orderBy(F.desc("t"), F.desc_nulls_last("read_id")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last(F.when(F.col("read_id").isNotNull(), F.struct("t", "read_id")), ignorenulls=True).over(backwards)
+    met = both.withColumn("next", after).filter("event IS NOT NULL AND next IS NOT NULL")
+    soon = F.col("next.t") <= F.col("t") + F.make_dt_interval(secs=F.lit(float(window_s)))
+    hit = met.groupBy("surface", "event").agg(F.bool_or(soon).alias("in_window"), F.min(F.when(soon, F.col("next"))).alias("first"))
     out = events.join(hit, ["surface", "event"], "left")
-    return out.withColumn("ever", F.col("in_window").isNotNull()).withColumn("in_window", F.coalesce("in_window", F.lit(False)))
+    return out.select(*events.columns, F.coalesce("in_window", F.lit(False)).alias("in_window"), F.col("first.t").alias("first_read_at"), F.col("first.read_id").alias("first_read"), F.col("in_window").isNotNull().alias("ever"))
 
 
 def surface_stats(marked: DataFrame) -> DataFrame:

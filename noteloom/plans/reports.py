@@ -62,9 +62,9 @@ EVENTS = """, events_ AS (
   FROM retrievals GROUP BY ALL),
 classed AS (SELECT *, CASE WHEN session IS NULL THEN 'unattributable' WHEN is_test THEN 'test' END AS class FROM events_)"""
 MARKED = EVENTS + """, hits AS (
-  SELECT surface, event, bool_or(t <= ts + INTERVAL 7 DAY) AS in_window, min(t) AS first_read_at, min(rid) AS first_read
+  SELECT surface, event, bool_or(t <= ts + INTERVAL 7 DAY) AS in_window, min({'t': t, 'rid': rid}) FILTER (WHERE t <= ts + INTERVAL 7 DAY) AS first
   FROM (SELECT surface, event, ts, session, unnest(docs) AS d FROM classed) e JOIN (SELECT session AS s, doc_id AS rd, created_at AS t, id AS rid FROM retrievals WHERE surface = 'kb_read') r ON e.session = r.s AND e.d = r.rd AND r.t >= e.ts GROUP BY ALL),
-marked AS (SELECT c.*, coalesce(h.in_window, FALSE) AS in_window, h.in_window IS NOT NULL AS ever, first_read_at, first_read FROM classed c LEFT JOIN hits h USING (surface, event))"""
+marked AS (SELECT c.*, coalesce(h.in_window, FALSE) AS in_window, h.in_window IS NOT NULL AS ever, first['t'] AS first_read_at, first['rid'] AS first_read FROM classed c LEFT JOIN hits h USING (surface, event))"""
 
 
 @query(EVENTS + " SELECT surface, event, strftime(ts, '%Y-%m-%d %H:%M:%S') AS happened, session, array_to_string(docs, ',') AS docs, is_test, class FROM classed", ("retrievals",))
@@ -75,7 +75,7 @@ def r8_events(spark, sf_dir):
 
 def marked(spark, sf_dir, window_s=WEEK):
     rows = V.retrievals(spark, sf_dir)
-    return R.followed(R.events(rows).filter(F.lit(True)), rows, window_s)
+    return R.followed(R.events(rows), rows, window_s)
 
 
 @query(MARKED + " SELECT surface, event, in_window, ever FROM marked WHERE surface IN ('hint', 'briefing')", ("retrievals",))
@@ -83,9 +83,9 @@ def r9_followed(spark, sf_dir):
     return marked(spark, sf_dir).filter(F.col("surface").isin(*R.PUSHED)).select("surface", "event", "in_window", "ever")
 
 
-@query(MARKED + " SELECT surface, event, first_read, strftime(first_read_at, '%Y-%m-%d %H:%M:%S') AS first_read_at FROM marked WHERE surface IN ('hint', 'briefing') AND ever", ("retrievals",))
+@query(MARKED + " SELECT surface, event, first_read, strftime(first_read_at, '%Y-%m-%d %H:%M:%S') AS first_read_at FROM marked WHERE surface IN ('hint', 'briefing') AND in_window", ("retrievals",))
 def r10_first_read(spark, sf_dir):
-    m = marked(spark, sf_dir).filter(F.col("surface").isin(*R.PUSHED) & F.col("ever"))
+    m = marked(spark, sf_dir).filter(F.col("surface").isin(*R.PUSHED) & F.col("in_window"))
     return m.select("surface", "event", "first_read", F.date_format("first_read_at", "yyyy-MM-dd HH:mm:ss").alias("first_read_at"))
 
 

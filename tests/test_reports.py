@@ -30,6 +30,15 @@ def test_push_then_read_promotes(spark):
     assert [(r.doc_id, r.event, r.tier) for r in got] == [(1, "a", "observed")]
 
 
+def test_the_first_read_is_one_read_in_time(spark):
+    """The read with the smallest id comes long after; its time and id stay together, and the window holds."""
+    log = rows(spark, (1, "kb_read", "s", 300, "x"), (1, "hint", "s", 0, "a"), (1, "kb_read", "s", 5, "y"), (1, "kb_read", "s", 5, "z"), (2, "hint", "s", 0, "late"), (2, "kb_read", "s", 31, "w"), (3, "hint", "s", 7, "same"), (3, "kb_read", "s", 7, "v"), (4, "kb_read", "s", 1, "u"), (4, "hint", "s", 2, "before"))
+    by = {r.event: r for r in R.followed(R.events(log), log).collect()}
+    assert (by["a"].first_read, by["a"].first_read_at) == (2, T0 + dt.timedelta(minutes=5))
+    assert (by["late"].in_window, by["late"].ever, by["late"].first_read) == (False, True, None)
+    assert by["same"].first_read == 7 and not by["before"].ever
+
+
 def test_old_rows_form_events(spark):
     log = rows(spark, (1, "hint", "s", 0, None), (2, "hint", "s", 0, None), (3, "hint", "s", 1, None))
     assert sorted(r.docs for r in R.events(log).collect()) == [[1, 2], [3]]

@@ -30,9 +30,9 @@ def test_search_prefers_title_and_needs_all_terms(spark):
 
 def test_bm25_by_hand(spark):
     n = notes(spark, ("a", "cat cat dog", []), ("b", "dog", []), ("c", "bird", []))
-    index = S.postings(n)
+    index = S.indexed(n)
     q = spark.createDataFrame([(1, "cat")], "query_id long, query string")
-    r = S.bm25(S.matches(S.query_terms(q), index), index, 3).collect()
+    r = S.bm25(S.matches(S.query_terms(q), index), index).collect()
     idf, mean = math.log((3 - 1 + 0.5) / 1.5), 8 / 3
     assert len(r) == 1 and abs(r[0].score + idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / mean))) < 1e-9
 

@@ -1,4 +1,5 @@
-"""V: vectors. The tables' vectors are far apart, so thresholds here are lower than the store's own."""
+"""V: vectors. The tables' vectors are far apart, so thresholds here are lower than the store's own. Queries are the rows
+whose id is divisible by 20, against all rows but their own."""
 
 from __future__ import annotations
 
@@ -18,13 +19,13 @@ links AS (SELECT from_id, to_id, score, kind FROM (SELECT *, row_number() OVER (
 
 def queries_and_corpus(spark, sf_dir):
     v = V.vectors(spark, sf_dir)
-    return v.filter("id % 25 = 0"), v.filter("id % 25 <> 0")
+    return v.filter("id % 20 = 0"), v
 
 
-@query(COS + " SELECT query_id, id, round(s, 6) AS score FROM cos WHERE query_id % 25 = 0 AND id % 25 <> 0 AND s >= 0.3", ("vectors",))
+@query(COS + " SELECT query_id, id, round(s, 6) AS score FROM cos WHERE query_id % 20 = 0 AND query_id <> id AND s >= 0.3", ("vectors",))
 def v1_cosine(spark, sf_dir):
     q, c = queries_and_corpus(spark, sf_dir)
-    return X.similar(q, c, least=0.3).select("query_id", "id", F.round("score", 6).alias("score"))
+    return X.similar(q, c, least=0.3, apart=True).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id, length(substr(text, 1, 2000)) AS n FROM documents")
@@ -39,24 +40,24 @@ def v3_newest(spark, sf_dir):
     return X.newest_chunks(rows).select("document_id", "chunk_index", "id")
 
 
-@query(COS + ", r AS (SELECT query_id, c.id, s, tier, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, c.id) AS k FROM cos c JOIN notes n ON c.id = n.id WHERE query_id % 25 = 0 AND c.id % 25 <> 0 AND superseded_at IS NULL) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(s * 100 + 0.5) DESC, CASE tier WHEN 'inferred' THEN 1 WHEN 'observed' THEN 2 ELSE 3 END DESC, s DESC, id)::INTEGER AS place, id, round(s, 6) AS score FROM r WHERE k <= 10", ("notes", "vectors"))
+@query(COS + ", r AS (SELECT query_id, c.id, s, tier, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, c.id) AS k FROM cos c JOIN notes n ON c.id = n.id WHERE query_id % 20 = 0 AND query_id <> c.id AND superseded_at IS NULL) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(s * 100 + 0.5) DESC, CASE tier WHEN 'inferred' THEN 1 WHEN 'observed' THEN 2 ELSE 3 END DESC, s DESC, id)::INTEGER AS place, id, round(s, 6) AS score FROM r WHERE k <= 10", ("notes", "vectors"))
 def v4_semantic(spark, sf_dir):
     q, c = queries_and_corpus(spark, sf_dir)
     return X.semantic(q, c, V.notes(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
-@query(COS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM cos WHERE query_id % 25 = 0 AND id % 25 <> 0) SELECT query_id, k::INTEGER AS place, id, round(s, 6) AS score FROM r WHERE k <= 5", ("vectors",))
+@query(COS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM cos WHERE query_id % 20 = 0 AND query_id <> id) SELECT query_id, k::INTEGER AS place, id, round(s, 6) AS score FROM r WHERE k <= 5", ("vectors",))
 def v5_nearest(spark, sf_dir):
     q, c = queries_and_corpus(spark, sf_dir)
-    return X.similar(q, c, 5).select("query_id", "place", "id", F.round("score", 6).alias("score"))
+    return X.similar(q, c, 5, apart=True).select("query_id", "place", "id", F.round("score", 6).alias("score"))
 
 
-@query(COS + """, r AS (SELECT query_id, id, round(s, 3) AS score FROM cos WHERE query_id % 25 = 0 AND id % 25 <> 0), d AS (SELECT query_id, 'duplicate' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place, id, score FROM r WHERE score >= 0.4),
+@query(COS + """, r AS (SELECT query_id, id, round(s, 3) AS score FROM cos WHERE query_id % 20 = 0 AND query_id <> id), d AS (SELECT query_id, 'duplicate' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place, id, score FROM r WHERE score >= 0.4),
 n AS (SELECT query_id, 'near' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place, id, score FROM r WHERE score >= 0.3 AND score < 0.4 AND query_id NOT IN (SELECT query_id FROM d))
 SELECT query_id, kind, place::INTEGER AS place, id, score FROM d WHERE place <= 5 UNION ALL SELECT query_id, kind, place::INTEGER, id, score FROM n WHERE place <= 3""", ("vectors",))
 def v6_v7_verdicts(spark, sf_dir):
     q, c = queries_and_corpus(spark, sf_dir)
-    return X.verdicts(X.similar(q, c, least=0.29), 0.4, 0.3)
+    return X.verdicts(X.similar(q, c, least=0.29, apart=True), 0.4, 0.3)
 
 
 @query(COS + INDEX + ASKED + FOUND + RANKED + """, vec AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM cos WHERE query_id IN (SELECT query_id FROM q) AND query_id <> id),
@@ -65,9 +66,8 @@ g AS (SELECT *, CASE WHEN r IS NOT NULL AND s IS NOT NULL THEN 0 WHEN s IS NOT N
 SELECT query_id, place::INTEGER AS place, id, grp FROM p WHERE place <= 30""", ("notes", "vectors"))
 def v8_hybrid(spark, sf_dir):
     q, v = asked(spark, sf_dir), V.vectors(spark, sf_dir)
-    found = X.similar(v.join(q.select(F.col("query_id").alias("id")), "id", "left_semi"), v, 21).filter("query_id <> id")
-    w = found.withColumn("place", F.row_number().over(X.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("place <= 20")
-    return X.hybrid(S.search(q, V.notes(spark, sf_dir)), w, 30)
+    found = X.similar(v.join(q.select(F.col("query_id").alias("id")), "id", "left_semi"), v, 20, apart=True)
+    return X.hybrid(S.search(q, V.notes(spark, sf_dir)), found, 30)
 
 
 def links(spark, sf_dir):
@@ -97,9 +97,5 @@ def v12_near_dup_pairs(spark, sf_dir):
 
 @query()
 def v13_admissions(spark, sf_dir):
-    q, c = queries_and_corpus(spark, sf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="noteloom-"))
-    return X.admissions(c, q, 0.35)
+    v = V.vectors(spark, sf_dir)
+    return X.admissions(v.filter("id % 20 <> 0"), v.filter("id % 20 = 0"), 0.35)

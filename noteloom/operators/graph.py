@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +29,11 @@ def resolved(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     return df.withColumn(column, entity_id(F.col(column))).join(a, F.col(column) == F.col("_alias"), "left").withColumn(column, F.coalesce("_target", column)).drop("_alias", "_target")
 
 
-def canonical_triples(facts: DataFrame) -> DataFrame:
-    """Predicates folded, mirrored ones turned round, and builders put before what they build."""
-    pred = P.canonical_column(F.col("predicate"))
-    f = facts.withColumn("predicate", pred).withColumn("_inverse", P.inverse_column(F.col("predicate")))
+def canonical_triples(facts: DataFrame, rules: P.Rules | None = None) -> DataFrame:
+    """Predicates folded, mirrored ones turned round, and builders put before what they build (G3, G4), by the built-in rules or
+    a table with overrides (G26)."""
+    pred = P.canonical_column(F.col("predicate"), rules)
+    f = facts.withColumn("predicate", pred).withColumn("_inverse", P.inverse_column(F.col("predicate"), rules))
     turned = F.col("_inverse").isNotNull()
     s, o = F.when(turned, F.col("object")).otherwise(F.col("subject")), F.when(turned, F.col("subject")).otherwise(F.col("object"))
     f = f.withColumn("_s", s).withColumn("_o", o).withColumn("predicate", F.coalesce("_inverse", "predicate"))
@@ -49,11 +52,13 @@ def nearest_predicates(predicates: DataFrame, limit: int = 3) -> DataFrame:
     The vocabulary is a fixed list, so each predicate carries it as an array; nothing is joined."""
     pairs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(2))))
     grams = lambda x: F.filter(pairs(x), lambda g: F.length(g) == 2)
-    head = lambda x: P.lemma_column(F.regexp_extract(x, "^[^_]*", 0))
+    verb = lambda x: F.regexp_extract(x, "^[^_]*", 0)
+    heads = {n: n.partition("_")[0] for n in P.vocabulary()}
+    kin = F.create_map(*[x for h in sorted(set(heads.values())) for x in (F.lit(h), F.array(*[F.lit(f) for f in sorted(P.family(h))]))])
     names = F.array(*[F.lit(n) for n in P.vocabulary()])
     each = predicates.select("predicate", P.raw_column(F.col("predicate")).alias("raw")).distinct().select("predicate", "raw", F.explode(names).alias("name"))
     a, b = grams(F.col("raw")), grams(F.col("name"))
-    dice = F.when(F.col("raw") == F.col("name"), 1.0).otherwise(F.coalesce(2 * F.size(F.array_intersect(a, b)) / F.nullif(F.size(a) + F.size(b), F.lit(0)), F.lit(0.0)) + F.when(head(F.col("raw")) == head(F.col("name")), 0.5).otherwise(0.0))
+    dice = F.when(F.col("raw") == F.col("name"), 1.0).otherwise(F.coalesce(2 * F.size(F.array_intersect(a, b)) / F.nullif(F.size(a) + F.size(b), F.lit(0)), F.lit(0.0)) + F.when(F.array_contains(kin[verb(F.col("name"))], verb(F.col("raw"))), 0.5).otherwise(0.0))
     place = F.row_number().over(Window.partitionBy("predicate").orderBy(F.desc("score"), "name"))
     return each.withColumn("score", dice).withColumn("place", place).filter(F.col("place") <= limit).select("predicate", "place", "name", F.round("score", 6).alias("score"))
 
@@ -240,64 +245,135 @@ def consolidate(held: DataFrame, batch: DataFrame) -> DataFrame:
     single = retires(f)
     f = f.filter(listed).withColumn("single", single).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
     h = held.withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
-
-    def same(a_key: str, a_ref: object, b_key: str, b_ref: object) -> bool:
-        return a_key == b_key or (isinstance(a_ref, str) and a_ref == b_ref and (a_key.endswith(b_key) or b_key.endswith(a_key)))
-
-    def run(key: tuple, now: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.object, r.valid_from, r.key, r.ref] for r in now.itertuples()]
-        out = []
-        new = new.sort_values(["arrival", "object"], kind="stable")
-        distinct: list[tuple] = []
-        for r in new.itertuples():
-            if not any(same(r.key, r.ref, *d) for d in distinct):
-                distinct.append((r.key, r.ref))
-        contested = len(distinct) > 1
-        for r in new.itertuples():
-            emit = lambda status, o, reason, to=None: out.append((status, r.arrival, key[0], key[1], o, r.valid_from, to, reason))  # noqa: E731, B023
-            against = [x for x in rows if not same(r.key, r.ref, x[2], x[3])] if r.single else []
-            if any(isinstance(x[1], str) and x[1] > r.valid_from for x in against):
-                emit("skipped", r.object, "stale_observation")
-                continue
-            if not contested:
-                for x in against:
-                    rows.remove(x)
-                    emit("invalidated", x[0], "single_valued_predicate_took_new_object", r.valid_from)
-            twin = next((x for x in rows if same(r.key, r.ref, x[2], x[3])), None)
-            if twin:
-                emit("skipped", r.object, "duplicate" if twin[2] == r.key else "equivalent_spelling_of_existing")
-                continue
-            rows.append([r.object, r.valid_from, r.key, r.ref])
-            emit("added", r.object, None)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in CONSOLIDATED.split(", ")])
-
-    done = h.groupBy("subject", "predicate").cogroup(f.select("arrival", "subject", "predicate", "object", "valid_from", "single", "key", "ref").groupBy("subject", "predicate")).applyInPandas(run, CONSOLIDATED)
-    return done.unionByName(unlisted).unionByName(broken)
+    f = f.select("arrival", "subject", "predicate", "object", "valid_from", "single", "key", "ref")
+    return _in_order(f.filter("single"), h).unionByName(_gathered(f.filter("NOT single"), h)).unionByName(unlisted).unionByName(broken)
+
+
+def _in_order(f: DataFrame, held: DataFrame) -> DataFrame:
+    """Facts of single-valued predicates: each new one retires those that it contradicts, in order of arrival.
+
+    Held and new facts stand in one order by (subject, predicate), and a task walks through it with the live facts of one
+    pair in hand, so no pair has to fit in memory."""
+    pair = ["subject", "predicate"]
+    first = f.groupBy(*pair).agg(F.min_by(F.struct("key", "ref"), F.struct("arrival", "object")).alias("d"))
+    differs = ~((F.col("key") == F.col("d.key")) | F.coalesce((F.col("ref") == F.col("d.ref")) & (F.col("key").endswith(F.col("d.key")) | F.col("d.key").endswith(F.col("key"))), F.lit(False)))
+    contested = f.join(first, pair).groupBy(*pair).agg(F.bool_or(differs).alias("contested"))
+    cols = ["arrival", *pair, "object", "valid_from", "key", "ref"]
+    new = f.select(*cols).withColumn("kind", F.lit(1))
+    old = held.join(contested, pair, "left_semi").select(F.lit(None).cast(f.schema["arrival"].dataType).alias("arrival"), *cols[1:]).withColumn("kind", F.lit(0))
+    rows = new.unionByName(old).join(contested, pair).repartition(*pair).sortWithinPartitions(*pair, "kind", "arrival", "object")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, live = None, []
+        for frame in frames:
+            out: list[tuple] = []
+            for r in frame.itertuples(index=False):
+                if (r.subject, r.predicate) != now:
+                    now, live = (r.subject, r.predicate), []
+                if r.kind == 0:
+                    live.append((r.object, r.valid_from, r.key, r.ref))
+                else:
+                    live = _arrive(live, r, out)
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in CONSOLIDATED.split(", ")])
+
+    return rows.mapInPandas(walk, CONSOLIDATED)
+
+
+def _same(a_key: str, a_ref: object, b_key: str, b_ref: object) -> bool:
+    return a_key == b_key or (isinstance(a_ref, str) and a_ref == b_ref and (a_key.endswith(b_key) or b_key.endswith(a_key)))
+
+
+def _arrive(live: list[tuple], r: tuple, out: list[tuple]) -> list[tuple]:
+    """The live facts of a pair after a new one; what becomes of it, and of those that it retires, goes to `out`."""
+    emit = lambda status, o, reason, to=None: out.append((status, r.arrival, r.subject, r.predicate, o, r.valid_from, to, reason))
+    alike = [_same(r.key, r.ref, x[2], x[3]) for x in live]
+    against = [x for x, same in zip(live, alike) if not same]
+    if any(isinstance(x[1], str) and x[1] > r.valid_from for x in against):
+        emit("skipped", r.object, "stale_observation")
+        return live
+    if against and not r.contested:  # one batch cannot order what it contests itself
+        live = [x for x, same in zip(live, alike) if same]
+        for x in against:
+            emit("invalidated", x[0], "single_valued_predicate_took_new_object", r.valid_from)
+    twin = next((x for x in live if _same(r.key, r.ref, x[2], x[3])), None)
+    if twin:
+        emit("skipped", r.object, "duplicate" if twin[2] == r.key else "equivalent_spelling_of_existing")
+        return live
+    emit("added", r.object, None)
+    return [*live, (r.object, r.valid_from, r.key, r.ref)]
+
+
+def _gathered(f: DataFrame, held: DataFrame) -> DataFrame:
+    """Facts of predicates that hold many objects: the first of each spelling is added unless it, or another spelling of its
+    reference, is held or came before. Only spellings meet, however many facts repeat them."""
+    pair = ["subject", "predicate"]
+    new = f.groupBy(*pair, "key").agg(F.max("ref").alias("ref"), F.min(F.struct("arrival", "object")).alias("first"))
+    old = held.join(new.select(*pair).distinct(), pair, "left_semi").groupBy(*pair, "key").agg(F.max("ref").alias("ref")).withColumn("held", F.lit(True))
+    none = F.lit(None).cast(new.schema["first"].dataType)
+    each = new.withColumn("held", F.lit(False)).unionByName(old.withColumn("first", none))
+    each = each.groupBy(*pair, "key").agg(F.max("ref").alias("ref"), F.bool_or("held").alias("held"), F.max("first").alias("first"))
+    item = F.struct((~F.col("held")).alias("later"), "first", "key")
+    groups = each.groupBy(*pair, F.coalesce("ref", "key").alias("g")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # the spellings of one reference
+    alike = lambda a, b: a.endswith(b) | b.endswith(a)
+    taken = F.array().cast("array<struct<key:string,why:string>>")
+    live = lambda acc, x: F.exists(acc, lambda y: F.isnull(y["why"]) & alike(y["key"], x["key"]))
+    why = lambda acc, x: F.when(~x["later"], F.lit(None).cast("string")).when(live(acc, x), F.lit("equivalent_spelling_of_existing"))
+    judged = F.aggregate("items", taken, lambda acc, x: F.array_append(acc, F.struct(x["key"].alias("key"), why(acc, x).alias("why"))))
+    verdict = groups.select(*pair, F.explode(F.arrays_zip(F.col("items"), judged.alias("judged"))).alias("x")).select(*pair, F.col("x.items.key").alias("key"), F.col("x.items.first").alias("first"), F.col("x.items.later").alias("later"), F.col("x.judged.why").alias("why"))
+    j = f.join(verdict.filter("first IS NOT NULL"), [*pair, "key"])
+    # rows that repeat a first arrival word for word: one is added
+    nth = F.row_number().over(Window.partitionBy(*pair, "key", "arrival", "object").orderBy("valid_from"))
+    added = F.col("later") & F.col("why").isNull() & (F.struct("arrival", "object") == F.col("first")) & (F.col("nth") == 1)
+    reason = F.when(~F.col("added"), F.coalesce("why", F.lit("duplicate")))
+    return j.withColumn("nth", nth).withColumn("added", added).select(F.when(F.col("added"), "added").otherwise("skipped").alias("status"), "arrival", *pair, "object", "valid_from", F.lit(None).cast("string").alias("valid_to"), reason.alias("reason"))
+
+
+def single_inserts(held: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One-fact requests, each its own (G24): (judged, retired).
+
+    `held`: id, subject, predicate, object, valid_from (live facts, text dates); `requests`: request, subject, predicate,
+    object, valid_from. A request retires all facts that it contradicts or writes nothing: if one of them starts later, or
+    ends before it begins, its outcome is refused. `retired` has the facts' ids with the date that ends them."""
+    f = canonical_triples(requests).withColumn("subject", entity_id(F.col("subject")))
+    f = f.withColumn("single", retires(f)).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
+    h = held.select(F.col("id").alias("fact_id"), "subject", "predicate", F.col("valid_from").alias("since"), entity_id(F.col("object")).alias("h_key"), reference(F.col("object")).alias("h_ref"))
+    j = f.join(h, ["subject", "predicate"], "left")
+    same = (F.col("key") == F.col("h_key")) | F.coalesce((F.col("ref") == F.col("h_ref")) & (F.col("key").endswith(F.col("h_key")) | F.col("h_key").endswith(F.col("key"))), F.lit(False))
+    j = j.withColumn("same", F.col("fact_id").isNotNull() & same).withColumn("against", F.col("single") & F.col("fact_id").isNotNull() & ~same)
+    j = j.withColumn("newer", F.col("against") & F.coalesce(F.col("since") > F.col("valid_from"), F.lit(False)))
+    sums = j.groupBy("request").agg(F.bool_or("same").alias("there"), F.bool_or("newer").alias("newer"), F.count_if("against").alias("against"))
+    outcome = F.when(F.col("newer"), "refused").when(F.col("there"), "exists").otherwise("added")
+    judged = sums.select("request", outcome.alias("outcome"), F.when(F.col("newer"), 0).otherwise(F.col("against")).alias("retires"))
+    retired = j.filter("against").join(judged.filter("outcome <> 'refused'").select("request"), "request", "left_semi").select(F.col("fact_id").alias("id"), "request", F.col("valid_from").alias("valid_to"))
+    return judged, retired
 
 
 def fold_directions(facts: DataFrame) -> DataFrame:
     """Facts whose direction folds: rewritten, or merged into a live twin, whose date becomes the earlier one.
 
-    Result: id, action (keep, fold, merge), subject, predicate, object, valid_from."""
-    kind = facts.schema["valid_from"].dataType.simpleString()
-    turned = canonical_triples(facts)
+    Result: id, action (keep, fold, merge), subject, predicate, object, valid_from. Spellings meet, not facts: of each
+    (subject, predicate, spelling) the first fact that stays, or else the first that moves, stands for the others."""
+    trio = ["subject", "predicate", "key"]
     own = facts.select("id", F.col("subject").alias("s0"), F.col("predicate").alias("p0"), F.col("object").alias("o0"))
-    f = turned.join(own, "id").withColumn("moves", (F.col("s0") != F.col("subject")) | (F.col("p0") != F.col("predicate")) | (F.col("o0") != F.col("object")))
+    f = canonical_triples(facts).join(own, "id").withColumn("moves", (F.col("s0") != F.col("subject")) | (F.col("p0") != F.col("predicate")) | (F.col("o0") != F.col("object")))
     f = f.withColumn("key", F.lower(F.trim("object"))).withColumn("ref", reference(F.col("object")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["valid_from", "id"], kind="stable", na_position="first")
-        live = pdf[pdf.valid_to.isna()]
-        held = [[r.id, r.key, r.ref, r.valid_from] for r in live[~live.moves].itertuples()]
-        action, dates = dict(zip(pdf.id, ["fold" if m else "keep" for m in pdf.moves])), {}
-        for r in live[live.moves].itertuples():
-            twin = next((x for x in held if x[1] == r.key or (isinstance(r.ref, str) and r.ref == x[2] and (x[1].endswith(r.key) or r.key.endswith(x[1])))), None)
-            if twin is None:
-                held.append([r.id, r.key, r.ref, r.valid_from])
-                continue
-            action[r.id] = "merge"
-            if pd.notna(twin[3]) and (pd.isna(r.valid_from) or r.valid_from < twin[3]):
-                twin[3] = dates[twin[0]] = r.valid_from
-        return pdf.assign(action=pdf.id.map(action), valid_from=[dates.get(i, v) for i, v in zip(pdf.id, pdf.valid_from)])[["id", "action", "subject", "predicate", "object", "valid_from"]]
-
-    return f.select("id", "subject", "predicate", "object", "valid_from", "valid_to", "moves", "key", "ref").groupBy("subject", "predicate").applyInPandas(run, f"id long, action string, subject string, predicate string, object string, valid_from {kind}")
+    at = F.struct("valid_from", "id")
+    live = f.filter("valid_to IS NULL").groupBy(*trio).agg(F.max("ref").alias("ref"), F.min(F.when(~F.col("moves"), at)).alias("stays"), F.min(F.when(F.col("moves"), at)).alias("moved"), F.min(F.when(F.col("moves"), F.col("valid_from"))).alias("earliest"))
+    item = F.struct(F.col("stays").isNull().alias("later"), F.coalesce("stays", "moved").alias("at"), "key")
+    groups = live.groupBy("subject", "predicate", F.coalesce("ref", "key").alias("g")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    alike = lambda a, b: a.endswith(b) | b.endswith(a)
+    taken = lambda acc, x: F.filter(acc, lambda y: (y["owner"] == y["key"]) & alike(y["key"], x["key"]))
+    owner = lambda acc, x: F.when(x["later"], F.coalesce(F.get(taken(acc, x), 0)["key"], x["key"])).otherwise(x["key"])
+    none = F.array().cast("array<struct<key:string,owner:string>>")
+    owners = F.aggregate("items", none, lambda acc, x: F.array_append(acc, F.struct(x["key"].alias("key"), owner(acc, x).alias("owner"))))
+    owned = groups.select("subject", "predicate", F.explode(owners).alias("o")).select("subject", "predicate", "o.key", "o.owner")
+    j = live.join(owned, trio)
+    # the fact that stands for an owner's spellings, and the earliest date of what merges into it
+    head = j.filter("key = owner").select("subject", "predicate", "owner", F.coalesce("stays", "moved").alias("head"))
+    date = j.groupBy("subject", "predicate", "owner").agg(F.min("earliest").alias("earliest"))
+    known = j.select(*trio, "owner").join(head, ["subject", "predicate", "owner"]).join(date, ["subject", "predicate", "owner"])
+    out = f.join(known, trio, "left")
+    stands = F.col("valid_to").isNull() & (F.col("id") == F.col("head.id"))
+    action = F.when(~F.col("moves"), "keep").when(F.col("valid_to").isNull() & ~F.coalesce(stands, F.lit(False)), "merge").otherwise("fold")
+    since = F.when(stands & F.col("valid_from").isNotNull(), F.least("valid_from", "earliest")).otherwise(F.col("valid_from"))
+    return out.select("id", action.alias("action"), "subject", "predicate", "object", since.alias("valid_from"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noteloom.functions import predicates as P
 from noteloom.operators import graph as G
 from noteloom.sources import views as V
 
@@ -63,9 +64,9 @@ def g7_inserted(spark, sf_dir):
     return G.inserted(c.filter("id % 2 = 1"), held).select("id", "subject", "predicate", "object")
 
 
-@query(", q AS (SELECT 'customer_' || c_custkey AS entity FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'f' UNION ALL SELECT 'customer'), low AS (SELECT id, subject, lower(object) AS object, valid_from, valid_to FROM facts WHERE valid_from <= DATE '1996-06-30' AND (valid_to IS NULL OR valid_to >= DATE '1996-06-30')) SELECT entity, id, 'outgoing' AS direction FROM q JOIN low ON entity = subject UNION ALL SELECT entity, id, 'incoming' FROM q JOIN low ON entity = object", ("facts",))
+@query(", q AS (SELECT 'customer_' || c_custkey AS entity FROM customer UNION ALL SELECT 'f' UNION ALL SELECT 'customer'), low AS (SELECT id, subject, lower(object) AS object, valid_from, valid_to FROM facts WHERE valid_from <= DATE '1996-06-30' AND (valid_to IS NULL OR valid_to >= DATE '1996-06-30')) SELECT entity, id, 'outgoing' AS direction FROM q JOIN low ON entity = subject UNION ALL SELECT entity, id, 'incoming' FROM q JOIN low ON entity = object", ("facts",))
 def g8_facts_of(spark, sf_dir):
-    c = V.read(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("entity"))
+    c = V.read(spark, sf_dir, "customer").select(F.concat(F.lit("customer_"), "c_custkey").alias("entity"))
     q = c.unionByName(spark.createDataFrame([("f",), ("customer",)], "entity string"))
     f = V.facts(spark, sf_dir).withColumn("object", F.lower("object"))
     return G.facts_of(q, f, F.lit("1996-06-30").cast("date")).select("entity", "id", "direction")
@@ -147,7 +148,8 @@ def g18_fold_plan(spark, sf_dir):
     return G.fold_plan(f).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(CLAIMS + """, t AS (SELECT c.id, t.subject, t.predicate, lower(trim(t.object)) AS key, c.valid_from, c.id % 5 <> 0 AS live, c.subject <> t.subject OR c.predicate <> t.predicate OR c.object <> t.object AS moves FROM claims c JOIN turned t ON c.id = t.id),
+n AS (SELECT *, bool_or(live AND NOT moves) OVER (PARTITION BY subject, predicate, key) AS held, row_number() OVER (PARTITION BY subject, predicate, key, live, moves ORDER BY valid_from, id) AS k FROM t) SELECT CASE WHEN NOT moves THEN 'keep' WHEN live AND (held OR k > 1) THEN 'merge' ELSE 'fold' END AS action, count(*) AS n FROM n GROUP BY 1""")
 def g19_fold_directions(spark, sf_dir):
     f = claims(spark, sf_dir).withColumn("valid_to", F.when(F.col("id") % 5 == 0, F.col("valid_from"))).withColumn("valid_from", F.col("valid_from").cast("string"))
     return G.fold_directions(f).groupBy("action").agg(F.count("*").alias("n"))
@@ -171,8 +173,33 @@ def g22_conflicts(spark, sf_dir):
     return G.conflicts(claims(spark, sf_dir)).select("subject", "predicate", F.size("objects").cast("long").alias("objects"))
 
 
-@query()
+@query(", held AS (SELECT subject || '_co' AS subject, lower(object) AS key FROM facts WHERE valid_to IS NULL), b AS (SELECT o_orderkey AS arrival, 'customer_' || o_custkey || '_co' AS subject, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS object, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS valid_from FROM orders), j AS (SELECT b.*, h.key IS NOT NULL AS there, row_number() OVER (PARTITION BY b.subject, lower(b.object) ORDER BY arrival) AS k FROM b LEFT JOIN held h ON b.subject = h.subject AND lower(b.object) = h.key) SELECT CASE WHEN there OR k > 1 THEN 'skipped' ELSE 'added' END AS status, arrival, subject, 'status' AS predicate, object, valid_from, CAST(NULL AS VARCHAR) AS valid_to, CASE WHEN there OR k > 1 THEN 'duplicate' END AS reason FROM j", ("facts",))
 def g23_consolidated(spark, sf_dir):
+    """Subjects that are no work items, so that a status may hold many values."""
+    f = V.facts(spark, sf_dir).filter("valid_to IS NULL").select(F.concat("subject", F.lit("_co")).alias("subject"), "predicate", "object", F.col("valid_from").cast("string").alias("valid_from"))
+    batch = V.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrival"), F.concat(F.lit("Customer "), "o_custkey", F.lit(" Co")).alias("subject"), F.lit("Status").alias("predicate"), F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("object"), F.to_date("o_orderdate").cast("string").alias("valid_from"))
+    return G.consolidate(f, batch)
+
+
+@query(", held AS (SELECT subject, lower(object) AS key, object, CAST(valid_from AS VARCHAR) AS since FROM facts WHERE valid_to IS NULL), b AS (SELECT max(o_orderkey) AS arrival, 'customer_' || o_custkey AS subject, CASE WHEN o_custkey % 3 = 0 THEN 'X' ELSE 'O' END AS object, CAST(CAST(max_by(o_orderdate, o_orderkey) AS DATE) AS VARCHAR) AS valid_from FROM orders GROUP BY o_custkey), j AS (SELECT b.*, h.key, h.object AS was, h.since FROM b JOIN held h ON b.subject = h.subject), d AS (SELECT *, CASE WHEN key <> lower(object) AND since > valid_from THEN 'stale_observation' WHEN key = lower(object) THEN 'duplicate' END AS reason FROM j) SELECT CASE WHEN reason IS NULL THEN 'added' ELSE 'skipped' END AS status, arrival, subject, object, reason FROM d UNION ALL SELECT 'invalidated', arrival, subject, was, 'single_valued_predicate_took_new_object' FROM d WHERE reason IS NULL", ("facts",))
+def g25_late_observations(spark, sf_dir):
+    """One new status for each customer, some older than the held one."""
     f = V.facts(spark, sf_dir).filter("valid_to IS NULL").select("subject", "predicate", "object", F.col("valid_from").cast("string").alias("valid_from"))
-    batch = V.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrival"), F.concat(F.lit("Customer "), "o_custkey").alias("subject"), F.lit("Status").alias("predicate"), F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("object"), F.to_date("o_orderdate").cast("string").alias("valid_from"))
-    return G.consolidate(f, batch.filter("arrival % 4 = 0"))
+    o = V.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("arrival"), F.max_by("o_orderdate", "o_orderkey").alias("at"))
+    batch = o.select("arrival", F.concat(F.lit("Customer "), "o_custkey").alias("subject"), F.lit("Status").alias("predicate"), F.when(F.col("o_custkey") % 3 == 0, "X").otherwise("O").alias("object"), F.to_date("at").cast("string").alias("valid_from"))
+    return G.consolidate(f, batch).select("status", "arrival", "subject", "object", "reason")
+
+
+@query(CLAIMS.rstrip() + ", f AS (SELECT id, CASE WHEN predicate = 'requires' THEN subject WHEN swaps = 1 THEN object ELSE subject END AS subject, CASE predicate WHEN 'requires' THEN 'uses' ELSE folded END AS predicate FROM claims) SELECT predicate, count(*) AS n FROM f GROUP BY predicate")
+def g26_overrides(spark, sf_dir):
+    """The rule table with an alias of one's own, and one whose target is folded itself and so is left out."""
+    rules = P.Rules(aliases={"requires": "uses", "state": "needs"})
+    return G.canonical_triples(claims(spark, sf_dir), rules).groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+@query(", q AS (SELECT o_orderkey AS request, 'tkt_' || (o_orderkey % 50) AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE lower(o_orderstatus) END AS object, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS valid_from FROM orders), h AS (SELECT c_custkey AS id, 'tkt_' || (c_custkey % 50) AS subject, CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'f' ELSE 'held' END AS object, CAST(1992 + c_custkey % 6 AS VARCHAR) || '-06-15' AS since FROM customer WHERE c_custkey <= 100), j AS (SELECT request, bool_or(coalesce(q.object = h.object, FALSE)) AS there, bool_or(coalesce(q.object <> h.object AND since > valid_from, FALSE)) AS newer, count_if(q.object <> h.object)::BIGINT AS against FROM q LEFT JOIN h USING (subject) GROUP BY request) SELECT request, CASE WHEN newer THEN 'refused' WHEN there THEN 'exists' ELSE 'added' END AS outcome, CASE WHEN newer THEN 0 ELSE against END AS retires FROM j".lstrip(", ").replace("q AS", "WITH q AS", 1))
+def g24_single_inserts(spark, sf_dir):
+    o, k = V.read(spark, sf_dir, "orders"), F.col("c_custkey")
+    asked = o.select(F.col("o_orderkey").alias("request"), F.concat(F.lit("TKT-"), F.col("o_orderkey") % 50).alias("subject"), F.lit("status").alias("predicate"), F.when(F.col("o_orderkey") % 2 == 0, "Open").otherwise(F.col("o_orderstatus")).alias("object"), F.to_date("o_orderdate").cast("string").alias("valid_from"))
+    held = V.read(spark, sf_dir, "customer").filter("c_custkey <= 100").select(k.alias("id"), F.concat(F.lit("tkt_"), k % 50).alias("subject"), F.lit("status").alias("predicate"), F.when(k % 3 == 0, "open").when(k % 3 == 1, "F").otherwise("held").alias("object"), F.concat((1992 + k % 6).cast("string"), F.lit("-06-15")).alias("valid_from"))
+    return G.single_inserts(held, asked)[0]

@@ -16,10 +16,17 @@ def test_predicates_fold(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "p string")
     got = {r.p: r.c for r in rows.select("p", P.canonical_column(F.col("p")).alias("c")).collect()}
     assert got == cases | {"Owner’s": got["Owner’s"]}
-    lemmas = {r.p: r.c for r in rows.select("p", P.lemma_column(F.col("p")).alias("c")).collect()}
-    assert lemmas == {k: P.lemma(k) for k in cases}
     assert "owned_by" not in P.vocabulary() and "owns" in P.vocabulary() and len(P.vocabulary()) == 58
-    assert P.without_chains({"a": "b", "b": "c"}) == {"b": "c"}
+    assert P.Rules.unchained({"a": "b", "b": "c"}) == {"b": "c"}
+    assert {"ship", "ships", "shipped"} <= P.family("shipped") and "fixed" in P.family("fixes") and P.family("status") == {"status"} | (P.family("status") - {"statu"})
+
+
+def test_rule_table_takes_overrides(spark):
+    rules = P.Rules(aliases={"needs": "uses", "wants": "craves", "craves": "uses"}, vocabulary=["mirrors"], inverses={"mirrored_by": "mirrors"})
+    f = spark.createDataFrame([(1, "a", "needs", "b"), (2, "a", "wants", "b"), (3, "a", "craves", "b"), (4, "a", "mirrored by", "b"), (5, "a", "mirror", "b")], "id int, subject string, predicate string, object string")
+    got = {r.id: (r.subject, r.predicate) for r in G.canonical_triples(f, rules).collect()}
+    assert got == {1: ("a", "uses"), 2: ("a", "wants"), 3: ("a", "uses"), 4: ("b", "mirrors"), 5: ("a", "mirrors")}
+    assert "mirrors" in rules.vocabulary and "mirrored_by" not in rules.vocabulary
 
 
 def test_folding_is_idempotent(spark):
@@ -65,3 +72,18 @@ def test_nearest_predicates(spark):
     got = G.nearest_predicates(spark.createDataFrame([("deploy_onto",), ("owns",)], "predicate string")).collect()
     best = {r.predicate: r.name for r in got if r.place == 1}
     assert best == {"deploy_onto": "deployed_to", "owns": "owns"} and len(got) == 6
+
+
+def test_spellings_meet_once_each(spark):
+    """Objects of many-valued predicates, in order of arrival, whatever refers to the same thing."""
+    held = [("repo_a", "uses", "web-app PR #5", "2024-01-01")]
+    got = run(spark, held, [(1, "repo_a", "uses", "pr #5", "2024-02-01"), (2, "repo_a", "uses", "billing PR #6", "2024-02-01"), (3, "repo_a", "uses", "PR #6", "2024-02-01"), (4, "repo_a", "uses", "x", "2024-02-01"), (5, "repo_a", "uses", "X", "2024-02-01"), (6, "repo_a", "uses", "web-app pr #5", "2024-02-01"), (6, "repo_a", "uses", "web-app pr #5", "2024-02-01")])
+    assert [r[1:] for r in got] == [("skipped", "pr #5", "equivalent_spelling_of_existing"), ("added", "billing PR #6", None), ("skipped", "PR #6", "equivalent_spelling_of_existing"), ("added", "x", None), ("skipped", "X", "duplicate"), ("skipped", "web-app pr #5", "duplicate"), ("skipped", "web-app pr #5", "duplicate")]
+
+
+def test_single_inserts_are_whole_or_nothing(spark):
+    held = spark.createDataFrame([(1, "tkt_1", "status", "open", "2024-01-01"), (2, "tkt_1", "status", "held", "2024-06-01"), (3, "tkt_2", "status", "open", "2024-01-01"), (4, "repo_a", "uses", "x", "2024-09-01")], "id long, subject string, predicate string, object string, valid_from string")
+    asked = spark.createDataFrame([(1, "TKT-1", "status", "done", "2024-03-01"), (2, "tkt-2", "Status", "done", "2024-03-01"), (3, "repo_a", "uses", "y", "2024-01-01"), (4, "tkt-3", "status", "done", "2024-01-01"), (5, "tkt_2", "status", "OPEN", "2024-03-01")], "request long, subject string, predicate string, object string, valid_from string")
+    judged, retired = G.single_inserts(held, asked)
+    assert {r.request: (r.outcome, r.retires) for r in judged.collect()} == {1: ("refused", 0), 2: ("added", 1), 3: ("added", 0), 4: ("added", 0), 5: ("exists", 0)}
+    assert [(r.id, r.request, r.valid_to) for r in retired.collect()] == [(3, 2, "2024-03-01")]

@@ -80,32 +80,64 @@ def strongest(tags: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:
     return scored(j, n).orderBy(F.desc("score"), F.desc("cooccur"), "a", "b").limit(limit).select("a", "b", "cooccur", "lift", "score")
 
 
+def entity_candidates(entities: DataFrame, facts: DataFrame, excluded: list[str], least: int = 2) -> DataFrame:
+    """(entity, name) of entities that stand in `least` facts or more, but for the names of the tags themselves (K8)."""
+    both = F.array_distinct(F.array("subject", "object"))
+    used = facts.select(F.explode(both).alias("entity")).groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("entity")
+    return entities.join(used, "entity", "left_semi").filter(~F.lower(F.trim("name")).isin(excluded)).select("entity", "name")
+
+
+def tokens(c: Column) -> Column:
+    """Runs of the characters that do not bound a name."""
+    return F.filter(F.split(F.lower(c), "[^a-z0-9_-]+"), lambda w: w != "")
+
+
 def mentions(notes: DataFrame, entities: DataFrame, key_words: int = 4) -> DataFrame:
     """(id, entity): notes whose text names an entity at word boundaries (K8).
 
-    Word n-grams of notes meet the first `key_words` words of entity names by an equi-join; only then is the boundary rule
-    checked on the whole name, so no note is compared with all names."""
-    names = entities.select(F.col("entity"), F.lower(F.trim("name")).alias("name")).filter((F.length("name") >= 3) & ~F.col("name").rlike("^[0-9]+$"))
-    key = lambda c: F.array_join(F.slice(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), 1, key_words), " ")
-    named = names.withColumn("key", key(F.col("name"))).withColumn("k", F.size(F.split("key", " ")))
+    A name that is one token is mentioned where the note has that token, so an equi-join on tokens decides. Other names meet
+    n-grams of tokens by their first `key_words`; then each note's text is read once, for all names that may stand in it."""
+    names = entities.select("entity", F.lower(F.trim("name")).alias("name")).filter((F.length("name") >= 3) & ~F.col("name").rlike("^[0-9]+$"))
+    first = F.slice(tokens(F.col("name")), 1, key_words)
+    named = names.select("entity", "name", F.array_join(first, " ").alias("key"), F.size(first).alias("k")).filter("k > 0").withColumn("whole", (F.col("k") == 1) & (F.col("key") == F.col("name")))
     text = F.lower(F.concat_ws("\n", "title", "content"))
-    words = notes.select("id", F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "").alias("w"))
-    sizes = [r.k for r in named.select("k").distinct().collect()]  # at most key_words numbers
-    grams = None
-    for k in sizes:
-        one = words.filter(F.size("w") >= k).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))).alias("key"))
-        grams = one if grams is None else grams.unionByName(one)
-    if grams is None:
+    words = notes.select("id", tokens(text).alias("w"))
+    sizes = sorted(r.k for r in named.select("k").distinct().collect())  # at most key_words numbers
+    if not sizes:
         return named.select(F.lit(0).cast("long").alias("id"), "entity").limit(0)
-    hits = grams.join(named.select("entity", "name", "key"), "key")
-    full = hits.join(notes.select("id", text.alias("text")), "id")
-    quoted = F.concat(F.lit("(^|[^a-z0-9_-])\\Q"), "name", F.lit("\\E($|[^a-z0-9_-])"))
-    return full.filter(F.regexp_like("text", quoted)).select("id", "entity").distinct()
+
+    def of(k: int) -> Column:
+        run = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+        return F.when(F.size("w") >= k, run).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*[of(k) for k in sizes])))
+    hits = words.select("id", F.explode(grams).alias("key")).join(named, "key")
+    sure = hits.filter("whole").select("id", "entity")
+    maybe = hits.filter("NOT whole").groupBy("id").agg(F.collect_set(F.struct("entity", "name")).alias("names"))
+    quoted = lambda x: F.concat(F.lit("(^|[^a-z0-9_-])\\Q"), x["name"], F.lit("\\E($|[^a-z0-9_-])"))
+    there = F.filter("names", lambda x: F.contains("text", x["name"]) & F.regexp_like("text", quoted(x)))
+    checked = maybe.join(notes.select("id", text.alias("text")), "id").select("id", F.explode(there).alias("x")).select("id", "x.entity")
+    return sure.unionByName(checked).distinct()
+
+
+def sides(tags: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, in_a, in_b) of all tagged notes."""
+    return tags.groupBy("id").agg(F.bool_or(F.col("tag") == a).alias("in_a"), F.bool_or(F.col("tag") == b).alias("in_b"))
+
+
+def tunnel_stats(tags: DataFrame, a: str, b: str) -> DataFrame:
+    """Notes on either side and on both (K9)."""
+    return sides(tags, a, b).agg(F.count_if("in_a").alias("docs_from"), F.count_if("in_b").alias("docs_to"), F.count_if(F.col("in_a") & F.col("in_b")).alias("overlap"))
+
+
+def bridge_notes(notes: DataFrame, tags: DataFrame, a: str, b: str, limit: int = 10) -> DataFrame:
+    """The newest notes with both tags (K9)."""
+    both = sides(tags, a, b).filter("in_a AND in_b").select("id")
+    return notes.join(both, "id", "left_semi").orderBy(F.desc_nulls_last("created_at"), "id").limit(limit)
 
 
 def bridge_entities(mentioned: DataFrame, tags: DataFrame, a: str, b: str, n: int, limit: int = 10) -> DataFrame:
     """Entities named on both sides, by log2(1 + smaller side) * log2(n / df) (K9)."""
-    side = tags.groupBy("id").agg(F.bool_or(F.col("tag") == a).alias("in_a"), F.bool_or(F.col("tag") == b).alias("in_b"))
-    c = mentioned.join(side, "id").groupBy("entity").agg(F.count("*").alias("df"), F.count_if("in_a").alias("n_from"), F.count_if("in_b").alias("n_to"))
+    c = mentioned.join(sides(tags, a, b), "id").groupBy("entity").agg(F.count("*").alias("df"), F.count_if("in_a").alias("n_from"), F.count_if("in_b").alias("n_to"))
     strength = round2(F.log2(1 + F.least("n_from", "n_to")) * F.log2(F.lit(float(n)) / F.col("df")))
     return c.filter("n_from > 0 AND n_to > 0").withColumn("strength", strength).filter("strength > 0").orderBy(F.desc("strength"), F.desc(F.least("n_from", "n_to")), "entity").limit(limit)

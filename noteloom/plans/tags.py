@@ -57,19 +57,25 @@ def k7_strongest(spark, sf_dir):
     return K.strongest(tagged(spark, sf_dir))
 
 
-ENTITIES = ("the", "and thth", "eau", "that of", "token")
+#: Facts over the words of the benchmark's passages: each word and the two after it as one name.
+TOLD = """, w AS (SELECT string_split(lower(text), ' ') AS x FROM benchmark), f AS (SELECT x[i] AS subject, x[i + 1] || ' ' || x[i + 2] AS object FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM w)),
+e AS (SELECT name AS entity, name FROM (SELECT subject AS name FROM f UNION ALL SELECT object FROM f WHERE object <> subject) GROUP BY name HAVING count(*) >= 2 AND length(name) >= 3 AND name NOT IN ('en', 'research')),
+m AS (SELECT id, entity FROM (SELECT id, lower(title || chr(10) || content) AS t FROM notes), e WHERE contains(t, name) AND regexp_matches(t, '(^|[^a-z0-9_-])' || regexp_escape(name) || '($|[^a-z0-9_-])'))"""
+MENTIONS = TAGS + TOLD
 
 
-def entities(spark):
-    return spark.createDataFrame([(f"e{i}", x) for i, x in enumerate(ENTITIES)], "entity string, name string")
-
-
-MENTIONS = TAGS + ", e AS (SELECT * FROM (VALUES " + ", ".join(f"('e{i}', '{x}')" for i, x in enumerate(ENTITIES)) + ") v(entity, name)), m AS (SELECT id, entity FROM notes, e WHERE regexp_matches(lower(title || chr(10) || content), '(^|[^a-z0-9_-])' || name || '($|[^a-z0-9_-])'))"
+def candidates(spark, sf_dir):
+    w = F.split(F.lower("text"), " ")
+    at = F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
+    three = F.explode(F.transform(at, lambda i: F.struct(F.get(w, i).alias("subject"), F.concat(F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)).alias("object"))))
+    f = V.read(spark, sf_dir, "benchmark").select(three.alias("f")).select("f.*")
+    names = f.select(F.explode(F.array("subject", "object")).alias("entity")).distinct().withColumn("name", F.col("entity"))
+    return K.entity_candidates(names, f, ["en", "research"])
 
 
 @query(MENTIONS + " SELECT entity, count(*) AS df FROM m GROUP BY entity", ("notes",))
 def k8_mentions(spark, sf_dir):
-    return K.mentions(V.notes(spark, sf_dir), entities(spark)).groupBy("entity").agg(F.count("*").alias("df"))
+    return K.mentions(V.notes(spark, sf_dir), candidates(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("df"))
 
 
 @query(MENTIONS + f""", c AS (SELECT entity, count(*) AS df, count_if(id IN (SELECT id FROM tagged WHERE tag = 'en'))::BIGINT AS n_from, count_if(id IN (SELECT id FROM tagged WHERE tag = 'research'))::BIGINT AS n_to FROM m GROUP BY entity)
@@ -77,4 +83,14 @@ SELECT entity, df, n_from, n_to, {ROUND2.format("log2(1 + least(n_from, n_to)) *
 def k9_bridges(spark, sf_dir):
     t = tagged(spark, sf_dir)
     n = t.agg(F.countDistinct("id")).first()[0]
-    return K.bridge_entities(K.mentions(V.notes(spark, sf_dir), entities(spark)), t, "en", "research", n)
+    return K.bridge_entities(K.mentions(V.notes(spark, sf_dir), candidates(spark, sf_dir)), t, "en", "research", n)
+
+
+@query(TAGS + ", s AS (SELECT id, bool_or(tag = 'en') AS a, bool_or(tag = 'research') AS b FROM tagged GROUP BY id) SELECT count_if(a)::BIGINT AS docs_from, count_if(b)::BIGINT AS docs_to, count_if(a AND b)::BIGINT AS overlap FROM s", ("notes",))
+def k9_stats(spark, sf_dir):
+    return K.tunnel_stats(tagged(spark, sf_dir), "en", "research")
+
+
+@query(TAGS + " SELECT id, title FROM notes WHERE id IN (SELECT id FROM tagged WHERE tag = 'en') AND id IN (SELECT id FROM tagged WHERE tag = 'research') ORDER BY created_at DESC, id LIMIT 10", ("notes",))
+def k9_bridge_notes(spark, sf_dir):
+    return K.bridge_notes(V.notes(spark, sf_dir), tagged(spark, sf_dir), "en", "research").select("id", "title")

@@ -9,6 +9,8 @@ from noteloom.sources import views as V
 
 from .base import query
 
+#: Notes fire in the order of time and id; the first two of a session are shown, each once.
+CMDS_STREAM = "WITH f AS (SELECT 'u' || user_id AS session, event_id % 7 AS doc_id, ts FROM events), n AS (SELECT session, count(*) AS fires, count(DISTINCT doc_id) AS d FROM f GROUP BY session) SELECT session, fires, least(d, 2) AS shown FROM n"
 READERS = ", readers AS (SELECT DISTINCT r AS reader, channel, CASE WHEN length(channel) = 2 THEN 5000 END AS last_seen FROM messages, (VALUES ('user'), ('assistant'), ('kim')) v(r))"
 MINE = "sender <> reader AND (recipient IS NULL OR recipient = reader)"
 
@@ -109,9 +111,81 @@ def b17_validated(spark, sf_dir):
     return B.validated(m).select("conv_id", "turn", "reject")
 
 
-@query("SELECT user_id AS agent, max(event_id) AS last_run FROM events WHERE event_id >= 500 GROUP BY user_id ORDER BY last_run DESC LIMIT 100")
+@query("SELECT user_id AS agent, max(event_id) AS last_run FROM events GROUP BY user_id ORDER BY last_run DESC LIMIT 100")
 def b18_runs(spark, sf_dir):
     from noteloom.operators.notes import latest
 
-    e = V.read(spark, sf_dir, "events").filter("event_id >= 500").select(F.col("user_id").alias("agent"), F.col("event_id").alias("last_run"))
+    e = V.read(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), F.col("event_id").alias("last_run"))
     return latest(e, "agent", "last_run").orderBy(F.desc("last_run")).limit(100)
+
+
+KINDS = ", k AS (SELECT *, CASE id % 11 WHEN 0 THEN 'control' WHEN 1 THEN 'heartbeat' WHEN 2 THEN 'status' ELSE 'note' END AS kind FROM messages)"
+HOOKS = READERS + ", hooks AS (SELECT *, CASE reader WHEN 'user' THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 'kim' THEN TIMESTAMP '2023-12-31 00:00:00' END AS last_hook_at, 12000 AS notify_cursor FROM readers)"
+
+
+def kinds(spark, sf_dir):
+    k = F.col("id") % 11
+    return V.messages(spark, sf_dir).withColumn("kind", F.when(k == 0, "control").when(k == 1, "heartbeat").when(k == 2, "status").otherwise("note"))
+
+
+def hooks(spark, sf_dir):
+    at = F.when(F.col("reader") == "user", "2024-01-01 00:00:00").when(F.col("reader") == "kim", "2023-12-31 00:00:00").cast("timestamp_ntz")
+    return readers(spark, sf_dir).withColumn("last_hook_at", at).withColumn("notify_cursor", F.lit(12_000))
+
+
+def noon():
+    return F.lit("2024-01-01 00:04:00").cast("timestamp_ntz")
+
+
+@query(HOOKS + KINDS + f""", j AS (SELECT reader, r.channel, id, sender, kind, recipient, body, count(*) OVER (PARTITION BY reader, r.channel) AS total, row_number() OVER (PARTITION BY reader, r.channel ORDER BY id DESC) AS place FROM hooks r JOIN k m ON r.channel = m.channel AND id > coalesce(last_seen, -1) WHERE {MINE})
+SELECT reader, channel, max(total) AS total, '[bus] ' || channel || ' — ' || max(total) || CASE WHEN max(total) = 1 THEN ' new message:' ELSE ' new messages:' END || chr(10) || '  • presence — live: user | stale: kim' || chr(10)
+|| string_agg('  • #' || id || ' ' || sender || ' (' || kind || CASE WHEN recipient IS NOT NULL THEN ' → ' || recipient ELSE '' END || ') — "' || substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 80) || '"', chr(10) ORDER BY place) || CASE WHEN max(total) > count(*) THEN chr(10) || '  • …and ' || (max(total) - count(*)) || ' more' ELSE '' END AS text FROM j WHERE place <= 5 GROUP BY reader, channel""", ("messages",))
+def b5_notifications(spark, sf_dir):
+    return B.notifications(kinds(spark, sf_dir), hooks(spark, sf_dir), noon())
+
+
+@query(", r AS (SELECT id, channel, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS k FROM messages), a AS (SELECT id FROM r WHERE k <= 7) SELECT 'messages' AS part, count(*) AS n FROM a UNION ALL SELECT 'deliveries', 2 * count(*) FROM a UNION ALL SELECT 'runs', count(*) FROM a WHERE id % 3 = 0", ("messages",))
+def b8_cascade(spark, sf_dir):
+    m = V.messages(spark, sf_dir)
+    given = m.select(F.col("id").alias("message_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("session"))
+    left = B.pruned_with_children(m, given, m.filter("id % 3 = 0").select(F.col("id").alias("trigger_message_id")), 7)
+    count = lambda df, part: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return count(left[0], "messages").unionByName(count(left[1], "deliveries")).unionByName(count(left[2], "runs"))
+
+
+@query(HOOKS + KINDS + f", a AS (SELECT h.reader, h.channel, count(id) AS unread_messages FROM hooks h LEFT JOIN k m ON h.channel = m.channel AND id > coalesce(last_seen, -1) GROUP BY ALL), n AS (SELECT h.reader, h.channel, count_if({MINE})::BIGINT AS unread_notifications FROM hooks h LEFT JOIN k m ON h.channel = m.channel AND id > notify_cursor GROUP BY ALL), b AS (SELECT channel, sender AS reader, max(id) AS last_heartbeat FROM k WHERE kind IN ('heartbeat', 'status') GROUP BY ALL) SELECT channel, reader, unread_messages, unread_notifications, CASE reader WHEN 'user' THEN 'live' WHEN 'kim' THEN 'stale' ELSE 'unknown' END AS presence, last_heartbeat FROM hooks JOIN a USING (reader, channel) JOIN n USING (reader, channel) LEFT JOIN b USING (channel, reader)", ("messages",))
+def b12_readers(spark, sf_dir):
+    return B.reader_status(kinds(spark, sf_dir), hooks(spark, sf_dir), noon())
+
+
+@query(KINDS + " SELECT channel, sender, count(*) AS messages, max(id) AS last_message, max(id) FILTER (kind IN ('heartbeat', 'status')) AS last_heartbeat, (SELECT max(id) FROM k c WHERE c.channel = k.channel AND kind = 'control') AS last_control FROM k GROUP BY channel, sender", ("messages",))
+def b12_participants(spark, sf_dir):
+    return B.participants(kinds(spark, sf_dir))
+
+
+@query(" SELECT id, session_id FROM (SELECT id, 's' || (id % 5) AS session_id FROM messages WHERE channel = 'c3') WHERE session_id = 's2' ORDER BY id DESC LIMIT 100", ("messages",))
+def b14_deliveries(spark, sf_dir):
+    d = V.messages(spark, sf_dir).select("id", "channel", F.concat(F.lit("s"), F.col("id") % 5).alias("session_id"))
+    return B.delivery_list(d, "c3", "s2").select("id", "session_id")
+
+
+@query(CMDS_STREAM)
+def b9_stream_warnings(spark, sf_dir):
+    """The command calls as a stream, in session state."""
+    from noteloom.streaming import streams as S
+
+    e = S.read(spark, sf_dir, "events")
+    fires = e.select(F.concat(F.lit("u"), "user_id").alias("session"), (F.col("event_id") % 7).alias("doc_id"), F.col("ts").alias("at"))
+    return S.drained_table(S.warnings(fires)).groupBy("session").agg(F.count("*").alias("fires"), F.count_if("shown").alias("shown"))
+
+
+@query(", p AS (SELECT * FROM retrievals WHERE surface = 'hint'), r AS (SELECT * FROM retrievals WHERE surface = 'kb_read') SELECT p.id AS push_id, r.id AS read_id FROM p JOIN r ON p.session = r.session AND p.doc_id = r.doc_id AND r.created_at >= p.created_at AND r.created_at <= p.created_at + INTERVAL 3 DAY", ("retrievals",))
+def b10_stream_followed(spark, sf_dir):
+    """Pushes and reads as two streams; pushes without a read wait for the watermark, so only pairs are listed here."""
+    from noteloom.streaming import streams as S
+
+    def rows(kind):
+        e = S.read(spark, sf_dir, "events").filter(F.col("event_type") == kind)
+        return e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("u"), "user_id")).alias("session"), F.col("ts").alias("created_at"))
+
+    return S.drained_table(S.follow_through(rows("view"), rows("click"), "3 days", "400 days")).filter("read_id IS NOT NULL")

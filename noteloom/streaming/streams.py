@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from noteloom.functions.tables import new_path
 from noteloom.operators import bus as B
 
 
@@ -110,12 +111,31 @@ def late_facts(held_path: str, late_path: str) -> Callable[[DataFrame, int], Non
     return run
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str = "append", table: str = "drained", timers: bool = False) -> DataFrame:
-    """Run a stream over what is there now and return what it sent out (tests and backfills).
-
-    With `timers`, batches without data are off: timeouts ask for them again and again, and the run would not end."""
+def drained_table(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now, its output written to files in the shared folder, and read them back."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not timers).lower())
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(table)
+    path = new_path(spark, "stream")
+    out = f"{path}/out"
+
+    def write(batch: DataFrame, number: int) -> None:  # a batch that runs again writes the same files anew
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _run(stream.writeStream.foreachBatch(write), f"{path}/checkpoint", timers=True)
+    return spark.read.schema(stream.schema).parquet(f"{out}/*")
+
+
+def _run(writer, checkpoint: str, timers: bool) -> None:
+    """With `timers`, batches without data are off: timeouts ask for them again and again, and the run would not end."""
+    spark, key = writer._spark, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(not timers).lower())
+    try:
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
+def drain(stream: DataFrame, checkpoint: str, mode: str = "append", table: str = "drained", timers: bool = False) -> DataFrame:
+    """Run a stream over what is there now and return what it sent out, from memory (tests of small inputs)."""
+    _run(stream.writeStream.outputMode(mode).format("memory").queryName(table), checkpoint, timers)
+    return stream.sparkSession.table(table)

@@ -9,13 +9,28 @@ from .search import tier_rank
 from .tags import mentions
 
 FLOOR = "inferred"
-UNATTENDED = r"(?i)^(harvest|sweep|auto)[:\-_]?"
+# Families of provenance, the first whose pattern a source has; what counts as a reference.
+FAMILIES = {
+    "none": r"^$",
+    "harvest": r"(?i)^(?:harvest|sweep|auto)[:_-]?",
+    "web": r"(?i)^(?:https?://.*|web$)",
+    "manual": r"(?i)^manual$",
+    "session": r"(?i)^session\b",
+    "file": r"(?i)\.md$",
+}
+COMMIT = r"(?:commit|sha|git)[:=][0-9a-f]{7,40}|(?=[0-9]*[a-f])[0-9a-f]{7,40}"
+CHANGE_URL = r"[^ ]*/(?:pull|pulls|merge_requests|pull-requests)/[1-9]\d*[^ ]*"
+CHANGE_NUMBER = r"(?:[\w.-]+/[\w.-]+)?#[1-9]\d*"
+TEST_FILE = r"(?=(?:[\w./-]*[/._-])?(?:tests?|specs?|__tests__)(?:[/._-]|[^\w./-]|$))[\w./-]+\.[a-z]{1,5}"
+#: A reference between blanks, without the brackets, quotes and stops around it.
+REFERENCE = rf"(?i)(?:^| )[(\"'`<\[]*(?:{COMMIT}|{CHANGE_URL}|{CHANGE_NUMBER}|{TEST_FILE})[)\"'`>\].,;:!?]*(?: |$)"
+MOST_CHARS = 500
 
 
 def family(source: Column) -> Column:
     """The provenance family of a source (L1)."""
     s = F.trim(F.coalesce(source, F.lit("")))
-    return F.when(s == "", "none").when(s.rlike(UNATTENDED), "harvest").when(s.rlike("(?i)^https?://") | (F.lower(s) == "web"), "web").when(F.lower(s) == "manual", "manual").when(s.rlike(r"(?i)^session\b"), "session").when(s.rlike(r"(?i)\.md$"), "file").otherwise("other")
+    return F.coalesce(*[F.when(s.rlike(pattern), name) for name, pattern in FAMILIES.items()], F.lit("other"))
 
 
 def tier_of_source(source: Column, proven: dict[str, str] | None = None) -> Column:
@@ -28,12 +43,8 @@ def tier_of_source(source: Column, proven: dict[str, str] | None = None) -> Colu
 
 def reference(ref: Column) -> Column:
     """The reference on one line if it names a commit, a change request or a test file; else null (L2)."""
-    flat = F.trim(F.regexp_replace(ref, r"\s+", " "))
-    tokens = F.transform(F.split(flat, " "), lambda t: F.regexp_replace(t, r"^[(\"'`<\[]+|[)\"'`>\].,;:!?]+$", ""))
-    sha = lambda t: t.rlike("(?i)^(?:commit|sha|git)[:=][0-9a-f]{7,40}$") | (t.rlike("(?i)^[0-9a-f]{7,40}$") & t.rlike("(?i)[a-f]"))
-    change = lambda t: t.rlike(r"(?i)/(?:pull|pulls|merge_requests|pull-requests)/[1-9]\d*") | t.rlike(r"^(?:[\w.-]+/[\w.-]+)?#[1-9]\d*$")
-    test = lambda t: t.rlike(r"(?i)^[\w./-]+\.[a-z]{1,5}$") & t.rlike(r"(?i)(?:^|[/._-])(?:tests?|specs?|__tests__)(?:[/._-]|$)")
-    return F.when((F.length(flat) > 0) & (F.length(flat) <= 500) & F.exists(tokens, lambda t: sha(t) | change(t) | test(t)), flat)
+    line = F.trim(F.regexp_replace(ref, r"\s+", " "))
+    return F.when(F.length(line).between(1, MOST_CHARS) & line.rlike(REFERENCE), line)
 
 
 def resolved_tier(tier: Column, ref: Column) -> Column:

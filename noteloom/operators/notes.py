@@ -167,6 +167,73 @@ def captures(pages: DataFrame) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy("path").orderBy("page_id"))).filter("_place = 1").drop("_place")
 
 
+#: Other captures: folder, length of the slug, whether the day leads the file's name, type, own tags, first line of the body, and
+#: whether a later one replaces an earlier one of its path (else the first stays).
+CAPTURES = {
+    "video": ("sources/youtube", 60, True, "source", ("youtube",), "# ", False),
+    "bookmark": ("sources/x-bookmarks", 50, False, "source", ("x", "bookmark"), "# ", False),
+    "session": ("builds/sessions", 40, True, "session", ("terminal", "session"), "# ", True),
+    "fix": ("builds/fixes", 50, True, "fix", ("fix", "terminal"), "# Fix: ", True),
+}
+
+
+def head_lines(fields: dict[str, Column]) -> Column:
+    """A note's front matter: a line for each field that is not null."""
+    lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c)) for k, c in fields.items()]
+    return F.concat(F.lit("---\n"), F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("\n---\n"))
+
+
+def quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def captured(rows: DataFrame, kind: str, held: DataFrame | None = None) -> DataFrame:
+    """Video transcripts, bookmarks, sessions or fixes as (id, path, note), one for each path.
+
+    Columns: id (order of arrival), title, day, clock (HHmm, sessions only), url, project, tags (array), sections
+    (array<struct<head, text>>, of which empty ones are left out). `held` has the paths that are there already."""
+    folder, length, dated, doc_type, own, first, replaces = CAPTURES[kind]
+    name = F.substring(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), 1, length)
+    stamp = F.concat_ws("-", *[F.col(c) for c in ("day", *(["clock"] if kind == "session" else []))])
+    path = F.concat(F.lit(folder + "/"), F.concat(stamp, F.lit("-"), name) if dated else name, F.lit(".md"))
+    tags = F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in own]))
+    head = head_lines({"title": quoted(F.col("title")), "type": F.lit(doc_type), "url": quoted(F.col("url")), "created": quoted(F.col("day")), "updated": quoted(F.col("day")), "project": F.col("project"), "tags": F.concat(F.lit("["), F.array_join(tags, ", "), F.lit("]")), "status": F.lit("active" if replaces else "inbox")})
+    parts = F.transform(F.filter("sections", lambda x: F.coalesce(x["text"], F.lit("")) != ""), lambda x: F.concat(F.lit("\n## "), x["head"], F.lit("\n"), x["text"], F.lit("\n")))
+    note = F.concat(head, F.lit("\n" + first), "title", F.lit("\n"), F.array_join(parts, ""))
+    each = rows.select("id", path.alias("path"), note.alias("note"))
+    pick = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("id") if replaces else F.asc("id")))
+    once = each.withColumn("_place", pick).filter("_place = 1").drop("_place")
+    return once if replaces or held is None else once.join(held.select("path"), "path", "left_anti")
+
+
+#: Folders of note types; others go to the inbox.
+FOLDERS = {"capture": "inbox", "research": "research", "idea": "ideas", "workflow": "workflows", "lesson": "agents/lessons", "fix": "builds/fixes", "decision": "decisions", "session": "builds/sessions"}
+
+
+def built(writes: DataFrame, related: DataFrame) -> DataFrame:
+    """(id, path, note) of notes to write: folder by type, dated slug, front matter, and the related notes as links.
+
+    `writes`: id, title, doc_type, content, tags (comma list), project, source, tier, ref, day; `related`: id, place, title,
+    path, score."""
+    pairs = [x for k, v in FOLDERS.items() for x in (F.lit(k), F.lit(v))]
+    folder = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("doc_type")), F.lit("inbox"))
+    path = F.concat(folder, F.lit("/"), "day", F.lit("-"), slug(F.col("title")), F.lit(".md"))
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    shown = F.regexp_replace(F.format_string("%.2f", F.col("score")), r"\.?0+$", "")
+    line = F.concat(F.lit("- [["), base, F.lit("]] — "), "title", F.lit(" ("), shown, F.lit(")"))
+    lists = related.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("rows")).select("id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("links"))
+    json = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    head = head_lines({"title": json(F.coalesce("title", F.lit(""))), "type": F.col("doc_type"), "created": quoted(F.col("day")), "updated": quoted(F.col("day")), "tags": F.concat(F.lit("["), F.array_join(split_tags(F.col("tags")), ", "), F.lit("]")), "project": F.lower(F.trim("project")), "source": F.when(F.col("source").isNotNull(), json(F.col("source"))), "tier": F.col("tier"), "tier_ref": F.when(F.col("ref").isNotNull(), json(F.col("ref"))), "status": F.lit("active")})
+    more = F.when(F.col("links").isNotNull(), F.concat(F.lit("\n\n## Related\n"), "links")).otherwise("")
+    return writes.join(lists, "id", "left").select("id", path.alias("path"), F.concat(head, F.lit("\n"), "content", more).alias("note"))
+
+
+def text_records(rows: DataFrame) -> DataFrame:
+    """Text records with defaults for what they leave out: title, type, no tags (S8). Columns: id, title, doc_type, tags, text."""
+    blank = lambda c, default: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default))
+    return rows.select("id", blank("title", "untitled").alias("title"), blank("doc_type", "text").alias("doc_type"), split_tags(F.col("tags")).alias("tags"), F.coalesce("text", F.lit("")).alias("content"))
+
+
 def routed(notes: DataFrame, files: DataFrame) -> DataFrame:
     """Notes without a file, with a folder by type and a path whose slug is made unique by -2, -3, ...."""
     lone = notes.join(files.select(F.col("doc_id").alias("id")), "id", "left_anti")

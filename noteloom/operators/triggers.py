@@ -116,13 +116,23 @@ def vetted(proposed: DataFrame, notes: DataFrame, corpus: DataFrame) -> DataFram
     shape = (F.size("parts") <= MAX_PARTS) & F.forall("parts", lambda p: F.length(p) >= MIN_PART) & F.exists("parts", is_command)
     able = proposed.filter(shape).join(code, F.col("id") == F.col("nid")).filter(F.forall("parts", lambda p: F.contains("code", p))).select("id", "parts", "pinned")
     size = corpus.agg(F.count("*").alias("n"), F.countDistinct("session").alias("s")).first()
-    hit = matched(corpus_segments(corpus), able.select("id", "parts")).join(corpus, "command").groupBy("id", "parts").agg(F.count("*").alias("hits"), F.countDistinct("session").alias("sessions"))
-    j = able.join(hit, ["id", "parts"], "left").fillna(0, ["hits", "sessions"])
+    asked = able.select("parts").distinct().select(F.xxhash64("parts").alias("id"), "parts")  # a pattern is counted once, however many notes propose it
+    hit = matched(corpus_segments(corpus), asked).join(corpus, "command").groupBy("parts").agg(F.count("*").alias("hits"), F.countDistinct("session").alias("sessions"))
+    j = able.join(hit, "parts", "left").fillna(0, ["hits", "sessions"])
     fits = (F.lit(size.n) >= MIN_LINES) & (F.lit(size.s) >= MIN_SESSIONS) & (F.col("hits") >= MIN_HITS) & (F.col("sessions") <= F.lit(MAX_SHARE) * size.s)
     place = F.row_number().over(Window.partitionBy("id").orderBy("sessions", "hits", "parts"))
     return j.filter(F.col("pinned") | fits).withColumn("place", place).filter(F.col("place") <= KEPT)
 
 
+def built_index(notes: DataFrame) -> DataFrame:
+    """(id, title, tier, parts, hits): the patterns of live notes outside the archive; what is no JSON list is left out.
+
+    Columns: id, title, tier, doc_type, superseded_at, triggers (JSON: a list of {parts, hits})."""
+    live = notes.filter("triggers IS NOT NULL AND superseded_at IS NULL AND doc_type <> 'archive'")
+    parsed = live.select("id", "title", "tier", F.explode(F.from_json("triggers", "array<struct<parts:array<string>,hits:long>>")).alias("p"))
+    return parsed.select("id", "title", "tier", "p.parts", "p.hits").filter(F.size("parts") > 0)
+
+
 def notes_for(commands: DataFrame, index: DataFrame, fired: DataFrame | None = None) -> DataFrame:
     """(command, id, hits): notes that a command calls for, by their rarest pattern; fired (command, id) are left out."""
     hit = matched(corpus_segments(commands), index.select("id", "parts")).join(index, ["id", "parts"]).groupBy("command", "id").agg(F.min("hits").alias("hits"))

@@ -49,9 +49,9 @@ def l5_backfilled(spark, sf_dir):
     return L.backfilled(sourced(spark, sf_dir), {"manual": "observed"}).select("id", "family", "tier")
 
 
-@query(", r AS (SELECT event_id * 3 AS id, CASE WHEN event_id % 2 = 0 THEN 'verified' ELSE 'observed' END AS wanted, event_id % 8 AS k FROM events WHERE event_id < 1000) SELECT r.id, CASE WHEN n.id IS NULL THEN 'no_note' WHEN wanted = 'verified' AND k NOT IN (0, 2, 4) THEN 'no_reference' WHEN (wanted = 'observed' AND tier <> 'inferred') OR tier = 'verified' THEN 'not_upwards' ELSE 'promoted' END AS outcome FROM r LEFT JOIN notes n ON r.id = n.id", ("notes",))
+@query(", r AS (SELECT event_id * 3 AS id, CASE WHEN event_id % 2 = 0 THEN 'verified' ELSE 'observed' END AS wanted, event_id % 8 AS k FROM events) SELECT r.id, CASE WHEN n.id IS NULL THEN 'no_note' WHEN wanted = 'verified' AND k NOT IN (0, 2, 4) THEN 'no_reference' WHEN (wanted = 'observed' AND tier <> 'inferred') OR tier = 'verified' THEN 'not_upwards' ELSE 'promoted' END AS outcome FROM r LEFT JOIN notes n ON r.id = n.id", ("notes",))
 def l6_promoted(spark, sf_dir):
-    w = writes(spark, sf_dir).filter("id < 1000").select((F.col("id") * 3).alias("id"), F.when(F.col("id") % 2 == 0, "verified").otherwise("observed").alias("tier"), F.col("ref").alias("confirmed_by"))
+    w = writes(spark, sf_dir).select((F.col("id") * 3).alias("id"), F.when(F.col("id") % 2 == 0, "verified").otherwise("observed").alias("tier"), F.col("ref").alias("confirmed_by"))
     return L.promoted(V.notes(spark, sf_dir), w).select("id", "outcome")
 
 

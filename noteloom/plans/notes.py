@@ -128,10 +128,52 @@ def s7_unseen(spark, sf_dir):
     return N.unseen(d.filter("id % 2 = 1"), d.filter("id % 2 = 0"), "name", "id")
 
 
-@query("SELECT coalesce(nullif(trim(substr(text, 1, 5)), ''), 'untitled') AS title, 'text' AS doc_type, length(text) AS size FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS id, coalesce(nullif(trim(string_split(text, chr(10))[1]), ''), 'untitled') AS title, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE lang END AS doc_type, lang || ',x' AS tags, length(coalesce(text, '')) AS size FROM documents")
 def s8_text_ingest(spark, sf_dir):
-    d = V.read(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
-    return d.select(F.coalesce(F.nullif(F.trim(F.substring("text", 1, 5)), F.lit("")), F.lit("untitled")).alias("title"), F.lit("text").alias("doc_type"), F.length("text").cast("long").alias("size"))
+    d = V.read(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.when(F.col("doc_id") % 2 == 0, " ").otherwise(F.col("lang")).alias("doc_type"), F.concat(F.upper("lang"), F.lit(", x,"), "lang").alias("tags"), "text")
+    return N.text_records(rows).select("id", "title", "doc_type", joined("tags").alias("tags"), F.length("content").cast("long").alias("size"))
+
+
+RAW_SLUG = "substr(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), 1, {1})"
+SAID = "c AS (SELECT conv_id AS id, arg_min(text, turn) AS title, max(text) AS last, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+def said(spark, sf_dir):
+    c = V.read(spark, sf_dir, "conversations")
+    g = c.groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("title"), F.max("text").alias("last"), F.count("*").alias("n"))
+    section = lambda head, text: F.struct(F.lit(head).alias("head"), text.alias("text"))
+    return g.select("id", "title", "n", F.lit("2024-05-01").alias("day"), F.lpad((F.col("id") % 24).cast("string"), 4, "0").alias("clock"), F.concat(F.lit("http://v/"), "id").alias("url"), F.when(F.col("id") % 2 == 0, "p").alias("project"), F.array(F.lit("t")).alias("tags"), F.array(section("First", F.lit("")), section("Last", F.col("last"))).alias("sections"))
+
+
+@query("WITH " + SAID + ", p AS (SELECT id, 'sources/youtube/2024-05-01-' || " + RAW_SLUG.format("title", 60) + " || '.md' AS path, title, last FROM c) SELECT min(id) AS id, path, arg_min(length('---' || chr(10) || 'title: \"' || replace(title, '\"', '\\\"') || '\"' || chr(10) || 'type: source' || chr(10) || 'url: \"http://v/' || id || '\"' || chr(10) || 'created: \"2024-05-01\"' || chr(10) || 'updated: \"2024-05-01\"' || chr(10) || CASE WHEN id % 2 = 0 THEN 'project: p' || chr(10) ELSE '' END || 'tags: [t, youtube]' || chr(10) || 'status: inbox' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || CASE WHEN last <> '' THEN chr(10) || '## Last' || chr(10) || last || chr(10) ELSE '' END), id) AS size FROM p GROUP BY path")
+def s18_videos(spark, sf_dir):
+    return N.captured(said(spark, sf_dir), "video").select("id", "path", F.length("note").cast("long").alias("size"))
+
+
+@query("WITH " + SAID + ", p AS (SELECT id, 'builds/sessions/2024-05-01-' || lpad(CAST(id % 24 AS VARCHAR), 4, '0') || '-' || " + RAW_SLUG.format("title", 40) + " || '.md' AS path FROM c) SELECT max(id) AS id, path FROM p GROUP BY path")
+def s18_sessions(spark, sf_dir):
+    return N.captured(said(spark, sf_dir), "session").select("id", "path")
+
+
+@query("WITH " + SAID + ", p AS (SELECT id, 'builds/fixes/2024-05-01-' || " + RAW_SLUG.format("title", 50) + " || '.md' AS path FROM c) SELECT max(id) AS id, path FROM p GROUP BY path")
+def s18_fixes(spark, sf_dir):
+    return N.captured(said(spark, sf_dir), "fix").select("id", "path")
+
+
+@query("WITH " + SAID + ", p AS (SELECT id, 'sources/x-bookmarks/' || " + RAW_SLUG.format("title", 50) + " || '.md' AS path FROM c) SELECT min(id) AS id, path FROM p WHERE path NOT IN (SELECT path FROM p WHERE id % 5 = 0) GROUP BY path")
+def s18_bookmarks(spark, sf_dir):
+    rows = said(spark, sf_dir)
+    held = N.captured(rows.filter("id % 5 = 0"), "bookmark")
+    return N.captured(rows, "bookmark", held).select("id", "path")
+
+
+@query(", w AS (SELECT n.*, CASE doc_type WHEN 'research' THEN 'research' WHEN 'decision' THEN 'decisions' WHEN 'session' THEN 'builds/sessions' ELSE 'inbox' END || '/2024-05-01-' || " + SLUG.format("title") + " || '.md' AS path FROM notes n), r AS (SELECT doc_id AS id, quality FROM labels) SELECT w.id, path, 'title: ' || CAST(to_json(title) AS VARCHAR) AS head, CASE WHEN r.id IS NOT NULL THEN '- [[n' || w.id || ']] — T' || w.id || CASE WHEN quality = 1 THEN ' (0.7)' ELSE ' (0.65)' END ELSE '' END AS links FROM w LEFT JOIN r ON w.id = r.id", ("notes",))
+def s19_built(spark, sf_dir):
+    w = V.notes(spark, sf_dir).select("id", "title", "doc_type", "content", joined("tags").alias("tags"), "project", F.lit(None).cast("string").alias("source"), "tier", F.lit(None).cast("string").alias("ref"), F.lit("2024-05-01").alias("day"))
+    r = V.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(1).alias("place"), F.concat(F.lit("T"), "doc_id").alias("title"), F.concat(F.lit("x/n"), "doc_id", F.lit(".md")).alias("path"), F.when(F.col("quality") == 1, 0.7).otherwise(0.65).alias("score"))
+    n = N.built(w, r)
+    return n.select("id", "path", F.regexp_extract("note", "(?m)^title: .*$", 0).alias("head"), F.regexp_extract("note", r"\n\n## Related\n(- \[\[n[\s\S]*)$", 1).alias("links"))
 
 
 @query("SELECT path, modified FROM (SELECT 'p' || c.doc_id AS path, c.n_chars AS modified, l.quality, l.toxic FROM documents c LEFT JOIN labels l ON c.doc_id = l.doc_id) WHERE quality IS NULL OR modified > 1500 OR toxic = 0 ORDER BY modified, path LIMIT 30")

@@ -8,6 +8,8 @@ from noteloom.operators import transcripts as X
 from noteloom.sources import files as S
 from noteloom.sources import views as V
 
+from noteloom.functions.tables import new_path
+
 from .base import query
 
 
@@ -56,11 +58,11 @@ def x4_x5_sentence_chunks(spark, sf_dir):
     return X.sentence_chunks(V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("WITH d AS (SELECT doc_id AS id, substr(text, 1, 600) AS text FROM documents) SELECT id, CASE WHEN id % 2 = 0 THEN 'kept' ELSE 'skipped' END AS status FROM d WHERE regexp_matches(text, '^[A-Za-z]{3,} [a-z]{3,} ')")
+@query("WITH d AS (SELECT doc_id AS id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL) SELECT id, CASE WHEN regexp_matches(w[1], '[\\p{L}\\p{N}#]') AND CASE WHEN id % 2 = 0 THEN regexp_matches(w[2], '[\\p{L}\\p{N}#]') ELSE regexp_matches(w[2], '#[0-9]') END THEN 'kept' ELSE 'skipped' END AS status FROM d")
 def x6_x7_grounded(spark, sf_dir):
-    d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 600).alias("text")).filter(F.col("text").rlike("^[A-Za-z]{3,} [a-z]{3,} "))
+    d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
     w = F.split("text", " ")
-    f = d.select(F.col("id").alias("doc_id"), w[0].alias("subject"), F.lit("is").alias("predicate"), F.when(F.col("id") % 2 == 0, w[1]).otherwise(F.concat(F.lit("zzqx"), w[1])).alias("object"), F.lit(None).cast("string").alias("valid_from"))
+    f = d.select(F.col("id").alias("doc_id"), w[0].alias("subject"), F.lit("is").alias("predicate"), F.when(F.col("id") % 2 == 0, F.get(w, 1)).otherwise(F.concat(F.lit("zzqx"), F.get(w, 1))).alias("object"), F.lit(None).cast("string").alias("valid_from"))
     return X.grounded(f, d, F.lit("2024-05-01")).select(F.col("doc_id").alias("id"), "status")
 
 
@@ -71,3 +73,31 @@ def x8_x9_dates(spark, sf_dir):
     iso = F.concat(F.lit("2024-07-"), F.lpad(day.cast("string"), 2, "0"))
     text = F.when(k == 0, F.concat(F.lit("seen on "), iso, F.lit("."))).when(k == 1, F.concat(F.lit("seen July "), day, F.lit("th"))).when(k == 2, F.concat(F.lit("the "), day, F.lit(" of July"))).when(k == 3, F.concat(F.lit("on 7/"), day, F.lit(" it"))).otherwise(F.lit("in August"))
     return V.read(spark, sf_dir, "events").select("event_id", X.date_stated(text, iso).alias("stated"))
+
+
+@query("SELECT conv_id % 10 AS part, count(*) AS lines, TRUE AS in_flight FROM conversations GROUP BY 1")
+def s10_s13_discovery(spark, sf_dir):
+    """Conversations written as JSON lines, found by their time: all were touched just now."""
+    path = new_path(spark, "transcripts")
+    V.read(spark, sf_dir, "conversations").withColumn("part", F.col("conv_id") % 10).repartition("part").write.partitionBy("part").json(path)
+    t = S.transcripts(spark, path, since="2000-01-01T00:00:00", pattern="*.json")
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long")
+    return t.groupBy(part.alias("part")).agg(F.sum(F.regexp_count("text", F.lit("\n"))).alias("lines"), F.bool_and(S.in_flight(F.col("modified"), F.current_timestamp())).alias("in_flight"))
+
+
+@query("SELECT 'u' || user_id AS session, CASE event_id % 3 WHEN 0 THEN 'git push m' || event_id ELSE 'ls' END AS command, count(*) AS n FROM events WHERE event_id % 3 <> 2 GROUP BY ALL")
+def s15_corpus(spark, sf_dir):
+    path = new_path(spark, "corpus")
+    k = F.col("event_id") % 3
+    line = F.concat(F.lit("u"), "user_id", F.lit("\t"), F.when(k == 0, F.concat(F.lit(" Git  PUSH\tm"), "event_id")).when(k == 1, "LS ").otherwise("  "))
+    V.read(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    return S.command_corpus(spark, path).groupBy("session", "command").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'u' || user_id AS session, event_id AS doc_id, event_id % 2 = 0 AS shown FROM events WHERE event_id % 5 <> 0")
+def s16_fires(spark, sf_dir):
+    path = new_path(spark, "fires")
+    e = V.read(spark, sf_dir, "events")
+    row = F.to_json(F.struct(F.col("ts").cast("string").alias("ts"), F.concat(F.lit("u"), "user_id").alias("session"), F.col("event_id").alias("doc_id"), F.lit("ls").alias("command"), (F.col("event_id") % 2 == 0).alias("shown")))
+    e.select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{cut "), row)).otherwise(row).alias("value")).write.text(path)
+    return S.fire_log(spark, f"{path}/*").select("session", "doc_id", "shown")

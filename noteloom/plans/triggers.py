@@ -43,10 +43,12 @@ def c3_c4_code(spark, sf_dir):
     return p.join(code, "id").select("id", F.array_join("parts", "/").alias("parts"), "code")
 
 
-@query()
+@query(CMDS + """, st AS (SELECT count(*) AS n, count(DISTINCT session) AS s FROM cmd), pat AS (SELECT 'npm run/build-7' AS parts, count(*) FILTER (k = 3 AND m = 7) AS hits, count(DISTINCT session) FILTER (k = 3 AND m = 7) AS sessions FROM cmd
+UNION ALL SELECT 'git push', count(*) FILTER (k IN (0, 1)), count(DISTINCT session) FILTER (k IN (0, 1)) FROM cmd UNION ALL SELECT 'git push origin m3', count(*) FILTER (k = 0 AND m = 3), count(DISTINCT session) FILTER (k = 0 AND m = 3) FROM cmd),
+r AS (SELECT doc_id AS id, parts, hits, sessions, row_number() OVER (PARTITION BY doc_id ORDER BY sessions, hits, parts) AS place FROM documents, pat, st WHERE doc_id % 100 = 0 OR (n >= 500 AND s >= 20 AND hits >= 1 AND sessions <= 0.05 * s)) SELECT id, parts, hits, sessions, place::INTEGER AS place FROM r WHERE place <= 3""")
 def c5_vetted(spark, sf_dir):
     c = commands(spark, sf_dir)
-    n = V.notes(spark, sf_dir).select("id", "title", F.concat(F.lit("`npm run build-7` and `git push` and `git push origin m3`\n"), "content").alias("content")).filter("id % 50 = 0")
+    n = V.notes(spark, sf_dir).select("id", "title", F.concat(F.lit("`npm run build-7` and `git push` and `git push origin m3`\n"), "content").alias("content"))
     each = n.select("id", F.explode(F.array(F.lit("npm run && build-7"), F.lit("git push"), F.lit("git push origin m3"), F.lit("rm -rf"))).alias("proposal"))
     return C.vetted(C.proposals(each).withColumn("pinned", F.col("id") % 100 == 0), n, c).select("id", F.array_join("parts", "/").alias("parts"), "hits", "sessions", "place")
 
@@ -66,3 +68,12 @@ t AS (SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sess
 def c7_decisions(spark, sf_dir):
     c = commands(spark, sf_dir)
     return C.decisions(c, C.notes_for(c, index(spark)))
+
+
+@query(", t AS (SELECT id, title, tier, id % 5 AS k FROM notes WHERE superseded_at IS NULL AND doc_type <> 'state' AND id % 5 <> 4 AND id % 5 <> 3), p AS (SELECT *, unnest(CASE k WHEN 0 THEN [1] WHEN 1 THEN [1, 2] ELSE [] END) AS x FROM t) SELECT id, title, tier, CASE x WHEN 1 THEN 'git push/m' || id ELSE 'ls' END AS parts, CASE x WHEN 1 THEN id ELSE 2 END AS hits FROM p", ("notes",))
+def s21_index(spark, sf_dir):
+    n = V.notes(spark, sf_dir).withColumn("doc_type", F.when(F.col("doc_type") == "state", "archive").otherwise(F.col("doc_type")))
+    own = F.format_string('{"parts": ["git push", "m%d"], "hits": %d}', "id", "id")
+    k = F.col("id") % 5
+    n = n.withColumn("triggers", F.when(k == 0, F.concat(F.lit("["), own, F.lit("]"))).when(k == 1, F.concat(F.lit("["), own, F.lit(', {"parts": ["ls"], "hits": 2}]'))).when(k == 2, "[]").when(k == 3, "[{broken"))
+    return C.built_index(n).select("id", "title", "tier", F.array_join("parts", "/").alias("parts"), "hits")

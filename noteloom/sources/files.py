@@ -37,15 +37,20 @@ def read_mixed(spark: SparkSession, root: str) -> DataFrame:
     return mixed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
 
 
-def transcripts(spark: SparkSession, root: str, since: str | None = None, until: str | None = None) -> DataFrame:
+def transcripts(spark: SparkSession, root: str, since: str | None = None, until: str | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """(path, modified, text) of transcript files changed after `since` (S10) and, to leave those in use alone, before `until`."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     for key, at in (("modifiedAfter", since), ("modifiedBefore", until)):
         if at:
             reader = reader.option(key, at)
     return reader.load(root).select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 
+def in_flight(modified: Column, now: Column, minutes: int = 30) -> Column:
+    """Files that were touched so lately that their session may go on."""
+    return modified > now - F.make_dt_interval(mins=F.lit(minutes))
+
+
 def is_print_mode(text: Column) -> Column:
     """Transcripts of non-interactive runs, told by a key near their start."""
     return F.substring(text, 1, 65_536).rlike(r'"(entrypoint|promptSource)"\s*:\s*"(sdk-cli|sdk)"')

@@ -6,7 +6,8 @@ target / size; each document is emitted floor(rate) times, plus one Bernoulli co
 size and the seed, so reruns agree.
 
 Nulls: a null text has size 0, a null source is a source of its own, null ids draw by the rest. Sources of size 0 have
-target 0 and rate 0. Repeated rows draw alike. An empty table gives an empty table. Extra columns stay in `mix`.
+target 0 and rate 0. Repeated rows draw alike, and so do rows that tie in id, source and size. A very long text is counted
+whole and taken whole. An empty table gives an empty table. Extra columns stay in `mix`.
 """
 
 from __future__ import annotations
@@ -29,9 +30,15 @@ def n_words(text: Column | str) -> Column:
 
 def source_targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size) to (source, source_size, target, rate)."""
-    by_source = Window.orderBy(F.asc_nulls_last("source"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_source) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = materialize(sizes.select("source", "source_size", weight.alias("weight")), "sources")
+    # sources in order, in ranges: a place is the place in its range after the ranges before
+    ranged = materialize(sizes.repartitionByRange(F.asc_nulls_last("source")).withColumn("range", F.spark_partition_id()), "ranges")
+    before, at = {}, 0
+    for r in ranged.groupBy("range").count().orderBy("range").collect():  # as many as shuffle partitions
+        before[r.range], at = at, at + r["count"]
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in (before or {0: 0}).items() for x in pair]), F.col("range"))
+    place = start + F.row_number().over(Window.partitionBy("range").orderBy(F.asc_nulls_last("source"))) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    ranked = materialize(ranged.select("source", "source_size", weight.alias("weight")), "sources")
     share, cap = None, F.col("source_size").cast("double") * most
     total = ranked.agg(F.sum(F.col("source_size").cast("double"))).first()[0] or 0.0
     while True:  # each pass fixes at least one more source at its cap

@@ -42,3 +42,11 @@ def test_targets_and_copies(spark):
     mixed = M.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert M.planned(docs.limit(0)).count() == 0
+
+
+def test_many_sources_keep_their_order(spark):
+    names = [f"s{i:04d}" for i in range(500)] + [None]
+    sizes = spark.createDataFrame([(n, 10) for n in names], "source string, source_size long").repartition(3)
+    got = {r.source: r.target for r in M.source_targets(sizes).collect()}
+    want = targets({n: 10 for n in names})
+    assert len(got) == 501 and all(math.isclose(got[n], want[n], rel_tol=1e-9) for n in names)

@@ -51,7 +51,13 @@ def g5_vocabulary(spark, sf_dir):
     return G.canonical_triples(claims(spark, sf_dir)).groupBy(G.in_vocabulary(F.col("predicate")).alias("listed")).agg(F.count("*").alias("n"))
 
 
-@query()
+NAMES = "n(name) AS (VALUES " + ", ".join(f"('{n}')" for n in P.vocabulary()) + "), kin(head, form) AS (VALUES " + ", ".join(f"('{h}', '{f}')" for h in sorted({n.partition("_")[0] for n in P.vocabulary()}) for f in sorted(P.family(h))) + ")"
+GRAMS = "list_distinct([substr({0}, i, 2) FOR i IN range(1, length({0}))])"
+
+
+@query(CLAIMS.rstrip() + f""", {NAMES}, p AS (SELECT DISTINCT predicate FROM claims), r AS (SELECT predicate, regexp_replace(regexp_replace(regexp_replace(replace(lower(predicate), chr(39), ''), '[\\s-]+', '_', 'g'), '^_+|_+$', '', 'g'), '^(is|are|was|were|be|been|being)_', '') AS raw FROM p),
+s AS (SELECT predicate, name, CASE WHEN raw = name THEN 1.0 ELSE 2.0 * len(list_intersect({GRAMS.format("raw")}, {GRAMS.format("name")})) / (len({GRAMS.format("raw")}) + len({GRAMS.format("name")})) + CASE WHEN EXISTS (SELECT 1 FROM kin WHERE head = split_part(name, '_', 1) AND form = split_part(raw, '_', 1)) THEN 0.5 ELSE 0.0 END END AS score FROM r, n),
+k AS (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY score DESC, name) AS place FROM s) SELECT predicate, place::INTEGER AS place, name, round(score, 6) AS score FROM k WHERE place <= 3""")
 def g6_nearest(spark, sf_dir):
     return G.nearest_predicates(claims(spark, sf_dir).select("predicate"))
 

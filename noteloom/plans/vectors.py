@@ -9,7 +9,7 @@ from noteloom.operators import search as S
 from noteloom.operators import vectors as X
 from noteloom.sources import views as V
 
-from .base import query
+from .base import VIEWS, query
 from .search import ASKED, FOUND, INDEX, RANKED, asked
 
 COS = ", cos AS (SELECT a.id AS query_id, b.id AS id, list_cosine_similarity(a.v, b.v) AS s FROM vectors a, vectors b)"
@@ -95,7 +95,12 @@ def v12_near_dup_pairs(spark, sf_dir):
     return X.near_dup_pairs(links(spark, sf_dir), V.notes(spark, sf_dir)).select("from_id", "to_id", "score", "from_title", "to_title")
 
 
-@query()
+@query("WITH RECURSIVE " + VIEWS["vectors"] + """, held AS (SELECT * FROM vectors WHERE id % 20 = 0), come AS (SELECT id, v, row_number() OVER (ORDER BY id) AS k FROM vectors WHERE id % 20 <> 0),
+best AS (SELECT c.id, arg_max(h.id, (list_cosine_similarity(c.v, h.v), -h.id)) AS nearest, max(list_cosine_similarity(c.v, h.v)) AS s FROM come c, held h GROUP BY c.id),
+near AS (SELECT a.id, list(b.id) AS others FROM come a JOIN come b ON b.id < a.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35 GROUP BY a.id),
+cand AS (SELECT c.k, c.id, s >= 0.35 AS stored, coalesce(others, []) AS others FROM come c JOIN best USING (id) LEFT JOIN near USING (id)),
+walk(k, admitted) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c.k, CASE WHEN stored OR list_has_any(admitted, others) THEN admitted ELSE list_append(admitted, c.id) END FROM walk w JOIN cand c ON c.k = w.k + 1),
+done AS (SELECT admitted FROM walk ORDER BY k DESC LIMIT 1) SELECT b.id, NOT list_contains((SELECT admitted FROM done), b.id) AS refused, nearest, round(s, 3) AS score FROM best b""")
 def v13_admissions(spark, sf_dir):
     v = V.vectors(spark, sf_dir)
     return X.admissions(v.filter("id % 20 <> 0"), v.filter("id % 20 = 0"), 0.35)

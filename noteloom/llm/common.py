@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.functions.tables import discard, materialize, new_path, shared_dir
+
+__all__ = ["WORD", "discard", "free_name", "materialize", "new_path", "shared_dir", "table"]
+
 #: Words of the contracts: runs of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,46 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="noteloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/noteloom/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, and tells the planner the size."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._noteloom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what `materialize` wrote, once nothing reads it any more."""
-    path = getattr(df, "_noteloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A number for each row of a scan. It follows from file splits, so a rerun of a lost task gives the same numbers."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have (names clash without regard to case)."""
     taken = {c.lower() for c in df.columns}

@@ -13,11 +13,15 @@ and small stars over edges.
 The corpus stage `without_near_copies` has another test: two texts are near copies where the sets of their five-word
 shingles have a Jaccard similarity of 0.8 or more. At 0.8 fingerprints differ in ten bits of 64 on average and often in
 15, for which the index above would need blocks of four bits, so MinHash bands propose the pairs and the exact similarity
-confirms them. The member of a band that shares most bands with others is compared with all its members first; then all
-pairs of a band whose ends are still in different components.
+confirms them. The member of a band that shares most bands with others is compared with all its members first, so that
+most members of a large group are one component already. Then all pairs of a band whose ends are still in different
+components: in small bands as rows; of large bands, the members outside the largest component meet each other and that
+component in blocks, where a product of matrices gives all intersections of shingle sets at once and only the edges of a
+spanning forest leave the task.
 
 Nulls: a null text is empty, and all empty texts share fingerprint zero; null ids are never a component's id unless all
-its ids are null. Repeated rows stay rows. An empty table gives an empty table. Extra columns are kept by
+its ids are null. Repeated rows stay rows. A very long text is read whole, its shingles in blocks of bounded size. Of rows
+that tie in the smallest id, the first as stored stays. An empty table gives an empty table. Extra columns are kept by
 `without_near_copies`.
 """
 
@@ -41,6 +45,9 @@ GROUP = 16
 #: Near copies of the corpus stage: words of a shingle, least Jaccard similarity, bands of MinHash values and values of a
 #: band. A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999.
 COPY_SHINGLE, COPY, BANDS, VALUES = 5, 0.8, 24, 5
+#: Members of a band whose pairs are rows; in larger bands, members of a block, shingles of a block, and shared shingles that
+#: are multiplied at once.
+SMALL, BLOCK, SHINGLES, COLUMNS = 32, 512, 1 << 20, 4096
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -284,6 +291,77 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(end("u"), "u").join(end("v"), "v").filter(alike("text_u", "text_v")).select("u", "v")
 
 
+def shingle_set(text: Column) -> Column:
+    """A text's sorted distinct shingle hashes as bytes."""
+
+    @F.pandas_udf("binary")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(shingle_hashes(t, COPY_SHINGLE)).tobytes())
+
+    return distinct(text)
+
+
+def alike_in_block(sets: list[np.ndarray], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of near copies with different roots, from all intersections of the sets."""
+    n = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), n), times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    i, j = np.nonzero(np.triu(both >= COPY * (n[:, None] + n[None, :] - both), 1))
+    apart = root[i] != root[j]
+    return i[apart], j[apart]
+
+
+def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, kind, i, j, fp, root, shingles) sorted by block pair to spanning edges (u, v) between their members."""
+    now, held = None, []
+
+    def edges() -> pa.RecordBatch:
+        fp, root = (np.array(x, np.int64) for x in zip(*[h[:2] for h in held]))
+        i, j = alike_in_block([np.frombuffer(h[2], np.uint64) for h in held], root)
+        label = spanning(len(held), i, j)
+        own = np.flatnonzero(label != np.arange(len(held)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[label[own]]), pa.array(fp[own])], ["u", "v"])
+
+    for b in batches:
+        for *key, fp, root, shingles in zip(*[c.to_pylist() for c in b.columns]):
+            if key != now:
+                if held:
+                    yield edges()
+                now, held = key, []
+            held.append((fp, root, shingles))
+    if held:
+        yield edges()
+
+
+def block_links(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u, v) whose components, with those of the roots, are those of all near copies of a band; from (band, fp, n, root)."""
+    by_root = left.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    largest = F.max_by(F.struct("root", "c", "s"), F.struct("c", "root"))
+    bands = by_root.groupBy("band").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), largest.alias("m"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / SHINGLES)).cast("int")
+    bands = bands.select("band", F.col("m.root").alias("main"), blocks(F.col("m.c"), F.col("m.s")).alias("nm"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("nr"))
+    j = left.join(bands, "band").withColumn("rest", F.col("root") != F.col("main"))
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
+    meet = lambda kind, i, k: F.struct(F.lit(kind).alias("kind"), i.alias("i"), k.alias("j"))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    outside = F.concat(to(F.col("nr"), lambda x: meet(0, F.least("own", x), F.greatest("own", x))), to(F.col("nm"), lambda x: meet(1, F.col("own"), x)))
+    inside = to(F.col("nr"), lambda x: meet(1, x, F.col("own")))
+    dealt = j.withColumn("own", own).select("band", F.explode(F.when(F.col("rest"), outside).otherwise(inside)).alias("m"), "fp", "root").select("band", "m.*", "fp", "root")
+    sets = materialize(texts.join(left.select("fp").distinct(), "fp", "left_semi").select("fp", shingle_set(F.col("text")).alias("shingles")), "shingles")
+    rows = dealt.join(sets, "fp").select("band", "kind", "i", "j", "fp", "root", "shingles")
+    pair = ["band", "kind", "i", "j"]
+    return rows.repartition(*pair).sortWithinPartitions(*pair, "fp").mapInArrow(_block_edges, "u long, v long")
+
+
 def copy_links(sets: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all near copies that share a band; from (fp, n, bands, text)."""
     banded = materialize(sets.select("fp", "n", F.explode("bands").alias("band")), "bands")
@@ -303,9 +381,12 @@ def copy_links(sets: DataFrame) -> DataFrame:
     rooted = materialize(shared.join(root, "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
     left = materialize(rooted.join(mixed, "band", "left_semi"), "rooted")
+    large = materialize(left.groupBy("band").count().filter(F.col("count") > SMALL).select("band"), "large")
+    blocks = materialize(block_links(left.join(large, "band", "left_semi"), texts), "links")
+    left = left.join(large, "band", "left_anti")
     other = left.select("band", F.col("fp").alias("gp"), F.col("n").alias("m"), F.col("root").alias("other"))
     more = left.join(other, "band").filter((F.col("root") < F.col("other")) & close).select(*pair).distinct().join(begun, ["u", "v"], "left_anti")
-    return found.unionByName(materialize(confirmed(more, texts), "links"))
+    return found.unionByName(blocks).unionByName(materialize(confirmed(more, texts), "links"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -109,3 +109,36 @@ def test_corpus_loses_all_near_copies(spark):
     want = set(brute_copies(texts))
     assert 20 < len(want) < len(texts) - 20
     assert {r.doc_id for r in S.without_near_copies(docs).collect()} == want
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """A chain of near copies whose ends are far apart, and look-alikes under the threshold, in bands of hundreds."""
+    rng = np.random.default_rng(5)
+    word = lambda: "w" + str(rng.integers(0, 50_000))
+    base = [word() for _ in range(120)]
+    texts = []
+    for k in range(60):  # each step replaces a word of the one before
+        texts.append(" ".join(base))
+        base[k * 2] = word()
+    base = [word() for _ in range(120)]
+    for _ in range(150):
+        w = list(base)
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            w[at] = word()
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(int(i), texts[i]) for i in rng.permutation(len(texts))], "doc_id long, text string")
+    want = set(brute_copies(texts))
+    assert 5 < len(want) < 150
+    for small, block in ((4, 16), (1, 512)):
+        monkeypatch.setattr(S, "SMALL", small)
+        monkeypatch.setattr(S, "BLOCK", block)
+        assert {r.doc_id for r in S.without_near_copies(docs).collect()} == want
+
+
+def test_intersections_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(S, "COLUMNS", 7)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)] + [np.arange(50, dtype=np.uint64)] * 2
+    root = np.arange(len(sets)) // 2
+    got = set(zip(*(x.tolist() for x in S.alike_in_block(sets, root))))
+    assert got == {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}

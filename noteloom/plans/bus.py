@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noteloom.functions.tables import new_path
 from noteloom.operators import bus as B
 from noteloom.sources import views as V
 
@@ -189,3 +190,18 @@ def b10_stream_followed(spark, sf_dir):
         return e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("u"), "user_id")).alias("session"), F.col("ts").alias("created_at"))
 
     return S.drained_table(S.follow_through(rows("view"), rows("click"), "3 days", "400 days")).filter("read_id IS NOT NULL")
+
+
+@query("WITH f AS (SELECT 'customer_' || o_custkey AS subject, min_by(o_orderstatus, o_orderkey) AS was, min_by(o_orderdate, o_orderkey) AS since, max(o_orderkey) AS arrival, max_by(o_orderstatus, o_orderkey) AS object, max_by(o_orderdate, o_orderkey) AS seen FROM orders GROUP BY o_custkey) SELECT arrival, subject, object, CAST(CAST(seen AS DATE) AS VARCHAR) AS valid_from FROM f WHERE was <> object AND CAST(since AS DATE) > CAST(seen AS DATE)")
+def b11_late_facts(spark, sf_dir):
+    """Each customer's first status, and then the last one, as two batches of a stream; what comes too late is set aside."""
+    from noteloom.streaming import streams as S
+
+    path = new_path(spark, "facts")
+    o = V.read(spark, sf_dir, "orders")
+    for number, pick, of in ((0, F.min_by, F.min), (1, F.max_by, F.max)):
+        rows = o.groupBy("o_custkey").agg(of("o_orderkey").alias("arrival"), pick("o_orderstatus", "o_orderkey").alias("object"), pick("o_orderdate", "o_orderkey").alias("at"))
+        facts = rows.select("arrival", F.concat(F.lit("customer_"), "o_custkey").alias("subject"), F.lit("status").alias("predicate"), "object", F.to_date("at").cast("string").alias("valid_from"))
+        facts.write.parquet(f"{path}/in/{number}")
+        S.feed(spark.readStream.schema(facts.schema).parquet(f"{path}/in/*"), S.late_facts(f"{path}/held", f"{path}/late"), f"{path}/checkpoint")
+    return spark.read.schema("status string, arrival long, subject string, predicate string, object string, valid_from string").parquet(f"{path}/late/*").select("arrival", "subject", "object", "valid_from")

@@ -41,19 +41,27 @@ def delivered_once(due: DataFrame, late: str = "1 hour") -> DataFrame:
     return timed(due, "at").withWatermark("at", late).dropDuplicatesWithinWatermark(["message_id", "session"])
 
 
+#: Files of a batch's changes by hash of their key, so that a later batch reads only the parts that it touches.
+PARTS = 64
+
+
 def cursor_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that merges cursors, each batch into a version of its own, so a batch that runs again writes the same."""
+    """A foreachBatch that writes each batch's own cursors under its number, so a batch that runs again writes the same.
+
+    Cursors only move forward, so the state is the maximum over all batches and no batch reads or rewrites it."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy("reader", "channel").agg(F.max("last_seen").alias("last_seen"))
-        if number > 0:
-            new = B.merged_cursors(spark.read.parquet(f"{path}/{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
+        batch.groupBy("reader", "channel").agg(F.max("last_seen").alias("last_seen")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return merge
 
 
+def cursors(spark: SparkSession, path: str) -> DataFrame:
+    """What `cursor_sink` has written, as cursors."""
+    rows = spark.read.schema("reader string, channel string, last_seen long, batch long").parquet(path)
+    return B.merged_cursors(rows.drop("batch").limit(0), rows.drop("batch"))
+
+
 def warnings(fires: DataFrame, most: int = 2) -> DataFrame:
     """The first `most` notes that fire in a session, each once, by state per session that lives 7 days (B9). Columns: session, doc_id, at."""
 
@@ -94,19 +102,41 @@ def present(beats: DataFrame, seconds: int = 300) -> DataFrame:
     return beats.groupBy("session").applyInPandasWithState(watch, "session string, live boolean", "beats long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def late_facts(held_path: str, late_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that consolidates facts into the held graph; stale observations go to a side table."""
-    from noteloom.operators.graph import consolidate
+FACT = ["subject", "predicate", "object"]
+
+
+def held_facts(spark: SparkSession, path: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+    """The live graph from the changes that `late_facts` has written: of each fact the last change decides."""
+    rows = spark.read.schema("subject string, predicate string, object string, valid_from string, added boolean, number long, part int").parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("number") < before)
+    if parts is not None:
+        rows = rows.filter(F.col("part").isin(parts))
+    last = rows.groupBy(*FACT).agg(F.max_by(F.struct("valid_from", "added"), F.struct("number", "added")).alias("r"))
+    return last.filter("r.added").select(*FACT, "r.valid_from")
+
+
+def late_facts(held_path: str, late_path: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that consolidates facts into the held graph; stale observations go to a side table.
+
+    A batch writes its own changes under its number, by hash of the subject, and reads the held facts of those parts only."""
+    from noteloom.operators.graph import consolidate, entity_id
+
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = spark.read.parquet(f"{held_path}/{number - 1}") if number else spark.createDataFrame([], "subject string, predicate string, object string, valid_from string")
+        batch = batch.persist()
+        # a folded direction swaps the ends, so either may be the subject
+        ends = batch.select(F.explode(F.array("subject", "object")).alias("x")).select(part(entity_id(F.col("x"))).alias("part"))
+        touched = [r.part for r in ends.distinct().collect() if r.part is not None]  # at most `parts`
+        held = held_facts(spark, held_path, number, touched) if number else spark.createDataFrame([], "subject string, predicate string, object string, valid_from string")
         done = consolidate(held, batch).persist()
         done.filter("reason = 'stale_observation'").write.mode("overwrite").parquet(f"{late_path}/{number}")
-        gone = done.filter("status = 'invalidated'").select("subject", "predicate", "object")
-        added = done.filter("status = 'added'").select("subject", "predicate", "object", "valid_from")
-        held.unionByName(added).join(gone, ["subject", "predicate", "object"], "left_anti").write.mode("overwrite").parquet(f"{held_path}/{number}")
+        changes = done.filter("status IN ('added', 'invalidated')").select(*FACT, "valid_from", (F.col("status") == "added").alias("added"), part(F.col("subject")).alias("part"))
+        changes.write.mode("overwrite").partitionBy("part").parquet(f"{held_path}/number={number}")
         done.unpersist()
+        batch.unpersist()
 
     return run
 
@@ -124,6 +154,11 @@ def drained_table(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
 
 
+def feed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Give what is there and has not been seen to a foreachBatch."""
+    _run(stream.writeStream.foreachBatch(sink), checkpoint, timers=True)
+
+
 def _run(writer, checkpoint: str, timers: bool) -> None:
     """With `timers`, batches without data are off: timeouts ask for them again and again, and the run would not end."""
     spark, key = writer._spark, "spark.sql.streaming.noDataMicroBatches.enabled"

@@ -56,14 +56,17 @@ def test_cursors_and_late_facts(spark, tmp_path):
     merge(rows(("a", "c", 5), ("a", "c", 3)), 0)
     merge(rows(("a", "c", 4), ("a", "c", None), ("b", "c", 1)), 1)
     merge(rows(("a", "c", 4), ("a", "c", None), ("b", "c", 1)), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "cur/1")).collect()) == [("a", "c", 5), ("b", "c", 1)]
+    assert sorted(tuple(r) for r in S.cursors(spark, str(tmp_path / "cur")).collect()) == [("a", "c", 5), ("b", "c", 1)]
     late = S.late_facts(str(tmp_path / "held"), str(tmp_path / "late"))
     batch = lambda n, o, d: spark.createDataFrame([(n, "tkt_1", "status", o, d)], "arrival long, subject string, predicate string, object string, valid_from string")
     late(batch(1, "open", "2024-02-01"), 0)
     late(batch(2, "done", "2024-01-01"), 1)
     late(batch(3, "closed", "2024-03-01"), 2)
     assert spark.read.parquet(str(tmp_path / "late/1")).count() == 1
-    assert [r.object for r in spark.read.parquet(str(tmp_path / "held/2")).collect()] == ["closed"]
+    assert [r.object for r in S.held_facts(spark, str(tmp_path / "held")).collect()] == ["closed"]
+    late(batch(4, "open", "2024-04-01"), 3)
+    late(batch(4, "open", "2024-04-01"), 3)
+    assert [(r.object, r.valid_from) for r in S.held_facts(spark, str(tmp_path / "held")).collect()] == [("open", "2024-04-01")]
 
 
 def test_bus_predicates(spark):

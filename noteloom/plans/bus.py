@@ -205,3 +205,10 @@ def b11_late_facts(spark, sf_dir):
         facts.write.parquet(f"{path}/in/{number}")
         S.feed(spark.readStream.schema(facts.schema).parquet(f"{path}/in/*"), S.late_facts(f"{path}/held", f"{path}/late"), f"{path}/checkpoint")
     return spark.read.schema("status string, arrival long, subject string, predicate string, object string, valid_from string").parquet(f"{path}/late/*").select("arrival", "subject", "object", "valid_from")
+
+
+@query(READERS + KINDS + f" SELECT reader, m.channel, id, {MINE} AS addressed, kind IN ('request', 'question', 'task') OR id % 4 = 0 OR (recipient IS NOT NULL AND recipient = reader) OR id % 9 = 0 AS needs FROM readers r JOIN k m ON r.channel = m.channel WHERE {MINE}", ("messages",))
+def p11_p12_addressed(spark, sf_dir):
+    j = readers(spark, sf_dir).join(kinds(spark, sf_dir), "channel").filter(B.targets(F.col("sender"), F.col("recipient"), F.col("reader")))
+    direct = F.col("recipient").isNotNull() & (F.col("recipient") == F.col("reader"))
+    return j.select("reader", "channel", "id", F.lit(True).alias("addressed"), B.needs_agent(F.col("kind"), F.col("id") % 4 == 0, direct, F.col("id") % 9 == 0).alias("needs"))

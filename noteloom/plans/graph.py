@@ -209,3 +209,11 @@ def g24_single_inserts(spark, sf_dir):
     asked = o.select(F.col("o_orderkey").alias("request"), F.concat(F.lit("TKT-"), F.col("o_orderkey") % 50).alias("subject"), F.lit("status").alias("predicate"), F.when(F.col("o_orderkey") % 2 == 0, "Open").otherwise(F.col("o_orderstatus")).alias("object"), F.to_date("o_orderdate").cast("string").alias("valid_from"))
     held = V.read(spark, sf_dir, "customer").filter("c_custkey <= 100").select(k.alias("id"), F.concat(F.lit("tkt_"), k % 50).alias("subject"), F.lit("status").alias("predicate"), F.when(k % 3 == 0, "open").when(k % 3 == 1, "F").otherwise("held").alias("object"), F.concat((1992 + k % 6).cast("string"), F.lit("-06-15")).alias("valid_from"))
     return G.single_inserts(held, asked)[0]
+
+
+@query("WITH e AS (SELECT o_orderkey AS id, 'cust_' || o_custkey AS eid, 'cust_' || o_custkey || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '_vip' WHEN 2 THEN '_77' WHEN 3 THEN 'x' ELSE '_#9_12' END AS name FROM orders) SELECT id, name = eid OR (starts_with(name, eid || '_') AND NOT regexp_matches(substr(name, length(eid) + 2), '^#?[0-9]+(_[0-9]+)*$')) AS qualified FROM e")
+def p10_qualified(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    eid = F.concat(F.lit("cust_"), "o_custkey")
+    name = F.concat(eid, F.when(k == 0, "").when(k == 1, "_vip").when(k == 2, "_77").when(k == 3, "x").otherwise("_#9_12"))
+    return V.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), G.qualified(name, eid).alias("qualified"))

@@ -77,3 +77,13 @@ def s21_index(spark, sf_dir):
     k = F.col("id") % 5
     n = n.withColumn("triggers", F.when(k == 0, F.concat(F.lit("["), own, F.lit("]"))).when(k == 1, F.concat(F.lit("["), own, F.lit(', {"parts": ["ls"], "hits": 2}]'))).when(k == 2, "[]").when(k == 3, "[{broken"))
     return C.built_index(n).select("id", "title", "tier", F.array_join("parts", "/").alias("parts"), "hits")
+
+
+@query("SELECT event_id AS pos, CASE event_id % 3 WHEN 0 THEN 'cat <<EOF > m' || event_id || chr(10) || 'ls' WHEN 1 THEN 'cat <<-''A'' <<B' || chr(10) || 'done ' || event_id ELSE 'cat <<EOF' || chr(10) || 'open ' || event_id END AS command FROM events")
+def x1_heredocs(spark, sf_dir):
+    """Closed, two in a queue, and not closed."""
+    e, k, n = V.read(spark, sf_dir, "events"), F.col("event_id") % 3, F.lit("\n")
+    one = F.concat(F.lit("cat <<EOF > m"), "event_id", n, F.lit("git push\n EOF\nls"))
+    two = F.concat(F.lit("cat <<-'A' <<B\nB\nA\nA\nB\ndone "), "event_id")
+    text = F.when(k == 0, one).when(k == 1, two).otherwise(F.concat(F.lit("cat <<EOF\nopen "), "event_id"))
+    return e.select(F.col("event_id").alias("pos"), C.without_heredocs(text).alias("command"))

@@ -69,3 +69,16 @@ def test_keys_beside_base_spans(spark):
     assert sum(kept[:30]) <= 3 and sum(kept[30:]) <= 3
     assert sum(n[len(rows) + i] >= 1 for i in range(60)) >= 54
     assert out[len(texts) - 1] == "see [masked]== there" and n[len(texts) - 1] == 0
+
+
+def test_odd_rows(spark):
+    """Repeated rows stay, a text of many matches keeps all its places, extra columns come back."""
+    many = "token=abcdef " * 5000 + "x"
+    rows = [(1, "secret=abcdefgh", "a"), (1, "secret=abcdefgh", "a"), (None, "secret=abcdefgh", "b"), (2, many, None), (3, "", "c"), (4, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secret_spans string")
+    got = S.scanned(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_assign) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 5000), (3, 0), (4, 0)]
+    assert next(r.spans for r in got if r.doc_id == 2) == ",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(5000))
+    out = S.masked(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.secret_spans or "") for r in out.collect()) == sorted([(1, "[masked]", "a")] * 2 + [(0, "[masked]", "b"), (2, "[masked] " * 5000 + "x", ""), (3, "", "c"), (4, "", "d")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noteloom.functions import predicates as P
+from noteloom.functions.tables import materialize
 
 #: A number is no qualifier of an entity.
 NUMBERED = r"^#?\d+(_\d+)*$"
@@ -240,12 +241,12 @@ def consolidate(held: DataFrame, batch: DataFrame) -> DataFrame:
     whole = batch.filter("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
     broken = batch.join(whole.select("arrival"), "arrival", "left_anti").select(F.lit("skipped").alias("status"), "arrival", "subject", "predicate", "object", "valid_from", F.lit(None).cast("string").alias("valid_to"), F.lit("incomplete_triple").alias("reason"))
     f = canonical_triples(split_objects(whole)).withColumn("subject", entity_id(F.col("subject")))
-    listed = in_vocabulary(F.col("predicate"))
-    unlisted = f.filter(~listed).select(F.lit("skipped").alias("status"), "arrival", "subject", "predicate", "object", "valid_from", F.lit(None).cast("string").alias("valid_to"), F.lit("not_in_vocabulary").alias("reason"))
-    single = retires(f)
-    f = f.filter(listed).withColumn("single", single).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
-    h = held.withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
-    f = f.select("arrival", "subject", "predicate", "object", "valid_from", "single", "key", "ref")
+    f = f.withColumn("listed", in_vocabulary(F.col("predicate"))).withColumn("single", retires(f)).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
+    # written once: what follows reads the folded batch and the held facts many times
+    f = materialize(f.select("arrival", "subject", "predicate", "object", "valid_from", "listed", "single", "key", "ref"), "batch")
+    h = materialize(held.select("subject", "predicate", "object", "valid_from", entity_id(F.col("object")).alias("key"), reference(F.col("object")).alias("ref")), "held")
+    unlisted = f.filter("NOT listed").select(F.lit("skipped").alias("status"), "arrival", "subject", "predicate", "object", "valid_from", F.lit(None).cast("string").alias("valid_to"), F.lit("not_in_vocabulary").alias("reason"))
+    f = f.filter("listed").drop("listed")
     return _in_order(f.filter("single"), h).unionByName(_gathered(f.filter("NOT single"), h)).unionByName(unlisted).unionByName(broken)
 
 

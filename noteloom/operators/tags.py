@@ -92,32 +92,41 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9_-]+"), lambda w: w != "")
 
 
+def grams(words: Column, sizes: list[int]) -> Column:
+    """The distinct runs of `sizes` neighbouring words, joined by blanks."""
+    out, run = [], words
+    for k in range(1, max(sizes) + 1):
+        if k > 1:
+            run = F.zip_with(run, F.slice(words, F.lit(k), F.greatest(F.size(words) - k + 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        if k in sizes:
+            out.append(run)
+    return F.filter(F.array_distinct(F.flatten(F.array(*out))), lambda g: g.isNotNull())
+
+
 def mentions(notes: DataFrame, entities: DataFrame, key_words: int = 4) -> DataFrame:
     """(id, entity): notes whose text names an entity at word boundaries (K8).
 
-    A name that is one token is mentioned where the note has that token, so an equi-join on tokens decides. Other names meet
-    n-grams of tokens by their first `key_words`; then each note's text is read once, for all names that may stand in it."""
+    A name of up to `key_words` tokens with single blanks between them is mentioned where the note has just those, so an
+    equi-join on runs of tokens decides; other separators bar such runs. Other names are looked for by their first tokens,
+    and then each note's text is read once, for all names that may stand in it."""
     names = entities.select("entity", F.lower(F.trim("name")).alias("name")).filter((F.length("name") >= 3) & ~F.col("name").rlike("^[0-9]+$"))
     first = F.slice(tokens(F.col("name")), 1, key_words)
-    named = names.select("entity", "name", F.array_join(first, " ").alias("key"), F.size(first).alias("k")).filter("k > 0").withColumn("whole", (F.col("k") == 1) & (F.col("key") == F.col("name")))
+    named = names.select("entity", "name", F.array_join(first, " ").alias("key"), F.size(first).alias("k")).filter("k > 0").withColumn("whole", F.col("key") == F.col("name"))
     text = F.lower(F.concat_ws("\n", "title", "content"))
-    words = notes.select("id", tokens(text).alias("w"))
-    sizes = sorted(r.k for r in named.select("k").distinct().collect())  # at most key_words numbers
-    if not sizes:
-        return named.select(F.lit(0).cast("long").alias("id"), "entity").limit(0)
-
-    def of(k: int) -> Column:
-        run = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-        return F.when(F.size("w") >= k, run).otherwise(F.array().cast("array<string>"))
-
-    grams = F.array_distinct(F.flatten(F.array(*[of(k) for k in sizes])))
-    hits = words.select("id", F.explode(grams).alias("key")).join(named, "key")
-    sure = hits.filter("whole").select("id", "entity")
-    maybe = hits.filter("NOT whole").groupBy("id").agg(F.collect_set(F.struct("entity", "name")).alias("names"))
-    quoted = lambda x: F.concat(F.lit("(^|[^a-z0-9_-])\\Q"), x["name"], F.lit("\\E($|[^a-z0-9_-])"))
-    there = F.filter("names", lambda x: F.contains("text", x["name"]) & F.regexp_like("text", quoted(x)))
-    checked = maybe.join(notes.select("id", text.alias("text")), "id").select("id", F.explode(there).alias("x")).select("id", "x.entity")
-    return sure.unionByName(checked).distinct()
+    barred = F.regexp_replace(text, "[^a-z0-9_-]*[^a-z0-9_ -][^a-z0-9_-]*| {2,}", " | ")
+    sizes = {whole: sorted(r.k for r in named.select("k", "whole").distinct().collect() if r.whole == whole) for whole in (True, False)}  # at most key_words numbers each
+    found = named.select(F.lit(0).cast("long").alias("id"), "entity").limit(0)
+    if sizes[True]:
+        words = notes.select("id", F.filter(F.split(barred, " "), lambda w: w != "").alias("w"))
+        found = words.select("id", F.explode(grams(F.col("w"), sizes[True])).alias("key")).join(named.filter("whole"), "key").select("id", "entity")
+    if sizes[False]:
+        words = notes.select("id", tokens(text).alias("w"))
+        maybe = words.select("id", F.explode(grams(F.col("w"), sizes[False])).alias("key")).join(named.filter("NOT whole"), "key").groupBy("id").agg(F.collect_set(F.struct("entity", "name")).alias("names"))
+        quoted = lambda x: F.concat(F.lit("(^|[^a-z0-9_-])\\Q"), x["name"], F.lit("\\E($|[^a-z0-9_-])"))
+        there = F.filter("names", lambda x: F.contains("text", x["name"]) & F.regexp_like("text", quoted(x)))
+        checked = maybe.join(notes.select("id", text.alias("text")), "id").select("id", F.explode(there).alias("x")).select("id", "x.entity")
+        found = found.unionByName(checked)
+    return found.distinct()
 
 
 def sides(tags: DataFrame, a: str, b: str) -> DataFrame:

@@ -57,15 +57,15 @@ def k7_strongest(spark, sf_dir):
     return K.strongest(tagged(spark, sf_dir))
 
 
-#: Facts over the words of the benchmark's passages: each word and the two after it as one name.
-TOLD = """, w AS (SELECT string_split(lower(text), ' ') AS x FROM benchmark), f AS (SELECT x[i] AS subject, x[i + 1] || ' ' || x[i + 2] AS object FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM w)),
+#: Facts over the words of the benchmark's passages, letters and digits only: each word and the two after it as one name.
+TOLD = """, w AS (SELECT list_filter([regexp_replace(y, '[^a-z0-9]', '', 'g') FOR y IN string_split(lower(text), ' ')], lambda y: y <> '') AS x FROM benchmark), f AS (SELECT x[i] AS subject, x[i + 1] || ' ' || x[i + 2] AS object FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM w)),
 e AS (SELECT name AS entity, name FROM (SELECT subject AS name FROM f UNION ALL SELECT object FROM f WHERE object <> subject) GROUP BY name HAVING count(*) >= 2 AND length(name) >= 3 AND name NOT IN ('en', 'research')),
 m AS (SELECT id, entity FROM (SELECT id, lower(title || chr(10) || content) AS t FROM notes), e WHERE contains(t, name) AND regexp_matches(t, '(^|[^a-z0-9_-])' || regexp_escape(name) || '($|[^a-z0-9_-])'))"""
 MENTIONS = TAGS + TOLD
 
 
 def candidates(spark, sf_dir):
-    w = F.split(F.lower("text"), " ")
+    w = F.filter(F.transform(F.split(F.lower("text"), " "), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
     at = F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
     three = F.explode(F.transform(at, lambda i: F.struct(F.get(w, i).alias("subject"), F.concat(F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)).alias("object"))))
     f = V.read(spark, sf_dir, "benchmark").select(three.alias("f")).select("f.*")

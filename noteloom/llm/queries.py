@@ -70,6 +70,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_counts
+
+    return line_counts(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -100,12 +106,28 @@ SELECT t.conv_id, count(*) AS n_turns,
 FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
 """
 
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d
+), k AS (
+  SELECT rid, place, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), shared AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10
+), kept AS (
+  SELECT rid, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY place) AS text FROM k WHERE key NOT IN (SELECT key FROM shared) GROUP BY rid
+)
+SELECT doc_id, len(lines) AS n_lines, len(lines) - coalesce(n_kept, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 #: Sizes follow the contract's words; the copies themselves draw on a hash that DuckDB does not have, so op6 has no SQL.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op13_line_dedup": OP13_SQL}

@@ -70,6 +70,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_counts
 
@@ -106,6 +112,36 @@ SELECT t.conv_id, count(*) AS n_turns,
 FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
 """
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m
+  FROM w, range(1, 6) AS sizes(m), unnest(range(1, len(ws) - m + 2)) AS places(i)
+), f AS (
+  SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), whole AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE m >= 2 AND NOT EXISTS (
+    SELECT 1 FROM f AS longer WHERE longer.lang = f.lang AND longer.m > f.m AND longer.a >= f.a AND contains(' ' || longer.phrase || ' ', ' ' || f.phrase || ' '))
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM c, range(1, 5) AS ks(k) WHERE k < m
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, n, x.a AS l, y.a AS r, k, (1000::HUGEINT * cuts.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts JOIN whole USING (lang) JOIN f AS x ON x.lang = cuts.lang AND x.phrase = first JOIN f AS y ON y.lang = cuts.lang AND y.phrase = rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
 OP13_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -126,8 +162,8 @@ FROM d LEFT JOIN kept USING (rid)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts, op12_phrases, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op12_phrases": OP12_SQL, "op13_line_dedup": OP13_SQL}

@@ -70,6 +70,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged_reports
+
+    return damaged_reports(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
@@ -112,6 +118,58 @@ SELECT t.conv_id, count(*) AS n_turns,
 FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT coalesce(conv_id::VARCHAR, '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), hashed AS (  -- crc32, bit by bit
+  SELECT *, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)::UBIGINT[]), lambda d, i: xor(d >> 1, 3988292384::UBIGINT * (d & 1))))) % 20 AS kind
+  FROM keyed
+), broken AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial FROM broken
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+         lead(initial) OVER (PARTITION BY c ORDER BY pos) AS next
+  FROM numbered
+), counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM faulty GROUP BY c
+), ins(p, m, letters, added) AS (  -- states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+  VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', 'user:' || chr(10)), (1, 2, 'I', 'user:' || chr(10)), (3, 2, 'I', 'user:' || chr(10)),
+         (2, 3, 'I', 'assistant:' || chr(10)), (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))
+), act(m, q, letter, needs, given) AS (
+  VALUES (0, 0, 'D', '', ''), (1, 1, 'D', '', ''), (2, 2, 'D', '', ''), (3, 3, 'D', '', ''), (0, 1, 'K', 's', ''),
+         (0, 2, 'K', 'u', ''), (1, 2, 'K', 'u', ''), (3, 2, 'K', 'u', ''), (2, 3, 'K', 'a', ''),
+         (0, 2, 'R', '', 'user'), (1, 2, 'R', '', 'user'), (3, 2, 'R', '', 'user'), (2, 3, 'R', '', 'assistant')
+), best AS (
+  SELECT c, 0::BIGINT AS pos, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'made': ''} AS b FROM counted
+  UNION ALL
+  SELECT best.c, f.pos, act.q, min({
+    'cost': best.b.cost + 3 * length(ins.letters) + CASE act.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN act.letter <> 'D' AND f.fault = 3 THEN 3 ELSE 0 END,
+    'audit': best.b.audit || ins.letters || act.letter,
+    'made': best.b.made || ins.added || CASE act.letter WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE act.given || ':' || f.text || chr(10) END})
+  FROM best JOIN faulty AS f ON f.c = best.c AND f.pos = best.pos + 1 JOIN ins ON ins.p = best.q JOIN act ON act.m = ins.m
+  WHERE act.letter = 'D' OR f.fault IN (0, 3) AND (act.letter = 'R' OR f.initial = act.needs)
+  GROUP BY best.c, f.pos, act.q
+), done AS (
+  SELECT best.c, min({'cost': b.cost + 3 * length(letters), 'audit': b.audit || letters, 'made': b.made || added}) AS b
+  FROM best JOIN counted USING (c) JOIN ins ON ins.p = best.q WHERE best.pos = counted.n AND ins.m IN (0, 3) GROUP BY best.c
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(b.made[1:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS c FROM conversations) LEFT JOIN counted USING (c) LEFT JOIN done USING (c)
+"""
+
 OP12_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -162,8 +220,8 @@ FROM d LEFT JOIN kept USING (rid)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts, op12_phrases, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_warc, op4_simhash, op5_ann, op6_mixing, op7_chat, op8_packing, op9_quality, op10_token_counts, op11_repair, op12_phrases, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op12_phrases": OP12_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op11_repair": OP11_SQL, "op12_phrases": OP12_SQL, "op13_line_dedup": OP13_SQL}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.tables import discard, materialize, new_path, shared_dir
 
-__all__ = ["WORD", "discard", "free_name", "materialize", "new_path", "shared_dir", "table"]
+__all__ = ["WORD", "discard", "free_name", "let", "materialize", "new_path", "shared_dir", "table"]
 
 #: Words of the contracts: runs of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,3 +25,8 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = "_" + base
     return base
+
+
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that is computed once, however often `make` names it and in whatever lambda."""
+    return F.element_at(F.transform(F.array(x), make), 1)

@@ -17,13 +17,11 @@ no ties. A document that loses all its lines becomes empty. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .common import materialize
+from .common import let, materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,11 +43,6 @@ def hashes(*xs: Column) -> list[Column]:
     return [F.xxhash64(F.lit(k), *xs) for k in (1, 2)]
 
 
-def _let(x: Column, make: Callable[[Column], Column]) -> Column:
-    """`make` of a value that is computed once, however often `make` names it."""
-    return F.element_at(F.transform(F.array(x), make), 1)
-
-
 def shared_lines(docs: DataFrame, text_col: str, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
     """(h1, h2, n_docs) of the keys that stand in `least` documents or more."""
     keys = F.array_distinct(F.transform(lines_of(F.col(text_col)), line_key))
@@ -93,7 +86,7 @@ def planned(docs: DataFrame, text_col: str = "text", least: int = LEAST, shortes
         return F.struct(F.size(x["lines"]).cast("long").alias("n_lines"), F.size(x["places"]).cast("long").alias("n_dropped"), kept.alias("kept"))
 
     own_text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    made = _let(F.struct(lines_of(own_text).alias("lines"), own_text.alias("text"), F.coalesce("places", none).alias("places")), cut)
+    made = let(F.struct(lines_of(own_text).alias("lines"), own_text.alias("text"), F.coalesce("places", none).alias("places")), cut)
     return joined.select("row", made.alias("made")).select("row", "made.n_lines", "made.n_dropped", "made.kept")
 
 

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, let, materialize
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -58,33 +58,55 @@ STEPS = 400
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
-def in_blocks(xs: Column, width: Callable[[Column], Column], make: Callable[[Column, Column], Column], block: int = 64) -> Column:
-    """`make(x, at)` of each item, `at` being the sum of the widths before it. Sums run over blocks and then inside them, so
-    that the cost of a text with many matches stays near their number."""
-    part = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, F.lit(block)))
+#: Items that a running value is carried over at once, and code points of a piece that a text is cut into.
+RUN, PIECE = 64, 256
 
-    def sums(items: Column, of: Callable[[Column], Column], start: Column) -> Column:
+
+def running(xs: Column, of: Callable[[Column], Column], join: Callable[[Column, Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """`make(x, at)` of each item, `at` being `join` over `of` of the items before it, from 0. It runs over blocks of items and
+    then inside them, so that a text with many matches costs near their number."""
+
+    def over(items: Column, value: Callable[[Column], Column], start: Column) -> Column:
         zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(items, zero, lambda acc, x: F.struct((acc["at"] + of(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+        return F.aggregate(items, zero, lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    whole = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: join(acc, of(x)))
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, F.lit(RUN)))
+    placed = lambda bs: F.zip_with(bs, over(bs, lambda b: F.greatest(whole(b), F.lit(0)), F.lit(0)), lambda b, at: F.zip_with(b, over(b, of, at), make))
+    return let(xs, lambda xs: F.when(F.size(xs) > 0, F.flatten(let(blocks(xs), placed))).otherwise(F.transform(xs, lambda x: make(x, F.lit(0)))))
+
+
+def cut(text: Column, make: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """`make(part)`, where `part(a, b)` is the text between two places. Spark's `substring` walks from the start of a text; this
+    one walks from the start of a piece of `PIECE` code points, so that many parts cost near their length."""
 
-    total = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: acc + width(x))
-    placed = F.arrays_zip(part.alias("xs"), sums(part, total, F.lit(0)).alias("at"))
-    return F.flatten(F.transform(placed, lambda p: F.zip_with(p["xs"], sums(p["xs"], width, p["at"]), make)))
+    def of(pieces: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            whole = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(whole, a - first * PIECE + 1, b - a)).otherwise("")
+
+        return make(part)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)
 
 
 def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """array<struct<start, end, value>> of leftmost non-overlapping matches; those with a shorter `group` are dropped after matching."""
     p = F.lit(pattern)
-    found, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    rest = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), rest.alias("g"))
 
     def place(x: Column, at: Column) -> Column:
         start = at + F.length(x["b"])
         return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.length(x["g"]).alias("n"))
 
-    placed = F.filter(in_blocks(parts, lambda x: F.length(x["b"]) + F.length(x["m"]), place), lambda x: x["n"] >= least)
-    return F.when(F.size(found) > 0, F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))).otherwise(F.array().cast(EMPTY))
+    def placed(found: Column) -> Column:
+        rest = F.regexp_extract_all(text, p, F.lit(group)) if group else found
+        parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("b"), found.alias("m"), rest.alias("g"))
+        at = running(parts, lambda x: F.length(x["b"]) + F.length(x["m"]), lambda a, b: a + b, place)
+        kept = F.transform(F.filter(at, lambda x: x["n"] >= least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+        return F.when(F.size(found) > 0, kept).otherwise(F.array().cast(EMPTY))
+
+    return let(F.regexp_extract_all(text, p, F.lit(0)), placed)
 
 
 def _tail(z: Column) -> Column:
@@ -159,17 +181,25 @@ def plain(xs: Column, kind: int) -> Column:
     return F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def blanked(text: Column, base: Column) -> Column:
-    """The text with blanks in place of its base spans, so that places stay."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def covered(xs: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """`make(x, at)` of spans in order, `at` being where the spans before it end."""
+    return running(xs, lambda x: x["end"], F.greatest, make)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(acc["at"], x["start"])
-        end = F.greatest(acc["at"], x["end"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
 
-    walked = F.aggregate(base, zero, step)
-    return F.when(F.size(base) > 0, F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
+def replaced(text: Column, xs: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """The text with `make(x, at)` in place of what each span covers beyond `at`, the end of those before it."""
+
+    def of(part: Callable[[Column, Column], Column]) -> Column:
+        pieces = covered(xs, lambda x, at: F.concat(part(at, x["start"]), make(x, at)))
+        end = F.aggregate(xs, F.lit(0), lambda acc, x: F.greatest(acc, x["end"]))
+        return F.concat(F.array_join(pieces, ""), let(end, lambda end: part(end, F.length(text))))
+
+    return F.when(F.size(xs) > 0, cut(text, of)).otherwise(text)
+
+
+def blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans, so that places stay."""
+    return replaced(text, base, lambda x, at: F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(at, x["start"]), F.lit(0))))
 
 
 def tested_rows(docs: DataFrame, text_col: str, base: str, found: str, keep: list[str]) -> DataFrame:
@@ -186,9 +216,15 @@ def tested_rows(docs: DataFrame, text_col: str, base: str, found: str, keep: lis
     # runs of the text, and what base spans leave of them; without base spans both are the same
     left = F.when(F.col(long), spans(F.col(blank), CANDIDATE)).otherwise(none)
     runs = F.when(F.col(long) & (F.size(base) > 0), spans(text, CANDIDATE)).otherwise(none)
-    rows = rows.withColumn(found, F.array_union(left, runs))
-    beyond = lambda x: F.substring(F.col(blank), x["start"] + 1, x["end"] - x["start"]).rlike(KEY)
-    rows = rows.withColumn(found, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), beyond(x).alias("beyond"))))
+
+    def beyond(part: Callable[[Column, Column], Column]) -> Column:  # what is left of each run, which differs where it met a span
+        seen = F.transform(F.col(found), lambda x: F.struct(*[x[f].alias(f) for f in ("start", "end", "value", "run")], part(x["start"], x["end"]).alias("own")))
+        new = F.filter(seen, lambda x: ~x["run"] | (x["own"] != x["value"]))
+        return F.transform(new, lambda x: F.struct(*[x[f].alias(f) for f in ("start", "end", "value")], x["own"].rlike(KEY).alias("beyond")))
+
+    marked = lambda xs, run: F.transform(xs, lambda x: F.struct(*[x[f].alias(f) for f in ("start", "end", "value")], F.lit(run).alias("run")))
+    rows = rows.withColumn(found, F.concat(marked(left, False), marked(runs, True)))
+    rows = rows.withColumn(found, F.when(F.size(found) > 0, cut(F.col(blank), beyond)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,beyond:boolean>>")))
     return materialize(rows.withColumn(found, tested(F.col(found))).select(*keep, base, found), "secrets")
 
 
@@ -237,9 +273,11 @@ def with_spans(docs: DataFrame, text_col: str = "text", base_name: str = "secret
             ok = ok | ((c["stratum"] == stratum) & (c["step"] >= step))
         return ok & (c["p_random"] >= LEVEL) & c["beyond"]
 
-    rows = rows.withColumn(all_name, plain(F.filter(F.col(all_name), sure), 3))
-    around = lambda x: F.exists(F.col(all_name), lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))
-    return rows.withColumn(all_name, F.array_sort(F.concat(F.col(base_name), F.filter(F.col(all_name), lambda x: ~around(x)))))
+    # outermost spans alone: in order of start, longer ones first, one that ends inside those before it is within one of them
+    sure_ones = F.transform(F.filter(F.col(all_name), sure), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["end"].alias("end")))
+    ends = covered(F.array_sort(sure_ones), lambda x, at: F.struct(x["start"].alias("start"), x["end"].alias("end"), at.alias("at")))
+    outer = plain(F.filter(ends, lambda x: x["end"] > x["at"]), 3)
+    return rows.withColumn(all_name, F.array_sort(F.concat(F.col(base_name), outer)))
 
 
 def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = None, mask: str = "[masked]") -> DataFrame:
@@ -247,15 +285,7 @@ def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = None
     base, spanned = free_name(docs, "secret_base"), free_name(docs, "secret_spans")
     rows = with_spans(docs, text_col, base, spanned)
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:  # spans that overlap share one mask
-        before = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    walked = F.aggregate(F.col(spanned), zero, step)
-    new = F.when(F.size(spanned) > 0, F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
+    new = replaced(text, F.col(spanned), lambda x, at: F.when(x["start"] >= at, F.lit(mask)).otherwise(""))  # overlapping spans share one
     out = rows.withColumn(text_col, new)
     if count_col:
         out = out.withColumn(count_col, F.when(F.size(spanned) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))

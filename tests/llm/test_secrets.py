@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from noteloom.llm import secrets as S
 from pyspark.sql import functions as F
@@ -82,3 +83,30 @@ def test_odd_rows(spark):
     out = S.masked(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "", r.secret_spans or "") for r in out.collect()) == sorted([(1, "[masked]", "a")] * 2 + [(0, "[masked]", "b"), (2, "[masked] " * 5000 + "x", ""), (3, "", "c"), (4, "", "d")])
+
+
+def test_cost_is_near_the_number_of_spans(spark):
+    """100,000 spans in one text; the pipeline's masking likewise."""
+    n = 100_000
+    many = "token=abcdef " * n
+    docs = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    S.scanned(docs.limit(0)).collect()
+    began = time.time()
+    got = S.scanned(docs).collect()[0]
+    assert (got.n_assign, got.n_random) == (n, 0)
+    assert got.base_sha256 == hashlib.sha256(",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(n)).encode()).hexdigest()
+    assert time.time() - began < 20
+    began = time.time()
+    assert S.masked(docs).collect()[0].text == "[masked] " * n
+    assert time.time() - began < 20
+
+
+def test_many_random_keys_in_one_text(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(5000)]
+    docs = spark.createDataFrame([(1, "é " + " ".join(keys))], "doc_id long, text string")
+    began = time.time()
+    got = S.scanned(docs).collect()[0]
+    assert got.n_random >= 4900 and time.time() - began < 30
+    left = S.masked(docs).collect()[0].text.split()
+    assert left[0] == "é" and len(left) == 5001 and sum(x == "[masked]" for x in left) == got.n_random

@@ -12,8 +12,9 @@ how many of them stand in links, and which texts recur. They decide what is kept
 Pages of hosts with fewer pages are aligned with one page of all hosts whose pages have the same containers. Tags, roles,
 class names and ids are evidence beside that: what they call a menu, footer, sidebar, notice, advert, form or comment has
 no say in the content root and goes, unless it holds nearly all that varies; marked articles are preferred to a slot around
-them. Where too few pages align, the page's own marks and masses of text decide. A page that shares more than half of its text
-with the tree's page is a copy and tells nothing.
+them. Where too few pages align, the page's own marks and masses of text decide. A page counts, where texts recur, by the share
+of its text that varies from the tree's page: near copies of that page say little of what is template, copies nothing, and a
+page that is mostly template as much as any other of its host.
 
 A block's white space (Unicode's) becomes one space; inline elements and `br` do not end a block.
 
@@ -62,12 +63,12 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table th
 LISTS = frozenset("ul ol menu nav div section table dl".split())
 #: Slots that like containers of one parent have; those beyond share the last. Plain elements share one.
 SLOTS = 8
-#: Share of aligned pages with the same text that makes it template, and the fewest such pages.
+#: Share of the aligned pages' weight with the same text that makes it template, and the fewest such pages.
 CONSTANT, PAGES = 0.9, 4
 #: Share of varying text that the next node on the way to the content root holds, and share of links in a menu.
 HOLDS, LINKS = 0.6, 0.8
-#: Share of its text that a page has in common with another if it is a copy, and share that marks leave at least.
-COPY, LEAVE = 0.5, 0.3
+#: Share of the varying text that marks leave at least, and the steps that the weight of a page is counted in.
+LEAVE, STEPS = 0.3, 1000
 #: Evidence that an element is no content, the strongest first; what is hidden is none in any case.
 NONE, TAG, NAME, HIDDEN = range(4)
 
@@ -261,20 +262,23 @@ def load(reference: str) -> list:
     return [*out[:4], [set(x) for x in out[4]], set().union(*out[4])]
 
 
-def compared(page: str, reference: list) -> list[tuple[int, int, int, int, int]]:
-    """What a page tells of the reference's slots, as (slot, text, characters, in links, varying outside links) with text 0,
-    and (slot, text, 0, 0, 0) for each text of the slot that the page repeats. A copy tells nothing."""
+def compared(page: str, reference: list) -> list[tuple[int, int, int, int, int, int]]:
+    """What a page tells of the reference's slots, as (slot, text, weight, characters, in links, varying outside links) with
+    text 0, and (slot, text, weight, 0, 0, 0) for each text of the slot that the page repeats. The weight is the share of the
+    page's text that the reference does not have, in `STEPS`; a copy has none and tells nothing."""
     f = Fold(parse(page))
     texts = [[x for x in map(own_text, m) if x[0]] for m in f.members]
     chars = sum(n for x in texts for _, n, _ in x)
-    if sum(n for x in texts for h, n, _ in x if h in reference[5]) > COPY * chars:
+    new = sum(n for x in texts for h, n, _ in x if h not in reference[5])
+    if not new:
         return []
+    weight = max(1, STEPS * new // chars)
     out = []
     for i, j in match((reference[0], reference[1]), (f.keys, f.kids)).items():
         own = reference[4][i]
         varying = sum(n - a for h, n, a in texts[j] if h not in own)
-        out.append((i, 0, sum(n for _, n, _ in texts[j]), sum(a for _, _, a in texts[j]), varying))
-        out.extend((i, h, 0, 0, 0) for h in {h for h, _, _ in texts[j]} & own)
+        out.append((i, 0, weight, sum(n for _, n, _ in texts[j]), sum(a for _, _, a in texts[j]), varying))
+        out.extend((i, h, weight, 0, 0, 0) for h in {h for h, _, _ in texts[j]} & own)
     return out
 
 
@@ -325,16 +329,16 @@ def trusted(kids: list[list[int]], marks: list[int], mass: list[int], leave: flo
     return NONE
 
 
-def wrapper(reference: list, sums: list[tuple[int, int, int, int, int, int]], evidence: bool = True) -> dict:
-    """Content root, template texts and menus from (slot, text, pages, characters, in links, varying outside links)."""
+def wrapper(reference: list, sums: list[tuple[int, int, int, int, int, int, int]], evidence: bool = True) -> dict:
+    """Content root, template texts and menus from (slot, text, pages, weight, characters, in links, varying outside links)."""
     keys, kids, marks, sizes = reference[:4]
     n = len(keys)
-    pages, chars, links, mass, same = [0] * n, [0] * n, [0] * n, [0] * n, []
-    for i, text, count, c, a, v in sums:
+    pages, weights, chars, links, mass, same = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, []
+    for i, text, count, weight, c, a, v in sums:
         if text:
-            same.append((i, text, count))
+            same.append((i, text, count, weight))
         else:
-            pages[i], chars[i], links[i], mass[i] = count, c, a, v
+            pages[i], weights[i], chars[i], links[i], mass[i] = count, weight, c, a, v
     trust = trusted(kids, marks, mass, LEAVE) if evidence else NONE
     root = descend(keys, kids, marks, sizes, mass, trust, HOLDS if evidence else None)
     for i in range(n - 1, -1, -1):
@@ -343,8 +347,8 @@ def wrapper(reference: list, sums: list[tuple[int, int, int, int, int, int]], ev
             links[i] += links[k]
     menus = [i for i in range(n) if pages[i] >= PAGES and keys[i].split(".")[0] in LISTS and i != root and links[i] >= LINKS * chars[i] > 0]
     template: dict[int, list[int]] = {}
-    for i, text, count in same:
-        if count >= PAGES and count >= CONSTANT * pages[i]:
+    for i, text, count, weight in same:
+        if count >= PAGES and weight >= CONSTANT * weights[i]:
             template.setdefault(i, []).append(text)
     return {"keys": keys, "kids": kids, "root": root, "menus": menus, "template": sorted(template.items()), "trust": trust, "seen": pages[0]}
 
@@ -424,7 +428,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, list[int]] = {}
         loaded: dict[str, list] = {}
-        send = lambda: pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["key", "slot", "text", "pages", "chars", "links", "varying"])
+        send = lambda: pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["key", "slot", "text", "pages", "weight", "chars", "links", "varying"])
         for f in frames:
             for key, page, reference in zip(f.key, f.html, f.reference):
                 if key not in loaded:
@@ -432,7 +436,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
                         loaded.clear()
                     loaded[key] = load(reference)
                 for i, text, *own in compared(page, loaded[key]):
-                    t = total.setdefault((key, i, text), [0, 0, 0, 0])
+                    t = total.setdefault((key, i, text), [0, 0, 0, 0, 0])
                     t[0] += 1
                     for k, x in enumerate(own, 1):
                         t[k] += x
@@ -442,8 +446,8 @@ def wrappers(rows: DataFrame) -> DataFrame:
         yield send()
 
     joined = with_both(rows.select("host", "shape", "html"), references, "reference").filter("reference IS NOT NULL").select("key", "html", "reference")
-    counted = joined.mapInPandas(sums, "key string, slot int, text long, pages long, chars long, links long, varying long").groupBy("key", "slot", "text").agg(*[F.sum(x).alias(x) for x in ("pages", "chars", "links", "varying")])
-    gathered = counted.groupBy("key").agg(F.collect_list(F.struct("slot", "text", "pages", "chars", "links", "varying")).alias("sums"))  # as many as the reference page has slots and texts
+    counted = joined.mapInPandas(sums, "key string, slot int, text long, pages long, weight long, chars long, links long, varying long").groupBy("key", "slot", "text").agg(*[F.sum(x).alias(x) for x in ("pages", "weight", "chars", "links", "varying")])
+    gathered = counted.groupBy("key").agg(F.collect_list(F.struct("slot", "text", "pages", "weight", "chars", "links", "varying")).alias("sums"))  # as many as the reference page has slots and texts
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

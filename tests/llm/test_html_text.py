@@ -106,10 +106,55 @@ def test_marks_are_evidence_only():
     sums = {}
     for p in pages[1:]:
         for i, h, *own in H.compared(p, reference):
-            t = sums.setdefault((i, h), [0, 0, 0, 0])
+            t = sums.setdefault((i, h), [0, 0, 0, 0, 0])
             for k, x in enumerate([1, *own]):
                 t[k] += x
     off, on = (H.wrapper(reference, sorted((*k, *v) for k, v in sums.items()), e) for e in (False, True))
     assert on["keys"][on["root"]] == off["keys"][off["root"]] == "article"
     for p in pages[1:]:
         assert H.main_text(p, on) == H.main_text(p, off, False)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
+
+
+def heavy(rng, host, pages, paragraphs, kind):
+    """Pages of which most is template, without marks or known names: twelve constant blocks around and between the text.
+    kind: `blocks`, `lists` (the constant blocks are lists) or `links` (with a line of links in each)."""
+    fixed = [words(rng, 40) for _ in range(12)]
+    dress = {
+        "blocks": lambda b: f"<div class=k{b[:3]}><p>{b}</p></div>",
+        "lists": lambda b: "<ul class=k>" + "".join(f"<li>{x}" for x in b.split()) + "</ul>",
+        "links": lambda b: f"<div class=k><p>{b}</p><a href=#>{b[:9]}</a></div>",
+    }[kind]
+    out = []
+    for k in range(pages):
+        title, text = words(rng, 5), [words(rng, 30) for _ in range(paragraphs)]
+        inner = "".join(f"<p>{p}</p>" + (dress(fixed[4 + j]) if j < 3 else "") for j, p in enumerate(text))
+        shown = 4 + min(3, paragraphs)
+        body = "".join(map(dress, fixed[:4])) + f"<div class=m><h1>{title}</h1>{inner}</div>" + "".join(map(dress, fixed[shown:]))
+        out.append((f"http://{host}/{k}", f"<html><body>{body}</body></html>", "\n".join([title, *text])))
+    return out
+
+
+def test_hosts_that_are_mostly_template(spark):
+    """Short articles under a heavy template are right on all pages, however little of a page varies."""
+    rng = random.Random(21)
+    pages = [p for kind in ("blocks", "lists", "links") for n in (1, 2, 6, 12, 20) for p in heavy(rng, f"{kind}{n}.example", 20, n, kind)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extracted(df).collect()}
+    wrong = [pages[i][0] for i in range(len(pages)) if got[i] != pages[i][2]]
+    assert not wrong, wrong
+
+
+def test_copies_do_not_make_content_template(spark):
+    """A host where most pages are copies of one page, exactly or but for a word."""
+    rng = random.Random(5)
+    own = heavy(rng, "copies.example", 12, 4, "blocks")
+    url, page, text = own[0]
+    word = text.split()[-1]
+    pages = own + [(f"{url}?{k}", page, text) for k in range(100)] + [(f"{url}&{k}", page.replace(f" {word}<", f" {word}{k}<"), f"{text}{k}") for k in range(100)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extracted(df).collect()}
+    assert [got[i] for i in range(len(pages))] == [t for *_, t in pages]

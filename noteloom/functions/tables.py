@@ -41,3 +41,9 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where a table comes in fewer pieces than that; otherwise as it is. For plain scans."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that is computed once, however often `make` names it."""
+    return F.element_at(F.transform(F.array(x), make), 1)
+
+
 @cache
 def _folding() -> tuple[str, str]:
     """Characters that decompose to one base letter and marks, with the letter; marks themselves come last and go."""
@@ -36,9 +42,9 @@ def _folding() -> tuple[str, str]:
 
 
 def folded(c: Column) -> Column:
-    """Lower case without diacritics."""
+    """Lower case without diacritics; ASCII texts have none."""
     old, new = _folding()
-    return F.lower(F.translate(c, old, new))
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.lower(F.translate(c, old, new)))
 
 
 def words(c: Column) -> Column:

@@ -1,11 +1,14 @@
 import math
+import random
 
 from noteloom.functions import text as X
+from noteloom.operators import index as I
 from noteloom.operators import search as S
 from noteloom.operators import transcripts as R
 from noteloom.operators import triggers as C
 from noteloom.operators import vectors as V
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NOTES = "id long, title string, content string, tags array<string>, tier string, doc_type string, superseded_at timestamp_ntz"
 
@@ -30,15 +33,77 @@ def test_search_prefers_title_and_needs_all_terms(spark):
 
 def test_bm25_by_hand(spark):
     n = notes(spark, ("a", "cat cat dog", []), ("b", "dog", []), ("c", "bird", []))
-    index = S.indexed(n)
+    index = I.indexed(n)
     q = spark.createDataFrame([(1, "cat")], "query_id long, query string")
     r = S.bm25(S.matches(S.query_terms(q), index), index).collect()
     idf, mean = math.log((3 - 1 + 0.5) / 1.5), 8 / 3
     assert len(r) == 1 and abs(r[0].score + idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / mean))) < 1e-9
 
 
-def test_families_testify_once():
-    assert S.family_mass(["index", "indexer", "vault"], {"index": 1.0, "indexer": 2.0, "vault": 3.0}) == (2, 5.0)
+def test_families_testify_once(spark):
+    cases = [
+        ([("index", 1.0), ("indexer", 2.0), ("vault", 3.0)], (2, 5.0)),
+        ([("backfill", 4.0), ("backfills", 3.0)], (1, 4.0)),
+        ([("log", 1.0), ("logic", 1.5)], (2, 2.5)),  # three letters relate to nothing
+        ([("works", 1.0), ("worker", 1.0), ("work", 5.0), ("workflow", 2.0)], (3, 8.0)),  # "work" joins the first family it is kin of
+        ([], (0, 0.0)),
+    ]
+    rows = spark.createDataFrame([(i, [(p, w, x) for p, (w, x) in enumerate(ws)]) for i, (ws, _) in enumerate(cases)], "i int, found array<struct<pos:int,word:string,idf:double>>")
+    got = {r.i: (r.x.families, r.x.mass) for r in rows.select("i", S.family_mass(F.col("found")).alias("x")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_aliases_are_part_of_a_notes_identity(spark):
+    n = notes(spark, ("How the vault is kept", "an indexer walks files", ["kb"]), *[(f"filler {i}", "nothing of that", []) for i in range(300)], ("vault", "vault", []), ("x", "indexer", []))
+    p = spark.createDataFrame([(1, "does the indexer see the vault")], "prompt_id long, prompt string")
+    aliases = spark.createDataFrame([(0, "indexer")], "id long, aliases string")
+    assert S.relevant(p, n).count() == 0
+    assert [r.id for r in S.relevant(p, n, aliases=aliases).collect()] == [0]
+
+
+def made_notes(spark, rng, ids):
+    vocabulary = [a + b for a in ("vault", "index", "note", "graph", "tag", "cache") for b in ("", "s", "er", "ing", "ed")]
+    text = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    return spark.createDataFrame([(i, text(2), text(rng.randrange(0, 25)), [rng.choice(vocabulary)], "inferred", "note", None) for i in ids], NOTES)
+
+
+def test_blocks_are_skipped_and_results_stay(spark):
+    """Top notes by bounds equal those by scoring all; notes that stand out leave most buckets unread."""
+    rng = random.Random(6)
+    n = made_notes(spark, rng, range(3000)).withColumn("content", F.when(F.col("id") < 5, F.repeat(F.lit("lynx "), 200)).when(F.col("id") % 10 == 0, F.concat("content", F.lit(" lynx"))).otherwise(F.col("content")))
+    index = I.indexed(n, buckets=60)
+    q = spark.createDataFrame([(1, "lynx"), (2, "index cache"), (3, "notes graph tagging"), (4, "zebra vault"), (5, "the of"), (6, "lynx vault")], "query_id long, query string")
+    terms = S.query_terms(q)
+    everything = S.all_or_any(S.bm25(S.matches(terms, index), index)).withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter("k <= 5")
+    want = sorted((r.query_id, r.id, round(r.score, 9)) for r in everything.collect())
+    for first in (1, 4, 100):
+        got = S.best(terms, index, n, 5, first=first)
+        assert sorted((r.query_id, r.id, round(r.score, 9)) for r in got.collect()) == want
+    _, bounds = S.bounded(S.expansions(terms, index), index)
+    fifth = max(x[2] for x in want if x[0] == 1)
+    buckets = [r.bound for r in bounds.filter("query_id = 1").collect()]
+    assert sum(-b <= fifth for b in buckets) <= len(buckets) // 2
+
+
+def test_index_follows_the_store(spark):
+    """After batches of new, changed and deleted notes the index equals a rebuild, as segments and merged; so do searches."""
+    rng = random.Random(7)
+    store = made_notes(spark, rng, range(300)).cache()
+    index = I.indexed(store, buckets=7)
+    for batch in range(3):
+        changed = made_notes(spark, rng, [*range(batch * 40, batch * 40 + 60), *range(300 + 10 * batch, 310 + 10 * batch)]).cache()
+        deleted = spark.createDataFrame([(i,) for i in range(200 + batch, 300, 9)], "id long")
+        index = I.followed(index, changed, deleted)
+        store = store.join(changed, "id", "left_anti").join(deleted, "id", "left_anti").unionByName(changed).cache()
+    assert index.segments == 4
+    fresh = I.indexed(store, buckets=7)
+    merged = I.compacted(index)
+    q = spark.createDataFrame([(1, "vault"), (2, "index cache"), (3, "notes graph tagging")], "query_id long, query string")
+    want = sorted(map(tuple, S.search(q, store, index=fresh).collect()))
+    for x in (index, merged):
+        assert (x.n, round(x.mean, 9)) == (fresh.n, round(fresh.mean, 9))
+        assert sorted(map(tuple, x.vocabulary.collect())) == sorted(map(tuple, fresh.vocabulary.collect()))
+        assert sorted(map(tuple, S.search(q, store, index=x).collect())) == want
 
 
 def test_aliases_keep_what_the_note_says(spark):
@@ -86,9 +151,6 @@ def test_triggers_have_to_be_rare(spark):
 def test_chunks_and_transcripts(spark):
     d = spark.createDataFrame([(1, "".join(chr(97 + i % 26) for i in range(250)))], "id long, text string")
     assert [r.pos for r in R.chunks(d, 10).orderBy("pos").collect()] == [0, 1, 2, 3, *range(9, 25)]
-    text = "A b c. " * 300 + "It only works on Tuesdays. The cache is shared unless pinned."
-    out = R.packed(text)
-    assert len(out) <= 8
     raw = '{"type":"user","message":{"content":"hi"}}\n{bad\n{"type":"assistant","isSidechain":true,"message":{"content":"no"}}\n{"type":"assistant","message":{"content":[{"type":"text","text":"yes"},{"type":"tool_use"}]}}\n{"type":"user","message":{"content":"<system-reminder>x"}}\n{"payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"more"}]}}'
     f = spark.createDataFrame([("a", raw), ("b", "{bad\nworse")], "path string, text string")
     got = {r.path: r.text for r in R.transcript_text(f).collect()}
@@ -99,3 +161,38 @@ def test_dates_are_stated(spark):
     cases = [("on 2026/7/28", True), ("July 28th", True), ("28th of July", True), ("7/28", True), ("Jul. 28", True), ("July 2", False), ("17/28 x", False), ("", False)]
     rows = spark.createDataFrame(cases, "t string, want boolean")
     assert rows.filter(R.date_stated(F.col("t"), F.lit("2026-07-28")) != F.col("want")).count() == 0
+
+
+FILLER = "The release notes were reviewed by the on-call engineer during the handover. A dashboard panel was added for queue depth in the same afternoon. The runbook now links to the escalation policy for paging. Someone renamed the staging bucket without telling anyone. The weekly report was posted late again. "
+LIMIT = "The write cache is safe only when writes are single-threaded."
+
+
+def packed(spark, *texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [r.c for r in d.select("id", R.packed(F.col("text")).alias("c")).orderBy("id").collect()]
+
+
+def test_sentences_are_packed(spark):
+    fused = "The team spent the morning triaging billing alerts after a spike in webhook retries. Most of the retries turned out to be a benign side effect of a provider maintenance window. Production Metronome configuration points at sandbox Metronome. This is temporary and tracked by TICKET-42 for revert."
+    wide = f"The {'very ' * 30}long claim sentence points at the sandbox. This is temporary and tracked by TICKET-42 for revert."
+    many = " ".join(f"The write cache is safe only when partition {i} is quiescent." for i in range(12))
+    out = packed(spark, "", "a. b.", "x" * 4000, fused, wide, f"The write cache is safe. {FILLER}{FILLER}{LIMIT}", f"The deployment cache was cleared on Tuesday. {FILLER}{FILLER}{LIMIT}", f"The write cache is safe. {FILLER}{many}", "A b c. " * 300)
+    assert out[0] == [""] and out[1] == ["a. b."]
+    assert len(out[2]) == 8 and "".join(out[2]) == "x" * 4000
+    home = [i for i, c in enumerate(out[3]) if "Production Metronome" in c]
+    assert len(out[3]) == 2 and home == [i for i, c in enumerate(out[3]) if "This is temporary" in c]
+    assert all("very long" not in c or "This is temporary" not in c for c in out[4])
+    claim = [i for i, c in enumerate(out[5]) if LIMIT in c]
+    assert claim == [0, len(out[5]) - 1] and len(out[5]) > 2
+    assert [i for i, c in enumerate(out[6]) if LIMIT in c] == [len(out[6]) - 1]
+    assert len(out[7]) <= 8 and max(map(len, out[7])) <= 2 * 250 + 120
+    assert len(out[8]) <= 8
+
+
+def test_chunks_know_their_neighbours(spark):
+    d = spark.createDataFrame([(1, FILLER * 2), (2, None), (3, "short.")], "id long, text string")
+    rows = sorted(map(tuple, R.sentence_chunks(d).collect()))
+    first = [r for r in rows if r[0] == 1]
+    assert [r[1] for r in first] == list(range(len(first))) and len(first) > 1
+    assert all(a[4] == b[2] and b[3] == a[2] for a, b in zip(first, first[1:]))
+    assert first[0][3] is None and first[-1][4] is None and [r[2] for r in rows if r[0] == 3] == ["short."]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,9 +43,9 @@ def canonical_triples(facts: DataFrame, rules: P.Rules | None = None) -> DataFra
     return f.withColumn("subject", F.when(swap, F.col("_o")).otherwise(F.col("_s"))).withColumn("object", F.when(swap, F.col("_s")).otherwise(F.col("_o"))).drop("_s", "_o", "_inverse")
 
 
-def in_vocabulary(predicate: Column) -> Column:
+def in_vocabulary(predicate: Column, rules: P.Rules | None = None) -> Column:
     """G5, for predicates that are folded already."""
-    return predicate.isin(P.vocabulary())
+    return predicate.isin((rules or P.built_in()).vocabulary)
 
 
 def nearest_predicates(predicates: DataFrame, limit: int = 3) -> DataFrame:
@@ -154,9 +155,30 @@ def deduped(facts: DataFrame) -> DataFrame:
     return live.unionByName(facts.filter("valid_to IS NOT NULL"))
 
 
+def resolved_mapping(mapping: DataFrame) -> DataFrame:
+    """(source, target) followed to the ends of chains: a to b and b to c make a to c. A ring of merges ends in its smallest id;
+    of several targets of a source the smallest counts.
+
+    Each round follows twice as many steps (pointer jumping), so a chain of n merges takes log2 n rounds; `least` is the
+    smallest id on the steps that a row has followed, which on a ring, after enough of them, is the ring's."""
+    m = mapping.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    m = materialize(m.withColumn("least", F.col("target")), "mapping")
+    steps, n = 1, m.count()
+    while True:
+        ahead = m.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("least").alias("next_least"))
+        joined = m.join(ahead, "target", "left")
+        if steps > n or not joined.filter("next IS NOT NULL").limit(1).count():
+            break
+        m = materialize(joined.select("source", F.coalesce("next", "target").alias("target"), F.least("least", "next_least").alias("least")), "mapping")
+        steps *= 2
+    ends = joined.select("source", F.coalesce("next_least", "target").alias("target"))
+    return ends.filter("source <> target")
+
+
 def merged(facts: DataFrame, aliases: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both ends rewritten by (source, target), aliases recorded and repointed, live twins collapsed."""
-    m = mapping.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
+    """Both ends rewritten by (source, target), aliases recorded and repointed, live twins collapsed (G15). Merges may follow one
+    another: facts end at the last target."""
+    m = materialize(resolved_mapping(mapping), "mapping").select(F.col("source").alias("_from"), F.col("target").alias("_to"))
     for end in ("subject", "object"):
         facts = facts.join(m, F.col(end) == F.col("_from"), "left").withColumn(end, F.coalesce("_to", end)).drop("_from", "_to")
     repointed = aliases.join(m, F.col("target") == F.col("_from"), "left").select("alias", F.coalesce("_to", "target").alias("target"))
@@ -217,22 +239,22 @@ def split_objects(facts: DataFrame) -> DataFrame:
     return facts.withColumn("object", F.explode(each))
 
 
-def retires(f: DataFrame) -> Column:
+def retires(f: DataFrame, rules: P.Rules | None = None) -> Column:
     """Single-valued predicates of tickets and the like."""
-    return f["predicate"].isin(P.SINGLE_VALUED) & F.trim(f["subject"]).rlike(P.SINGLE_VALUED_SUBJECT)
+    return f["predicate"].isin((rules or P.built_in()).single_valued) & F.trim(f["subject"]).rlike(P.SINGLE_VALUED_SUBJECT)
 
 
-def conflicts(batch: DataFrame) -> DataFrame:
+def conflicts(batch: DataFrame, rules: P.Rules | None = None) -> DataFrame:
     """Single-valued pairs that a batch itself gives several objects."""
-    f = canonical_triples(split_objects(batch)).filter("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
+    f = canonical_triples(split_objects(batch), rules).filter("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
     value = entity_id(F.col("object"))
-    return f.filter(retires(f)).groupBy(entity_id(F.col("subject")).alias("subject"), "predicate").agg(F.sort_array(F.collect_set(value)).alias("objects")).filter(F.size("objects") > 1)
+    return f.filter(retires(f, rules)).groupBy(entity_id(F.col("subject")).alias("subject"), "predicate").agg(F.sort_array(F.collect_set(value)).alias("objects")).filter(F.size("objects") > 1)
 
 
 CONSOLIDATED = "status string, arrival long, subject string, predicate string, object string, valid_from string, valid_to string, reason string"
 
 
-def consolidate(held: DataFrame, batch: DataFrame) -> DataFrame:
+def consolidate(held: DataFrame, batch: DataFrame, rules: P.Rules | None = None) -> DataFrame:
     """A batch of facts against the live graph, in arrival order within each (subject, predicate).
 
     `held`: subject, predicate, object, valid_from (text); `batch`: arrival, subject, predicate, object, valid_from.
@@ -240,8 +262,8 @@ def consolidate(held: DataFrame, batch: DataFrame) -> DataFrame:
     contradicts is stale; a pair that the batch itself contests retires nothing."""
     whole = batch.filter("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
     broken = batch.join(whole.select("arrival"), "arrival", "left_anti").select(F.lit("skipped").alias("status"), "arrival", "subject", "predicate", "object", "valid_from", F.lit(None).cast("string").alias("valid_to"), F.lit("incomplete_triple").alias("reason"))
-    f = canonical_triples(split_objects(whole)).withColumn("subject", entity_id(F.col("subject")))
-    f = f.withColumn("listed", in_vocabulary(F.col("predicate"))).withColumn("single", retires(f)).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
+    f = canonical_triples(split_objects(whole), rules).withColumn("subject", entity_id(F.col("subject")))
+    f = f.withColumn("listed", in_vocabulary(F.col("predicate"), rules)).withColumn("single", retires(f, rules)).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
     # written once: what follows reads the folded batch and the held facts many times
     f = materialize(f.select("arrival", "subject", "predicate", "object", "valid_from", "listed", "single", "key", "ref"), "batch")
     h = materialize(held.select("subject", "predicate", "object", "valid_from", entity_id(F.col("object")).alias("key"), reference(F.col("object")).alias("ref")), "held")
@@ -265,16 +287,16 @@ def _in_order(f: DataFrame, held: DataFrame) -> DataFrame:
     rows = new.unionByName(old).join(contested, pair).repartition(*pair).sortWithinPartitions(*pair, "kind", "arrival", "object")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, live = None, []
+        now, live = None, Live()
         for frame in frames:
             out: list[tuple] = []
             for r in frame.itertuples(index=False):
                 if (r.subject, r.predicate) != now:
-                    now, live = (r.subject, r.predicate), []
+                    now, live = (r.subject, r.predicate), Live()
                 if r.kind == 0:
-                    live.append((r.object, r.valid_from, r.key, r.ref))
+                    live.add((r.object, r.valid_from, r.key, r.ref))
                 else:
-                    live = _arrive(live, r, out)
+                    _arrive(live, r, out)
             yield pd.DataFrame(out, columns=[x.split()[0] for x in CONSOLIDATED.split(", ")])
 
     return rows.mapInPandas(walk, CONSOLIDATED)
@@ -284,24 +306,67 @@ def _same(a_key: str, a_ref: object, b_key: str, b_ref: object) -> bool:
     return a_key == b_key or (isinstance(a_ref, str) and a_ref == b_ref and (a_key.endswith(b_key) or b_key.endswith(a_key)))
 
 
-def _arrive(live: list[tuple], r: tuple, out: list[tuple]) -> list[tuple]:
-    """The live facts of a pair after a new one; what becomes of it, and of those that it retires, goes to `out`."""
+class Live:
+    """The live facts (object, valid_from, key, ref) of a pair, by spelling, by reference and by start, so that an arrival looks
+    at its own kin only."""
+
+    def __init__(self) -> None:
+        self.facts: dict[int, tuple] = {}
+        self.by_key: dict[str, list[int]] = {}
+        self.by_ref: dict[str, list[int]] = {}
+        self.starts: list[tuple[str, int]] = []
+        self.made = 0
+
+    def add(self, fact: tuple) -> None:
+        n = self.made
+        self.made += 1
+        self.facts[n] = fact
+        self.by_key.setdefault(fact[2], []).append(n)
+        if isinstance(fact[3], str):
+            self.by_ref.setdefault(fact[3], []).append(n)
+        if isinstance(fact[1], str):
+            insort(self.starts, (fact[1], n))
+
+    def kin(self, key: str, ref: object) -> list[int]:
+        """Numbers of the facts of the same object, in the order they came."""
+        found = {*self.by_key.get(key, ())}
+        if isinstance(ref, str):
+            found.update(n for n in self.by_ref.get(ref, ()) if _same(key, ref, *self.facts[n][2:]))
+        return sorted(found)
+
+    def latest_but(self, kin: list[int]) -> str | None:
+        """The latest start of a fact that is not among `kin`."""
+        own = {*kin}
+        return next((start for start, n in reversed(self.starts) if n not in own), None)
+
+    def keep(self, kin: list[int]) -> list[tuple]:
+        """Drops all facts but `kin`, and gives the dropped ones in the order they came."""
+        own = {*kin}
+        gone = [x for n, x in self.facts.items() if n not in own]
+        kept = [self.facts[n] for n in kin]
+        self.__init__()
+        for x in kept:
+            self.add(x)
+        return gone
+
+
+def _arrive(live: Live, r: tuple, out: list[tuple]) -> None:
+    """A new fact of a pair; what becomes of it, and of those that it retires, goes to `out`."""
     emit = lambda status, o, reason, to=None: out.append((status, r.arrival, r.subject, r.predicate, o, r.valid_from, to, reason))
-    alike = [_same(r.key, r.ref, x[2], x[3]) for x in live]
-    against = [x for x, same in zip(live, alike) if not same]
-    if any(isinstance(x[1], str) and x[1] > r.valid_from for x in against):
+    kin = live.kin(r.key, r.ref)
+    later = live.latest_but(kin)
+    if later is not None and isinstance(r.valid_from, str) and later > r.valid_from:
         emit("skipped", r.object, "stale_observation")
-        return live
-    if against and not r.contested:  # one batch cannot order what it contests itself
-        live = [x for x, same in zip(live, alike) if same]
-        for x in against:
+        return
+    twin = live.facts[kin[0]] if kin else None
+    if len(kin) < len(live.facts) and not r.contested:  # one batch cannot order what it contests itself
+        for x in live.keep(kin):
             emit("invalidated", x[0], "single_valued_predicate_took_new_object", r.valid_from)
-    twin = next((x for x in live if _same(r.key, r.ref, x[2], x[3])), None)
     if twin:
         emit("skipped", r.object, "duplicate" if twin[2] == r.key else "equivalent_spelling_of_existing")
-        return live
+        return
     emit("added", r.object, None)
-    return [*live, (r.object, r.valid_from, r.key, r.ref)]
+    live.add((r.object, r.valid_from, r.key, r.ref))
 
 
 def _gathered(f: DataFrame, held: DataFrame) -> DataFrame:
@@ -329,14 +394,14 @@ def _gathered(f: DataFrame, held: DataFrame) -> DataFrame:
     return j.withColumn("nth", nth).withColumn("added", added).select(F.when(F.col("added"), "added").otherwise("skipped").alias("status"), "arrival", *pair, "object", "valid_from", F.lit(None).cast("string").alias("valid_to"), reason.alias("reason"))
 
 
-def single_inserts(held: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def single_inserts(held: DataFrame, requests: DataFrame, rules: P.Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """One-fact requests, each its own (G24): (judged, retired).
 
     `held`: id, subject, predicate, object, valid_from (live facts, text dates); `requests`: request, subject, predicate,
     object, valid_from. A request retires all facts that it contradicts or writes nothing: if one of them starts later, or
     ends before it begins, its outcome is refused. `retired` has the facts' ids with the date that ends them."""
-    f = canonical_triples(requests).withColumn("subject", entity_id(F.col("subject")))
-    f = f.withColumn("single", retires(f)).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
+    f = canonical_triples(requests, rules).withColumn("subject", entity_id(F.col("subject")))
+    f = f.withColumn("single", retires(f, rules)).withColumn("key", entity_id(F.col("object"))).withColumn("ref", reference(F.col("object")))
     h = held.select(F.col("id").alias("fact_id"), "subject", "predicate", F.col("valid_from").alias("since"), entity_id(F.col("object")).alias("h_key"), reference(F.col("object")).alias("h_ref"))
     j = f.join(h, ["subject", "predicate"], "left")
     same = (F.col("key") == F.col("h_key")) | F.coalesce((F.col("ref") == F.col("h_ref")) & (F.col("key").endswith(F.col("h_key")) | F.col("h_key").endswith(F.col("key"))), F.lit(False))

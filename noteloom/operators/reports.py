@@ -10,6 +10,9 @@ PUSHED = ("hint", "briefing")
 READS = ("kb_read",)
 WINDOW_S = 30 * 60
 
+# Fixed value: what messages between agents begin with.
+ENVELOPE = r"^<(agent-message|task-notification)"
+
 
 def share(part: Column, whole: Column) -> Column:
     """A rate rounded to 6 places, null where there is nothing to divide by."""
@@ -64,13 +67,15 @@ def events(rows: DataFrame) -> DataFrame:
     """Rows to decisions (R8): those that share event_id, or session, surface, time and query in older rows."""
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     key = F.coalesce("event_id", F.concat_ws("|", none("session"), "surface", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), none("query")))
-    grouped = rows.groupBy("surface", key.alias("event")).agg(F.min("created_at").alias("at"), F.max("session").alias("session"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.bool_or("is_test").alias("is_test"))
-    return grouped.withColumn("class", event_class())
+    grouped = rows.groupBy("surface", key.alias("event")).agg(F.min("created_at").alias("at"), F.max("session").alias("session"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.bool_or("is_test").alias("is_test"), F.min_by("query", F.struct("created_at", "id")).alias("asked"))
+    return grouped.withColumn("class", event_class()).drop("asked")
 
 
 def event_class() -> Column:
-    """Why an event counts for nothing, or null."""
-    return F.when(F.col("session").isNull(), "unattributable").when(F.col("is_test"), "test")
+    """Why an event counts for nothing, the first reason that holds, or null (P8). `asked` is its first query: a hint for a message
+    between agents is no prompt of a person's."""
+    enveloped = (F.col("surface") == "hint") & F.coalesce(F.col("asked").rlike(ENVELOPE), F.lit(False))
+    return F.when(F.col("session").isNull(), "unattributable").when(F.col("is_test"), "test").when(enveloped, "envelope")
 
 
 def followed(events: DataFrame, reads: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
@@ -96,7 +101,7 @@ def surface_stats(marked: DataFrame) -> DataFrame:
     fires = F.col("class").isNull() & (F.size("docs") > 0)
     n, soon, ever = F.count_if(fires), F.count_if(fires & F.col("in_window")), F.count_if(fires & F.col("ever"))
     return marked.groupBy("surface").agg(
-        F.count("*").alias("events"), F.count_if(F.col("class") == "unattributable").alias("unattributable"), F.count_if(F.col("class") == "test").alias("test"), n.alias("fires"),
+        F.count("*").alias("events"), F.count_if(F.col("class") == "unattributable").alias("unattributable"), F.count_if(F.col("class") == "test").alias("test"), F.count_if(F.col("class") == "envelope").alias("envelope"), n.alias("fires"),
         F.count_if(F.col("class").isNull() & (F.size("docs") == 0)).alias("declines"), soon.alias("followed"), ever.alias("followed_ever"), share(soon, n).alias("rate"), share(ever, n).alias("rate_ever"),
     )
 

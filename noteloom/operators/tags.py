@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.functions.tables import materialize, spread
+
+#: Names that one automaton holds, and the characters that bar a boundary beside a name.
+NAMES = 200_000
+INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_-")
+
 
 def round2(x: Column) -> Column:
     """Half up, also below zero."""
@@ -103,30 +112,74 @@ def grams(words: Column, sizes: list[int]) -> Column:
     return F.filter(F.array_distinct(F.flatten(F.array(*out))), lambda g: g.isNotNull())
 
 
-def mentions(notes: DataFrame, entities: DataFrame, key_words: int = 4) -> DataFrame:
+def mentions(notes: DataFrame, entities: DataFrame, most: int = NAMES, key_words: int = 4) -> DataFrame:
     """(id, entity): notes whose text names an entity at word boundaries (K8).
 
+    Up to `most` names make one automaton, which every task gets and runs each text through once. Of more names, those with
+    ASCII letters or digits are joined by runs of tokens (`joined_mentions`); the others go by automata of `most` names."""
+    named = materialize(entities.select("entity", F.lower(F.trim("name")).alias("name")).filter((F.length("name") >= 3) & ~F.col("name").rlike("^[0-9]+$")).distinct(), "names")
+    text = notes.select("id", F.lower(F.concat_ws("\n", "title", "content")).alias("text"))
+    names = named.select("name").distinct()
+    few = names.limit(most + 1).count() <= most
+    parts = [] if few else [joined_mentions(text, names.filter(F.size(tokens(F.col("name"))) > 0), key_words)]
+    rest = names if few else names.filter(F.size(tokens(F.col("name"))) == 0)
+    shards = 1 if few else -(-rest.count() // most)
+    for k in range(shards):
+        shard = rest if shards == 1 else rest.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == k)
+        parts.append(scanned_mentions(text, [r.name for r in shard.collect()]))  # about `most` names
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    return found.join(named, "name").select("id", "entity").distinct()
+
+
+def scanned_mentions(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(id, name) of the names that stand in a text between boundaries, by one automaton."""
+    shared = texts.sparkSession.sparkContext.broadcast(sorted(names))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x in shared.value:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        for b in batches:
+            rows, hits = [], []
+            for i, text in enumerate(b.column(1)):
+                text, seen = text.as_py() or "", set()
+                for end, x in automaton.iter(text) if shared.value else ():
+                    if x not in seen and text[end + 1 : end + 2] not in INSIDE and (end < len(x) or text[end - len(x)] not in INSIDE):
+                        seen.add(x)
+                rows += [i] * len(seen)
+                hits += seen
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.string())], ["id", "name"])
+
+    return spread(texts).mapInArrow(run, f"id {kind}, name string")
+
+
+def joined_mentions(texts: DataFrame, names: DataFrame, key_words: int) -> DataFrame:
+    """(id, name) of names with ASCII tokens, by joins.
+
     A name of up to `key_words` tokens with single blanks between them is mentioned where the note has just those, so an
     equi-join on runs of tokens decides; other separators bar such runs. Other names are looked for by their first tokens,
     and then each note's text is read once, for all names that may stand in it."""
-    names = entities.select("entity", F.lower(F.trim("name")).alias("name")).filter((F.length("name") >= 3) & ~F.col("name").rlike("^[0-9]+$"))
     first = F.slice(tokens(F.col("name")), 1, key_words)
-    named = names.select("entity", "name", F.array_join(first, " ").alias("key"), F.size(first).alias("k")).filter("k > 0").withColumn("whole", F.col("key") == F.col("name"))
-    text = F.lower(F.concat_ws("\n", "title", "content"))
-    barred = F.regexp_replace(text, "[^a-z0-9_-]*[^a-z0-9_ -][^a-z0-9_-]*| {2,}", " | ")
+    named = names.select("name", F.array_join(first, " ").alias("key"), F.size(first).alias("k")).withColumn("whole", F.col("key") == F.col("name"))
+    barred = F.regexp_replace("text", "[^a-z0-9_-]*[^a-z0-9_ -][^a-z0-9_-]*| {2,}", " | ")
     sizes = {whole: sorted(r.k for r in named.select("k", "whole").distinct().collect() if r.whole == whole) for whole in (True, False)}  # at most key_words numbers each
-    found = named.select(F.lit(0).cast("long").alias("id"), "entity").limit(0)
+    found = texts.select("id", F.lit("").alias("name")).limit(0)
     if sizes[True]:
-        words = notes.select("id", F.filter(F.split(barred, " "), lambda w: w != "").alias("w"))
-        found = words.select("id", F.explode(grams(F.col("w"), sizes[True])).alias("key")).join(named.filter("whole"), "key").select("id", "entity")
+        words = texts.select("id", F.filter(F.split(barred, " "), lambda w: w != "").alias("w"))
+        found = words.select("id", F.explode(grams(F.col("w"), sizes[True])).alias("key")).join(named.filter("whole"), "key").select("id", "name")
     if sizes[False]:
-        words = notes.select("id", tokens(text).alias("w"))
-        maybe = words.select("id", F.explode(grams(F.col("w"), sizes[False])).alias("key")).join(named.filter("NOT whole"), "key").groupBy("id").agg(F.collect_set(F.struct("entity", "name")).alias("names"))
-        quoted = lambda x: F.concat(F.lit("(^|[^a-z0-9_-])\\Q"), x["name"], F.lit("\\E($|[^a-z0-9_-])"))
-        there = F.filter("names", lambda x: F.contains("text", x["name"]) & F.regexp_like("text", quoted(x)))
-        checked = maybe.join(notes.select("id", text.alias("text")), "id").select("id", F.explode(there).alias("x")).select("id", "x.entity")
-        found = found.unionByName(checked)
-    return found.distinct()
+        words = texts.select("id", tokens(F.col("text")).alias("w"))
+        maybe = words.select("id", F.explode(grams(F.col("w"), sizes[False])).alias("key")).join(named.filter("NOT whole"), "key").groupBy("id").agg(F.collect_set("name").alias("names"))
+        quoted = lambda x: F.concat(F.lit("(^|[^a-z0-9_-])\\Q"), x, F.lit("\\E($|[^a-z0-9_-])"))
+        there = F.filter("names", lambda x: F.contains("text", x) & F.regexp_like("text", quoted(x)))
+        found = found.unionByName(maybe.join(texts, "id").select("id", F.explode(there).alias("name")))
+    return found
 
 
 def sides(tags: DataFrame, a: str, b: str) -> DataFrame:

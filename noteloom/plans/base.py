@@ -23,7 +23,7 @@ VIEWS = {
          CASE event_type WHEN 'view' THEN 'hint' WHEN 'click' THEN 'kb_read' WHEN 'purchase' THEN 'kb_search' WHEN 'signup' THEN 'briefing' ELSE 'kb_context' END AS surface,
          CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'u' || user_id END AS session, ts AS created_at,
          CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'e' || (event_id // 2) END AS event_id, user_id % 29 = 0 AS is_test,
-         'q' || (event_id % 50) AS query
+         CASE WHEN event_id % 13 = 0 THEN '<task-notification>' ELSE '' END || 'q' || (event_id % 50) AS query
   FROM events)""",
     "tool_calls": """tool_calls AS (
   SELECT event_id AS id, event_type AS tool, event_type <> 'error' AS ok, CAST(floor(value) AS BIGINT) AS duration_ms, CAST(event_id * 7 % 400 AS BIGINT) AS result_chars, ts AS created_at FROM events)""",

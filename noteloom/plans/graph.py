@@ -117,10 +117,15 @@ def g14_deduped(spark, sf_dir):
     return G.deduped(f).select("id", "subject", "predicate", "object")
 
 
-@query("WITH m AS (SELECT 'customer_' || o_custkey AS source, 'customer_' || (o_custkey % 10) AS target FROM orders), f AS (SELECT DISTINCT 'customer_' || (o_custkey % 10) AS subject, o_orderstatus AS object FROM orders) SELECT subject, object FROM f")
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT 'customer_' || o_custkey AS source, 'customer_' || (o_custkey // 10) AS target FROM orders WHERE o_custkey >= 10),
+chain AS (SELECT source, target FROM m UNION SELECT chain.source, m.target FROM chain JOIN m ON chain.target = m.source),
+ends AS (SELECT source, target FROM chain WHERE target NOT IN (SELECT source FROM m))
+SELECT DISTINCT coalesce(target, subject) AS subject, object FROM (SELECT 'customer_' || o_custkey AS subject, o_orderstatus AS object FROM orders) LEFT JOIN ends ON subject = source""")
 def g15_merged(spark, sf_dir):
+    """Each customer merges into the one whose number lacks the last digit: chains of merges."""
     f = V.facts(spark, sf_dir).withColumn("valid_to", F.lit(None).cast("date"))
-    m = f.select(F.col("subject").alias("source"), F.concat(F.lit("customer_"), F.regexp_extract("subject", r"\d$", 0)).alias("target")).distinct()
+    k = F.regexp_extract("subject", r"(\d+)$", 1).cast("long")
+    m = f.filter(k >= 10).select(F.col("subject").alias("source"), F.concat(F.lit("customer_"), F.floor(k / 10)).alias("target")).distinct()
     facts, _ = G.merged(f, spark.createDataFrame([], "alias string, target string"), m)
     return facts.select("subject", "object")
 
@@ -198,16 +203,22 @@ def g25_late_observations(spark, sf_dir):
 
 @query(CLAIMS.rstrip() + ", f AS (SELECT id, CASE WHEN predicate = 'requires' THEN subject WHEN swaps = 1 THEN object ELSE subject END AS subject, CASE predicate WHEN 'requires' THEN 'uses' ELSE folded END AS predicate FROM claims) SELECT predicate, count(*) AS n FROM f GROUP BY predicate")
 def g26_overrides(spark, sf_dir):
-    """The rule table with an alias of one's own, and one whose target is folded itself and so is left out."""
-    rules = P.Rules(aliases={"requires": "uses", "state": "needs"})
+    """The rule table with an alias of one's own, one whose target is folded itself and so is left out, and a mirrored spelling that
+    is refused, as it would turn a single-valued name round."""
+    rules = P.Rules(aliases={"requires": "uses", "state": "needs"}, inverses={"status": "supports"})
     return G.canonical_triples(claims(spark, sf_dir), rules).groupBy("predicate").agg(F.count("*").alias("n"))
 
 
-@query(", q AS (SELECT o_orderkey AS request, 'tkt_' || (o_orderkey % 50) AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE lower(o_orderstatus) END AS object, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS valid_from FROM orders), h AS (SELECT c_custkey AS id, 'tkt_' || (c_custkey % 50) AS subject, CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'f' ELSE 'held' END AS object, CAST(1992 + c_custkey % 6 AS VARCHAR) || '-06-15' AS since FROM customer WHERE c_custkey <= 100), j AS (SELECT request, bool_or(coalesce(q.object = h.object, FALSE)) AS there, bool_or(coalesce(q.object <> h.object AND since > valid_from, FALSE)) AS newer, count_if(q.object <> h.object)::BIGINT AS against FROM q LEFT JOIN h USING (subject) GROUP BY request) SELECT request, CASE WHEN newer THEN 'refused' WHEN there THEN 'exists' ELSE 'added' END AS outcome, CASE WHEN newer THEN 0 ELSE against END AS retires FROM j".lstrip(", ").replace("q AS", "WITH q AS", 1))
+@query("""WITH q AS (SELECT o_orderkey AS request, 'tkt_' || o_custkey AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE lower(o_orderstatus) END AS object, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS valid_from FROM orders),
+h AS (SELECT 'tkt_' || c_custkey AS subject, unnest(CASE c_custkey % 3 WHEN 0 THEN ['open'] WHEN 1 THEN ['f', 'held'] ELSE ['held'] END) AS object, CAST(1992 + c_custkey % 6 AS VARCHAR) || '-06-15' AS since FROM customer),
+j AS (SELECT request, bool_or(coalesce(q.object = h.object, FALSE)) AS there, bool_or(coalesce(q.object <> h.object AND since > valid_from, FALSE)) AS newer, count_if(q.object <> h.object)::BIGINT AS against FROM q LEFT JOIN h USING (subject) GROUP BY request)
+SELECT request, CASE WHEN newer THEN 'refused' WHEN there THEN 'exists' ELSE 'added' END AS outcome, CASE WHEN newer THEN 0 ELSE against END AS retires FROM j""")
 def g24_single_inserts(spark, sf_dir):
     o, k = V.read(spark, sf_dir, "orders"), F.col("c_custkey")
-    asked = o.select(F.col("o_orderkey").alias("request"), F.concat(F.lit("TKT-"), F.col("o_orderkey") % 50).alias("subject"), F.lit("status").alias("predicate"), F.when(F.col("o_orderkey") % 2 == 0, "Open").otherwise(F.col("o_orderstatus")).alias("object"), F.to_date("o_orderdate").cast("string").alias("valid_from"))
-    held = V.read(spark, sf_dir, "customer").filter("c_custkey <= 100").select(k.alias("id"), F.concat(F.lit("tkt_"), k % 50).alias("subject"), F.lit("status").alias("predicate"), F.when(k % 3 == 0, "open").when(k % 3 == 1, "F").otherwise("held").alias("object"), F.concat((1992 + k % 6).cast("string"), F.lit("-06-15")).alias("valid_from"))
+    asked = o.select(F.col("o_orderkey").alias("request"), F.concat(F.lit("TKT-"), "o_custkey").alias("subject"), F.lit("status").alias("predicate"), F.when(F.col("o_orderkey") % 2 == 0, "Open").otherwise(F.col("o_orderstatus")).alias("object"), F.to_date("o_orderdate").cast("string").alias("valid_from"))
+    values = F.when(k % 3 == 0, F.array(F.lit("open"))).when(k % 3 == 1, F.array(F.lit("F"), F.lit("held"))).otherwise(F.array(F.lit("held")))
+    held = V.read(spark, sf_dir, "customer").select(k.alias("c_custkey"), F.posexplode(values).alias("n", "object"))
+    held = held.select((k * 2 + F.col("n")).alias("id"), F.concat(F.lit("tkt_"), k).alias("subject"), F.lit("status").alias("predicate"), "object", F.concat((1992 + k % 6).cast("string"), F.lit("-06-15")).alias("valid_from"))
     return G.single_inserts(held, asked)[0]
 
 

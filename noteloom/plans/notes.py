@@ -44,10 +44,11 @@ def p5_test_sessions(spark, sf_dir):
     return s.groupBy(N.is_test(F.col("session")).alias("is_test")).agg(F.count("*").alias("rows"))
 
 
-@query(", gone AS (SELECT DISTINCT session FROM retrievals WHERE surface = 'hint' AND query = 'q7' AND session NOT IN (SELECT session FROM retrievals WHERE surface NOT IN ('hint', 'briefing') AND id % 5 = 0 AND session IS NOT NULL)) SELECT id FROM retrievals r WHERE (surface IN ('hint', 'briefing') OR id % 5 = 0) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.session = r.session)", ("retrievals",))
+@query(", log AS (SELECT id, surface, query, session || ' ' || strftime(created_at, '%Y-%m-%d') AS session FROM retrievals), gone AS (SELECT DISTINCT session FROM log WHERE surface = 'hint' AND query = 'q7' AND session NOT IN (SELECT session FROM log WHERE surface NOT IN ('hint', 'briefing') AND session IS NOT NULL)) SELECT id FROM log r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.session = r.session)", ("retrievals",))
 def p6_self_traffic(spark, sf_dir):
-    log = V.retrievals(spark, sf_dir).filter("surface IN ('hint', 'briefing') OR id % 5 = 0")
-    return N.without_self_traffic(log, F.col("query") == "q7").select("id")
+    """A user's day is a session."""
+    day = F.concat("session", F.lit(" "), F.date_format("created_at", "yyyy-MM-dd"))
+    return N.without_self_traffic(V.retrievals(spark, sf_dir).withColumn("session", day), F.col("query") == "q7").select("id")
 
 
 @query("SELECT conv_id, turn, coalesce(regexp_matches(t, '(?i)\\b(check|search|look (in|at|up)|consult|query)\\b.{0,40}\\b(kb|knowledge base|vault|notes)\\b'), FALSE) AS nudge, coalesce(length(trim(t)) >= 20 AND NOT regexp_matches(t, '^\\s*/'), FALSE) AS admitted FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'please check the KB: ' || text WHEN 1 THEN '/cmd ' || text ELSE text END AS t FROM conversations)")

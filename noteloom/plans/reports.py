@@ -58,9 +58,9 @@ def r7_asked_to_look(spark, sf_dir):
 
 EVENTS = """, events_ AS (
   SELECT surface, coalesce(event_id, concat_ws('|', coalesce(session, ''), surface, strftime(created_at, '%Y-%m-%d %H:%M:%S'), query)) AS event,
-         min(created_at) AS ts, max(session) AS session, list_sort(list_filter(list_distinct(list(doc_id)), lambda x: x IS NOT NULL)) AS docs, bool_or(is_test) AS is_test
+         min(created_at) AS ts, max(session) AS session, list_sort(list_filter(list_distinct(list(doc_id)), lambda x: x IS NOT NULL)) AS docs, bool_or(is_test) AS is_test, arg_min(query, (created_at, id)) AS asked
   FROM retrievals GROUP BY ALL),
-classed AS (SELECT *, CASE WHEN session IS NULL THEN 'unattributable' WHEN is_test THEN 'test' END AS class FROM events_)"""
+classed AS (SELECT *, CASE WHEN session IS NULL THEN 'unattributable' WHEN is_test THEN 'test' WHEN surface = 'hint' AND regexp_matches(asked, '^<(agent-message|task-notification)') THEN 'envelope' END AS class FROM events_)"""
 MARKED = EVENTS + """, hits AS (
   SELECT surface, event, bool_or(t <= ts + INTERVAL 7 DAY) AS in_window, min({'t': t, 'rid': rid}) FILTER (WHERE t <= ts + INTERVAL 7 DAY) AS first
   FROM (SELECT surface, event, ts, session, unnest(docs) AS d FROM classed) e JOIN (SELECT session AS s, doc_id AS rd, created_at AS t, id AS rid FROM retrievals WHERE surface = 'kb_read') r ON e.session = r.s AND e.d = r.rd AND r.t >= e.ts GROUP BY ALL),
@@ -89,7 +89,7 @@ def r10_first_read(spark, sf_dir):
     return m.select("surface", "event", "first_read", F.date_format("first_read_at", "yyyy-MM-dd HH:mm:ss").alias("first_read_at"))
 
 
-@query(MARKED + """ SELECT surface, count(*) AS events, count_if(class = 'unattributable')::BIGINT AS unattributable, count_if(class = 'test')::BIGINT AS test,
+@query(MARKED + """ SELECT surface, count(*) AS events, count_if(class = 'unattributable')::BIGINT AS unattributable, count_if(class = 'test')::BIGINT AS test, count_if(class = 'envelope')::BIGINT AS envelope,
 count_if(class IS NULL AND len(docs) > 0)::BIGINT AS fires, count_if(class IS NULL AND len(docs) = 0)::BIGINT AS declines, count_if(class IS NULL AND len(docs) > 0 AND in_window)::BIGINT AS followed,
 count_if(class IS NULL AND len(docs) > 0 AND ever)::BIGINT AS followed_ever, round(followed / nullif(fires, 0), 6) AS rate, round(followed_ever / nullif(fires, 0), 6) AS rate_ever FROM marked GROUP BY surface""", ("retrievals",))
 def r11_surface_stats(spark, sf_dir):

@@ -34,7 +34,7 @@ def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.alias("id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), named.alias("surface"),
         F.when(e % 11 != 0, F.concat(F.lit("u"), "user_id")).alias("session"), F.col("ts").alias("created_at"),
         F.when(e % 3 != 0, F.concat(F.lit("e"), F.floor(e / 2))).alias("event_id"), (F.col("user_id") % 29 == 0).alias("is_test"),
-        F.concat(F.lit("q"), e % 50).alias("query"),
+        F.concat(F.when(e % 13 == 0, "<task-notification>").otherwise(""), F.lit("q"), e % 50).alias("query"),
     )
 
 

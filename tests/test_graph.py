@@ -1,3 +1,5 @@
+import time
+
 from noteloom.functions import predicates as P
 from noteloom.operators import graph as G
 from pyspark.sql import functions as F
@@ -87,3 +89,56 @@ def test_single_inserts_are_whole_or_nothing(spark):
     judged, retired = G.single_inserts(held, asked)
     assert {r.request: (r.outcome, r.retires) for r in judged.collect()} == {1: ("refused", 0), 2: ("added", 1), 3: ("added", 0), 4: ("added", 0), 5: ("exists", 0)}
     assert [(r.id, r.request, r.valid_to) for r in retired.collect()] == [(3, 2, "2024-03-01")]
+
+
+def test_overrides_of_the_rule_table(spark):
+    """Names taken off the single-valued ones, mirrored spellings that touch them, and a table of one's own in consolidation."""
+    rules = P.Rules(single_valued=["Phase"], many_valued=["version"], inverses={"phase_of": "phase", "assigned": "owns", "status": "supports", "hosted_by": "hosts"}, vocabulary=["hosts"])
+    assert "phase" in rules.single_valued and "version" not in rules.single_valued
+    assert rules.refused == ["phase_of", "status"] and "hosted_by" in rules.inverses
+    assert "phase" in rules.vocabulary and "hosts" in rules.vocabulary and "hosted_by" not in rules.vocabulary
+    held = spark.createDataFrame([("tkt_1", "version", "v1", "2024-01-01"), ("tkt_1", "phase", "alpha", "2024-01-01")], "subject string, predicate string, object string, valid_from string")
+    batch = [(1, "tkt_1", "version", "v2", "2024-02-01"), (2, "tkt_1", "phase", "beta", "2024-02-01"), (3, "a", "hosted_by", "b", "2024-02-01")]
+    own = sorted((r.arrival, r.status, r.subject, r.object) for r in G.consolidate(held, facts(spark, batch), rules).collect())
+    assert own == [(1, "added", "tkt_1", "v2"), (2, "added", "tkt_1", "beta"), (2, "invalidated", "tkt_1", "alpha"), (3, "added", "b", "a")]
+    built_in = sorted((r.arrival, r.status, r.object) for r in G.consolidate(held, facts(spark, batch)).collect())
+    assert built_in == [(1, "added", "v2"), (1, "invalidated", "v1"), (2, "skipped", "beta"), (3, "skipped", "b")]
+
+
+def test_merges_follow_chains_and_rings(spark):
+    m = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(700)] + [("a", "b"), ("b", "c"), ("c", "a"), ("t", "b"), ("x", "y"), ("x", "z"), ("s", "s"), (None, "q")]
+    got = {r.source: r.target for r in G.resolved_mapping(spark.createDataFrame(m, "source string, target string")).collect()}
+    want = {f"n{i:04d}": "n0700" for i in range(700)} | {"b": "a", "c": "a", "t": "a", "x": "y"}
+    assert got == want
+    f = spark.createDataFrame([(1, "a1", "uses", "b1", "2024-01-01", None), (2, "a3", "uses", "b1", "2024-02-01", None)], "id long, subject string, predicate string, object string, valid_from string, valid_to string")
+    aliases = spark.createDataFrame([("old", "a1")], "alias string, target string")
+    mapping = spark.createDataFrame([("a1", "a2"), ("a2", "a3"), ("b1", "b2")], "source string, target string")
+    out, names = G.merged(f, aliases, mapping)
+    assert [tuple(r)[:4] for r in out.collect()] == [(1, "a3", "uses", "b2")]
+    assert sorted(map(tuple, names.collect())) == [("a1", "a3"), ("a2", "a3"), ("b1", "b2"), ("old", "a3")]
+
+
+def test_many_arrivals_of_one_contested_pair(spark):
+    """A contested pair retires nothing and keeps growing; each arrival looks at its kin only."""
+    n = 100_000
+    rows = [(i, "tkt_1", "status", f"value {i % 60_000}", f"2024-01-{i % 28 + 1:02d}") for i in range(n)]
+    began = time.time()
+    got = G.consolidate(spark.createDataFrame([], "subject string, predicate string, object string, valid_from string"), facts(spark, rows))
+    counts = {(r.status, r.reason): r["count"] for r in got.groupBy("status", "reason").count().collect()}
+    assert time.time() - began < 60
+    live, want, latest = {}, {}, []
+    for i, _, _, o, day in rows:  # the same rule by hand: stale if another value starts later
+        later = any(d > day for d, x in latest[-2:] if x != o)
+        what = ("skipped", "stale_observation") if later else ("skipped", "duplicate") if o in live else ("added", None)
+        want[what] = want.get(what, 0) + 1
+        if what == ("added", None):
+            live[o] = day
+            latest = sorted([*latest, (day, o)])[-2:]
+    assert counts == want
+
+
+def test_references_in_a_single_valued_pair(spark):
+    """Spellings of one reference are kin; others are retired, and what is retired comes in the order it was held."""
+    held = [("tkt_1", "status", "web-app PR #5", "2024-01-01"), ("tkt_1", "status", "open", "2024-01-02"), ("tkt_1", "status", "api PR #5", None)]
+    got = G.consolidate(spark.createDataFrame(held, "subject string, predicate string, object string, valid_from string"), facts(spark, [(1, "tkt_1", "status", "PR #5", "2024-03-01")])).collect()
+    assert sorted((r.status, r.object, r.reason) for r in got) == [("invalidated", "open", "single_valued_predicate_took_new_object"), ("skipped", "PR #5", "equivalent_spelling_of_existing")]

@@ -77,3 +77,14 @@ def test_whole_tags(spark):
     notes = spark.createDataFrame([(1, ["oauth"]), (2, ["auth", "x"]), (3, ["authn"])], "id long, tags array<string>")
     aliases = spark.createDataFrame([("authn", "auth")], "alias string, tag string")
     assert sorted(r.id for r in N.with_tags(notes, ["Auth"], aliases).collect()) == [2, 3]
+
+
+def test_events_count_for_nothing_by_one_reason(spark):
+    """No session, then tests, then hints for messages between agents; the same query on another surface counts."""
+    message = '<agent-message from="x">hi</agent-message>'
+    items = [("e1", "s1", "hint", message, False), ("e2", "s1", "hint", "<task-notification>done</task-notification>", False), ("e3", "s1", "kb_search", message, False), ("e4", None, "hint", message, False), ("e5", "s1", "hint", message, True), ("e6", "s1", "hint", "what is x", False), ("e7", "s1", "hint", " <agent-message>", False), ("e8", "s1", "hint", None, False)]
+    log = spark.createDataFrame([(i, 1, surface, q, sess, T0 + dt.timedelta(minutes=i), e, t) for i, (e, sess, surface, q, t) in enumerate(items)] + [(50, 2, "hint", "later words", "s1", T0 + dt.timedelta(minutes=50), "e1", False)], SCHEMA)
+    got = {r.event: r["class"] for r in R.events(log).collect()}
+    assert got == {"e1": "envelope", "e2": "envelope", "e3": None, "e4": "unattributable", "e5": "test", "e6": None, "e7": None, "e8": None}
+    stats = {r.surface: (r.events, r.unattributable, r.test, r.envelope, r.fires) for r in R.surface_stats(R.followed(R.events(log), log)).collect()}
+    assert stats == {"hint": (7, 1, 1, 2, 3), "kb_search": (1, 0, 0, 0, 1)}

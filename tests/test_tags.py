@@ -1,3 +1,6 @@
+import random
+import re
+
 from noteloom.operators import tags as K
 
 
@@ -26,3 +29,19 @@ def test_mentions_of_long_names(spark):
     notes = spark.createDataFrame([(1, "The Bank of the United Kingdom", "x"), (2, "t", "the bank of the united nations"), (3, "t", "(the bank of the united kingdom-wide"), (4, "Bank of the", "united kingdom")], "id long, title string, content string")
     e = spark.createDataFrame([("k", "bank of the united kingdom"), ("n", "The bank of the united nations"), ("s", "bank")], "entity string, name string")
     assert sorted((r.id, r.entity) for r in K.mentions(notes, e).collect()) == [(1, "k"), (1, "s"), (2, "n"), (2, "s"), (3, "s"), (4, "s")]
+
+
+def test_mentions_by_automaton_and_by_joins(spark):
+    """Names of any script, many names for one automaton's bound, and overlapping names, against a plain search."""
+    rng = random.Random(8)
+    names = ["知識庫", "知識", "café", "été noir", "a-b", "x y", "x  y", "c++", "graph", "graph db", "db", "the graph db", "ñandú", "日本語 note", "...", "12345", "ab", "e\u0301t", "graph.db"]
+    joints = [" ", "  ", "-", ".", ",", "", "_", "(", "\n", "x"]
+    notes = [(i, rng.choice(names), "".join(rng.choice(names) + rng.choice(joints) for _ in range(rng.randrange(0, 8)))) for i in range(200)] + [(200, None, None)]
+    n = spark.createDataFrame(notes, "id long, title string, content string").repartition(2)
+    e = spark.createDataFrame([(f"e{k}", x) for k, x in enumerate(names)] + [("twin", "Graph DB")], "entity string, name string")
+    sought = [(f"e{k}", x.lower()) for k, x in enumerate(names) if len(x) >= 3 and not x.isdigit()] + [("twin", "graph db")]
+    inside = "[a-z0-9_-]"
+    want = sorted((i, k) for i, t, c in notes for k, x in sought if re.search(f"(?<!{inside}){re.escape(x)}(?!{inside})", "\n".join(y for y in (t, c) if y is not None).lower()))
+    for most in (200_000, 3, 1):
+        assert sorted(map(tuple, K.mentions(n, e, most=most).collect())) == want
+    assert K.mentions(n, e.limit(0)).count() == 0 and K.mentions(n.limit(0), e).count() == 0

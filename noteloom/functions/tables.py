@@ -47,3 +47,24 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows dealt to all cores where a table comes in fewer pieces than that; otherwise as it is. For plain scans."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    fs, at = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)

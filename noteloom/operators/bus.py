@@ -123,10 +123,26 @@ def presence(beats: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
     return beats.groupBy("session").agg(F.max("at").alias("last")).withColumn("live", F.col("last") >= now - F.make_dt_interval(secs=F.lit(float(seconds))))
 
 
+def due(messages: DataFrame, readers: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Messages with the readers (reader, channel, cursor) that they address beyond their cursors.
+
+    A message meets a reader by channel, bucket of ids and addressee (all, or the reader), so direct messages meet their
+    recipient only, a busy channel is many keys, and ids are compared in the bucket of the cursor alone."""
+    to = F.nullif(F.coalesce("recipient", F.lit("")), F.lit("")).alias("_to")
+    m = messages.filter("sender IS NOT NULL").select("*", to, F.floor(F.col("id") / bucket).alias("_b"))
+    slots = m.select(F.col("channel").alias("_c"), F.col("_b").alias("_slot")).distinct()
+    at = F.coalesce("cursor", F.lit(-1))
+    asked = readers.select("reader", F.col("channel").alias("_channel"), at.alias("_at"), F.floor(at / bucket).alias("_first"))
+    asked = asked.join(slots, (F.col("_channel") == F.col("_c")) & (F.col("_slot") >= F.col("_first")))
+    asked = asked.select("reader", "_channel", "_at", "_slot", F.explode(F.array(F.lit(None).cast("string"), F.col("reader"))).alias("_who"))
+    j = asked.join(m, (F.col("_channel") == F.col("channel")) & (F.col("_slot") == F.col("_b")) & F.col("_who").eqNullSafe(F.col("_to")))
+    return j.filter((F.col("id") > F.col("_at")) & (F.col("sender") != F.col("reader"))).select("reader", *messages.columns)
+
+
 def deliveries(messages: DataFrame, sessions: DataFrame, delivered: DataFrame) -> DataFrame:
     """(message_id, session) that are due and not delivered before (B7). `sessions`: session, channel, last_seen."""
-    due = sessions.join(messages, "channel").filter((F.col("id") > F.coalesce("last_seen", F.lit(-1))) & targets(F.col("sender"), F.col("recipient"), F.col("session")))
-    return due.select(F.col("id").alias("message_id"), "session").distinct().join(delivered, ["message_id", "session"], "left_anti")
+    met = due(messages, sessions.select(F.col("session").alias("reader"), "channel", F.col("last_seen").alias("cursor")))
+    return met.select(F.col("id").alias("message_id"), F.col("reader").alias("session")).distinct().join(delivered, ["message_id", "session"], "left_anti")
 
 
 def pruned(messages: DataFrame, keep: int) -> DataFrame:
@@ -145,8 +161,8 @@ def pruned_with_children(messages: DataFrame, deliveries: DataFrame, runs: DataF
 def status(messages: DataFrame, readers: DataFrame) -> DataFrame:
     """Each participant's last message and unread count."""
     last = messages.groupBy("channel", F.col("sender").alias("reader")).agg(F.max("id").alias("last_message"), F.max_by("body", "id").alias("last_body"))
-    told = unread(messages, readers).join(inbox(messages, readers).select("reader", "channel", F.lit(True).alias("beyond")), ["reader", "channel"], "left")
-    return readers.join(last, ["channel", "reader"], "left").join(told.select("reader", "channel", F.when(F.col("beyond"), F.col("unread")).alias("unread")), ["reader", "channel"], "left")
+    told = inbox(messages, readers).select("reader", "channel", "unread")  # where there is anything beyond the cursor
+    return readers.join(last, ["channel", "reader"], "left").join(told, ["reader", "channel"], "left")
 
 
 HEARTBEATS = ("heartbeat", "status")
@@ -205,7 +221,7 @@ def runnable(agents: DataFrame, messages: DataFrame, runs: DataFrame, now: Colum
     a = agents.join(load, "agent", "left").fillna(0, ["active"])
     cooled = F.col("failed_at").isNull() | (F.col("failed_at") + F.make_dt_interval(secs=F.col("cooldown_s").cast("double")) <= now)
     free = a.filter(F.col("enabled") & (F.col("active") < F.col("concurrency")) & cooled)
-    j = free.join(messages, "channel").filter(targets(F.col("sender"), F.col("recipient"), F.col("agent")) & F.col("needs_agent"))
-    todo = j.select("agent", F.col("id").alias("message_id"), "concurrency", "active").join(runs.select("agent", "message_id"), ["agent", "message_id"], "left_anti")
+    met = due(messages.filter("needs_agent"), free.select(F.col("agent").alias("reader"), "channel", F.lit(None).cast("long").alias("cursor"))).select(F.col("reader").alias("agent"), "channel", F.col("id").alias("message_id"))
+    todo = met.join(runs.select("agent", "message_id"), ["agent", "message_id"], "left_anti").join(free.select("agent", "channel", "concurrency", "active"), ["agent", "channel"])
     place = F.row_number().over(Window.partitionBy("agent").orderBy("message_id"))
     return todo.withColumn("place", place).filter(F.col("place") <= F.col("concurrency") - F.col("active")).select("agent", "message_id")

@@ -177,7 +177,7 @@ def b9_stream_warnings(spark, sf_dir):
 
     e = S.read(spark, sf_dir, "events")
     fires = e.select(F.concat(F.lit("u"), "user_id").alias("session"), (F.col("event_id") % 7).alias("doc_id"), F.col("ts").alias("at"))
-    return S.drained_table(S.warnings(fires)).groupBy("session").agg(F.count("*").alias("fires"), F.count_if("shown").alias("shown"))
+    return S.drained_table(S.warnings(S.ended(fires, "2100-01-01"))).groupBy("session").agg(F.count("*").alias("fires"), F.count_if("shown").alias("shown"))
 
 
 @query(", p AS (SELECT * FROM retrievals WHERE surface = 'hint'), r AS (SELECT * FROM retrievals WHERE surface = 'kb_read') SELECT p.id AS push_id, r.id AS read_id FROM p JOIN r ON p.session = r.session AND p.doc_id = r.doc_id AND r.created_at >= p.created_at AND r.created_at <= p.created_at + INTERVAL 3 DAY", ("retrievals",))

@@ -38,16 +38,70 @@ def test_deliveries_once(spark, tmp_path):
     assert got.count() == m.distinct().count()
 
 
-def test_session_warnings_match_the_batch(spark, tmp_path):
-    fires = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 3), ("a", 3, 4), ("b", 3, 1)], "session string, doc_id long, at long")
-    got = sorted(tuple(r) for r in S.drain(S.warnings(stream_of(spark, fires, tmp_path / "in")), str(tmp_path / "c"), table="warned", timers=True).collect())
-    assert got == [("a", 1, False), ("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 3, True)]
-
-
-def test_sessions_come_alive_once(spark, tmp_path):
-    beats = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "session string, at long")
-    got = sorted(tuple(r) for r in S.drain(S.present(stream_of(spark, beats, tmp_path / "in")), str(tmp_path / "c"), table="live", timers=True).collect())
-    assert got == [("a", True), ("b", True)]
+def cuts(spark, rows, schema, path, parts):
+    """Rows as a stream of files, one a batch, and a last one that ends the stream."""
+    import os
+    import time
+
+    for k in range(parts):
+        spark.createDataFrame(rows[k::parts] if parts > 1 else rows, schema).coalesce(1).write.parquet(f"{path}/{k}")
+    end = spark.createDataFrame([tuple(dt.datetime(2100, 1, 1) if f.split()[0] == "at" else None for f in schema.split(", "))], schema)
+    end.coalesce(1).write.parquet(f"{path}/{parts}")
+    for k in range(parts + 1):
+        for name in os.listdir(f"{path}/{k}"):
+            os.utime(f"{path}/{k}/{name}", (time.time() - 1000 + k, time.time() - 1000 + k))
+    return spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_session_warnings_do_not_depend_on_batches(spark, tmp_path):
+    """The first two notes of a session in order of time, however the input is cut; forgotten after seven days."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [("a", 1, at(5)), ("a", 2, at(1)), ("a", 3, at(3)), ("a", 2, at(7)), ("b", 3, at(2)), ("b", 3, at(4)), ("a", 9, at(7 + 60 * 24 * 8)), (None, 4, at(0))]
+    want = [("a", 1, False), ("a", 2, False), ("a", 2, True), ("a", 3, True), ("a", 9, True), ("b", 3, False), ("b", 3, True)]
+    for parts in (1, 3, 8):
+        stream = cuts(spark, rows, "session string, doc_id long, at timestamp", tmp_path / f"in{parts}", parts)
+        got = S.drain(S.warnings(stream, late="20 days"), str(tmp_path / f"c{parts}"), table=f"warned{parts}")
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_presence_does_not_depend_on_batches(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("a", at(0)), ("a", at(900)), ("a", at(200)), ("a", at(500)), ("b", at(10)), ("a", at(1200)), ("b", at(311))]
+    want = [("a", 0, True), ("a", 800, False), ("a", 900, True), ("a", 1500, False), ("b", 10, True), ("b", 310, False), ("b", 311, True), ("b", 611, False)]
+    for parts in (1, 2, 7):
+        stream = cuts(spark, rows, "session string, at timestamp", tmp_path / f"in{parts}", parts)
+        got = S.drain(S.present(stream, late="1 day"), str(tmp_path / f"c{parts}"), table=f"live{parts}")
+        assert sorted((r.session, r.at, r.live) for r in got.select("session", (F.unix_seconds("at") - 1704067200).alias("at"), "live").collect()) == want
+
+
+def test_logs_stay_bounded_and_replays_see_the_same(spark, tmp_path):
+    """Sixty batches leave two snapshots and the batches since; a batch repeated at a snapshot's edge changes nothing."""
+    path = str(tmp_path / "cur")
+    log = S.cursor_log(path, every=5)
+    rows = lambda n: spark.createDataFrame([(f"r{n % 7}", "c", n), ("slow", "c", n // 30)], "reader string, channel string, last_seen long").coalesce(1)
+    sink = S.cursor_sink(path, every=5)
+    for n in range(60):
+        sink(rows(n), n)
+        if n % 5 == 4:
+            before = sorted(map(tuple, log.rows(spark, n).collect()))
+            sink(rows(n), n)
+            assert sorted(map(tuple, log.rows(spark, n).collect())) == before
+    names = S.listed(spark, path)
+    assert sum(x.startswith("snapshot") for x in names) == 2 and len(names) <= 2 + 2 * 5
+    want = {f"r{k}": max(n for n in range(60) if n % 7 == k) for k in range(7)} | {"slow": 1}
+    assert {r.reader: r.last_seen for r in S.cursors(spark, path).collect()} == want
+
+
+def test_held_facts_over_snapshots(spark, tmp_path):
+    """Facts retired before a snapshot stay retired; the graph equals one that was never compacted."""
+    rows = lambda n: spark.createDataFrame([(n, f"tkt_{n % 3}", "status", f"s{n}", f"2024-02-{n + 1:02d}")], "arrival long, subject string, predicate string, object string, valid_from string")
+    out = {}
+    for every in (2, 1000):
+        late = S.late_facts(str(tmp_path / f"held{every}"), str(tmp_path / f"late{every}"), parts=4, every=every)
+        for n in [0, 1, 2, 3, 3, 4, 5, 6, 7, 7]:
+            late(rows(n), n)
+        out[every] = sorted(map(tuple, S.held_facts(spark, str(tmp_path / f"held{every}")).collect()))
+    assert out[2] == out[1000] and [x[2] for x in out[2]] == ["s6", "s7", "s5"]
 
 
 def test_cursors_and_late_facts(spark, tmp_path):
@@ -73,3 +127,17 @@ def test_bus_predicates(spark):
     m = spark.createDataFrame([("a", None, True), ("me", None, False), ("a", "me", True), ("a", "b", False), ("a", "", True)], "sender string, recipient string, want boolean")
     assert m.filter(B.targets(F.col("sender"), F.col("recipient"), F.lit("me")) != F.col("want")).count() == 0
     assert [r.p for r in spark.createDataFrame([(" a\n\tb\u0007 c ",)], "b string").select(B.preview(F.col("b")).alias("p")).collect()] == ["a b c"]
+
+
+def test_due_messages_meet_by_bucket_and_addressee(spark):
+    """Deliveries equal the plain rule, on a busy channel with small buckets, and no join is a product."""
+    m = spark.createDataFrame([(i, "hot" if i % 10 else "c", f"u{i % 5}", [None, "", "u1", "u3", "x"][i % 7 % 5], "b") for i in range(2000)], "id long, channel string, sender string, recipient string, body string")
+    s = spark.createDataFrame([(f"u{k}", c, None if k == 0 else 300 * k) for k in range(7) for c in ("hot", "c", "empty")], "session string, channel string, last_seen long")
+    done = spark.createDataFrame([(11, "u0"), (12, "u2")], "message_id long, session string")
+    j = s.join(m, "channel").filter((F.col("id") > F.coalesce("last_seen", F.lit(-1))) & B.targets(F.col("sender"), F.col("recipient"), F.col("session")))
+    want = sorted({(r.id, r.session) for r in j.collect()} - {(11, "u0"), (12, "u2")})
+    assert sorted(map(tuple, B.deliveries(m, s, done).collect())) == want
+    readers = s.select(F.col("session").alias("reader"), "channel", F.col("last_seen").alias("cursor"))
+    assert sorted((r.id, r.reader) for r in B.due(m, readers, bucket=16).collect()) == sorted((r.id, r.session) for r in j.collect())
+    plan = B.due(m, readers)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

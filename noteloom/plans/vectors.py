@@ -57,7 +57,7 @@ n AS (SELECT query_id, 'near' AS kind, row_number() OVER (PARTITION BY query_id
 SELECT query_id, kind, place::INTEGER AS place, id, score FROM d WHERE place <= 5 UNION ALL SELECT query_id, kind, place::INTEGER, id, score FROM n WHERE place <= 3""", ("vectors",))
 def v6_v7_verdicts(spark, sf_dir):
     q, c = queries_and_corpus(spark, sf_dir)
-    return X.verdicts(X.similar(q, c, least=0.29, apart=True), 0.4, 0.3)
+    return X.verdicts(X.similar(q, c, 5, apart=True, digits=3), 0.4, 0.3)
 
 
 @query(COS + INDEX + ASKED + FOUND + RANKED + """, vec AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM cos WHERE query_id IN (SELECT query_id FROM q) AND query_id <> id),

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from noteloom.functions import text as X
 from noteloom.operators import index as I
 from noteloom.operators import search as S
@@ -121,10 +122,55 @@ def test_planted_cosines(spark):
     assert [(x.kind, x.id) for x in got] == [("duplicate", 1)]
     got = V.verdicts(V.similar(ask, corpus.filter("id > 1"), least=0.5)).orderBy("place").collect()
     assert [(x.kind, x.id, x.score) for x in got] == [("near", 2, 0.849), ("near", 3, 0.6)]
-    few = V.similar(ask, corpus, k=2, block=2).orderBy("place").collect()
+    few = V.similar(ask, corpus, k=2, round_bytes=8).orderBy("place").collect()
     assert [x.id for x in few] == [1, 2]
 
 
+def cosines(rows):
+    m = np.array([v for _, v in rows], float)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    return m @ m.T
+
+
+def test_searches_in_rounds_and_pairs_by_pivots(spark):
+    """Both equal brute force, with ties, zero vectors and repeated rows, however small rounds and blocks are."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(120)] + [(i, [0.0] * 4) for i in range(120, 124)] + [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(124, 130)]
+    s = cosines(rows)
+    d = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    for n, q in ((1, 10), (200, 1)):  # the queries are the smaller side, and the larger
+        asked = d.filter(f"id % {q} = 0")
+        few = d if n > 1 else d
+        few = few.filter("id < 40") if q == 1 else few
+        ids = [i for i, _ in rows if q != 1 or i < 40]
+        want = {i: sorted((-round(s[i, j], 12), j) for j in ids if j != i)[:3] for i, _ in rows if i % q == 0}
+        for size in (64, 1 << 20):
+            got = {}
+            for r in V.similar(asked, few, 3, apart=True, round_bytes=size).collect():
+                got.setdefault(r.query_id, []).append((r.place, r.id))
+            assert {i: [j for _, j in sorted(x)] for i, x in got.items()} == {i: [j for _, j in x] for i, x in want.items()}
+    pairs = {(i, j) for i in range(130) for j in range(i + 1, 130) if s[i, j] >= 0.9}
+    for pivots, block in ((1, 4096), (8, 10), (32, 4096)):
+        got = [(r.query_id, r.id) for r in V.paired(d, 0.9, pivots=pivots, block=block).collect()]
+        assert sorted(got) == sorted(pairs)
+    assert V.paired(d.limit(0), 0.5).count() == 0 and V.similar(d.limit(0), d, 3).count() == 0 and V.similar(d, d.limit(0), 3).count() == 0
+
+
+def test_blocks_that_cannot_reach_each_other_do_not_meet(spark):
+    """Groups far apart: pairs of blocks grow with the rows, not with their square."""
+    rng = np.random.default_rng(9)
+    counts = []
+    for n in (400, 1600):
+        centres = np.eye(16)
+        rows = [(i, (centres[i % 16] + rng.normal(scale=0.02, size=16)).tolist()) for i in range(n)]
+        d = spark.createDataFrame(rows, "id long, v array<double>")
+        blocks, pivots = V.clustered(d, 64, n)
+        counts.append(V.block_pairs(blocks, pivots, 0.9).count())
+        assert counts[-1] <= 64 * 64 // 8 + 64
+    assert counts[1] <= 2 * counts[0]
+
+
 def test_admission_in_arrival_order(spark):
     a = math.radians
     c = spark.createDataFrame([(i, [math.cos(a(d)), math.sin(a(d))]) for i, d in enumerate([0, 20, 40, 60, 200])], "id long, v array<double>")

@@ -1,19 +1,21 @@
 """Operator 12: phrase collocations by stripes.
 
 Each prefix keys a counter of the words that follow it: a stripe. Prefixes have 0 to `LONGEST` - 1 words, one length a level,
-and an entry of a stripe is the count of the phrase one word longer. What follows a prefix and is not listed (the end of the
-piece, or a word that no candidate can have there) is counted under the empty word, so a stripe's total is the count of
-the prefix. Merged entry by entry, stripes give all the operator needs:
+and an entry of a stripe is the count of the phrase one word longer. Merged entry by entry, stripes give all the operator
+needs:
 
 * entries that reach `LEAST` are the candidates, the total of the root stripe is n,
-* totals are the counts l and r of the parts that a candidate is cut into,
+* a prefix has its own total as an entry one level up: so entries are also the counts l and r of the parts that a candidate
+  is cut into,
 * a stripe's largest entry says whether some longer phrase to the right is as frequent as the prefix; entries grouped by
   their phrase without its first word say the same for the left. A longer phrase that holds a candidate and is as frequent
   has one word more inside it that is as frequent too, so these two tests find all.
 
-A phrase is frequent only if its parts are, so a level lists entries only where both parts were frequent on the level
-before. They are looked up in `BITS` bits, a bit array of fixed size that every task gets: a wrong hit makes an entry that
-turns out rare, never a wrong count. Level 2 also cuts texts down to runs of frequent pairs, which later levels read.
+A phrase is frequent only if its parts are. The first scan of the texts makes the root stripe and counts pairs of words by a
+hash of `WIDE` bits; the second cuts the texts down to runs of words whose pairs reach `LEAST`, and all stripes but the root's
+are made of these runs, dealt by language so that a task's counters meet. A level lists entries only where both parts of them were frequent on the level before. What may be
+frequent is looked up in `BITS` bits, an array of fixed size that every task gets: a wrong hit makes an entry that turns out
+rare, never a wrong count.
 
 Tasks count a chunk of text at a time in arrays; entries meet in partial sums by (lang, prefix, word), so a frequent prefix
 is many small groups. Scores are exact decimals. The first `TOP` of a language are found inside each task first.
@@ -35,13 +37,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import discard, materialize
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Exact: a decimal of 38 digits by another, the whole part of the quotient.
 SCORE = "(1000BD * a_ * n_) div (l_ * r_)"
-#: Bits of the array that says which phrases may be frequent (16 MB), and bytes of text that a task counts at once.
-BITS, CHUNK = 1 << 27, 8 << 20
+#: Bits of the array that says which phrases may be frequent (4 MB), bytes of text that a task counts at once, and rows that
+#: it sends at once.
+BITS, CHUNK, SENT = 1 << 25, 2 << 20, 100_000
+#: Bytes of runs that a task counts at once, and of text whose words it holds at once.
+RUNS, SPLIT = 8 << 20, 1 << 20
+#: Bits of the hashes that pairs are counted by.
+WIDE = 40
 #: The mark between pieces: a separator, so it is never a word.
 MARK = b"."
 FOLD = bytes.maketrans(b",;:!?\n\x0b\x0c\r", MARK * 9)
@@ -71,17 +78,18 @@ def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def places_of(hashes: list[np.ndarray], n_bits: int) -> np.ndarray:
-    """The bit of each phrase among `n_bits` (a power of 2), given the hashes of its first words, second words and so on."""
+def places_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """A hash of `WIDE` bits of each phrase, given the hashes of its first words, second words and so on; its low bits are the
+    phrase's place in a bit array."""
     h = np.zeros(len(hashes[0]), np.uint64)
     for x in hashes:
         h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h & np.uint64(n_bits - 1)).astype(np.int64)
+    return (h & np.uint64((1 << WIDE) - 1)).astype(np.int64)
 
 
 def held(bits: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-    places = places_of(hashes, 32 * len(bits))
+    places = places_of(hashes) & (32 * len(bits) - 1)
     return (bits[places >> 5] >> (places & 31).astype(np.uint32)) & np.uint32(1) > 0
 
 
@@ -104,21 +112,26 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
 
 
 def _numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    words, numbers = words_of(texts), Numbers()
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    return ids, list(numbers)
-
-
-def _frequent(ids: np.ndarray, words: list[bytes], lang: str, size: int, bits: np.ndarray) -> np.ndarray:
+    """The numbers of all words, and the words by number. Words are held as such for about `SPLIT` bytes of text at a time."""
+    numbers, parts, some, size = Numbers(), [], [], 0
+    for i, t in enumerate(texts):
+        some.append(t)
+        size += len(t)
+        if size > SPLIT or i == len(texts) - 1:
+            words = words_of(some)
+            parts += [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
+            some, size = [], 0
+    return np.concatenate(parts), list(numbers)
+
+
+def _frequent(ids: np.ndarray, words: list[bytes], lang: str, size: int, bits: np.ndarray | None) -> np.ndarray:
     """For each place, whether a phrase of `size` words that may be frequent begins there."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, bool)
-    of_word = word_hashes(words, lang)
     if size == 1:
-        ok = held(bits, [of_word])
-        ok[0] = False
-        return ok[ids]
+        return ids > 0
+    of_word = word_hashes(words, lang)
     inside = np.ones(n, bool)
     for j in range(size):
         inside &= ids[j : j + n] > 0
@@ -128,35 +141,36 @@ def _frequent(ids: np.ndarray, words: list[bytes], lang: str, size: int, bits: n
     return ok
 
 
+def counted(texts: list[bytes], lang: str) -> pa.RecordBatch:
+    """The root stripe of some texts, and the counts of their pairs by hash."""
+    ids, words = _numbered(texts)
+    n_words = np.bincount(ids, minlength=len(words))[1:]
+    of_word = word_hashes(words, lang)
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    pairs, n_pairs = np.unique(places_of([of_word[ids[at]], of_word[ids[at + 1]]]), return_counts=True)
+    columns = [[pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n_words), np.int64))), pa.nulls(len(pairs), pa.string())], [pa.array(words[1:], pa.binary()).cast(pa.string()), pa.nulls(len(pairs), pa.string())]]
+    columns += [[pa.nulls(len(n_words), pa.int64()), pa.array(pairs, pa.int64())], [pa.array(n_words, pa.int64()), pa.array(n_pairs, pa.int64())]]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["lang", "word", "pair", "n"])
+
+
 def stripes_of(texts: list[bytes], lang: str, level: int, bits: np.ndarray | None) -> pa.RecordBatch:
-    """The stripes of prefixes of `level` - 1 words in some texts."""
+    """The stripes of prefixes of `level` - 1 words, one or more, in runs."""
     ids, words = _numbered(texts)
     names = pa.array(words, pa.binary()).cast(pa.string())
-    if level == 1:
-        counts = np.bincount(ids, minlength=len(words))
-        counts[0] = 0
-        prefix, heads, nexts = pa.array([""]), np.zeros(len(words), np.int64), np.arange(len(words))
-        keep = counts > 0
-        heads, nexts, counts = heads[keep], nexts[keep], counts[keep]
-        prefix = prefix if len(counts) else pa.array([], pa.string())
-    else:
-        size = level - 1
-        ok = _frequent(ids, words, lang, size, bits)
-        at = np.flatnonzero(ok)
-        # numbers of prefixes, made word by word, then of (prefix, next word)
-        code = ids[at]
-        for j in range(1, size):
-            code = np.unique(code * len(words) + ids[at + j], return_inverse=True)[1]
-        first, code = np.unique(code, return_index=True, return_inverse=True)[1:]
-        follows = np.append(ok[1:], False)[at]
-        nexts = np.where(follows, np.append(ids[size:], 0)[at], 0)
-        pairs, counts = np.unique(code * len(words) + nexts, return_counts=True)
-        heads, nexts = np.divmod(pairs, len(words))
-        parts = [names.take(pa.array(ids[at[first] + j])) for j in range(size)]
-        prefix = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-    text = pc.if_else(pa.array(nexts == 0), pa.scalar(""), names.take(pa.array(nexts)))
+    size = level - 1
+    ok = _frequent(ids, words, lang, size, bits)
+    at = np.flatnonzero(ok[:-1] & ok[1:])  # both parts of the phrase
+    # numbers of prefixes, made word by word, then of (prefix, next word)
+    code = ids[at]
+    for j in range(1, size):
+        code = np.unique(code * len(words) + ids[at + j], return_inverse=True)[1]
+    first, code = np.unique(code, return_index=True, return_inverse=True)[1:]
+    pairs, counts = np.unique(code * len(words) + ids[at + size], return_counts=True)
+    heads, nexts = np.divmod(pairs, len(words))
+    parts = [names.take(pa.array(ids[at[first] + j])) for j in range(size)]
+    prefix = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
     ends = pa.array(np.append(np.searchsorted(heads, np.arange(len(prefix))), len(heads)), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, x) for x in (text, pa.array(counts, pa.int64()))]
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (names.take(pa.array(nexts)), pa.array(counts, pa.int64()))]
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(prefix), pa.string()), prefix, *lists], ["lang", "prefix", "words", "counts"])
 
 
@@ -181,76 +195,94 @@ def runs_of(texts: list[bytes], lang: str, size: int, bits: np.ndarray) -> bytes
 def _mapped(texts: DataFrame, make: Callable[[str, list[bytes]], pa.RecordBatch], schema: str, chunk: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, some in chunks(batches, chunk):
-            yield make(lang, some)
+            made = make(lang, some)
+            for at in range(0, made.num_rows, SENT):
+                yield made.slice(at, SENT)
+            del made
+            pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
     return texts.mapInArrow(run, schema)
 
 
-def entries(texts: DataFrame, level: int, bits=None, chunk: int = CHUNK) -> DataFrame:
+def entries(runs: DataFrame, level: int, bits, chunk: int = RUNS) -> DataFrame:
     """(lang, prefix, word, n): the merged stripes of a level; `bits` is a broadcast of the frequent prefixes."""
-    rows = _mapped(texts, lambda lang, some: stripes_of(some, lang, level, bits.value if bits else None), STRIPES, chunk)
+    rows = _mapped(runs, lambda lang, some: stripes_of(some, lang, level, bits.value if bits else None), STRIPES, chunk)
     each = rows.select("lang", "prefix", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("e"))
     return each.select("lang", "prefix", "e.word", "e.n").groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
 
 
 def phrase() -> Column:
-    return F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat("prefix", F.lit(" "), "word"))
+    return F.concat("prefix", F.lit(" "), "word")
 
 
-def frequent_bits(found: DataFrame, least: int, n_bits: int = BITS):
-    """The broadcast bit array of the phrases in `found` that reach `least`; at most `n_bits` / 32 rows come to the driver."""
+def _broadcast_bits(places: DataFrame, n_bits: int):
+    """The bit array of hashes in the column `place`; at most `n_bits` / 32 rows come to the driver."""
+    place = F.col("place").bitwiseAND(n_bits - 1)
+    rows = places.select(F.shiftright(place, 5).alias("at"), F.expr("shiftleft(1L, cast(place & 31 as int))").alias("bit"))
+    merged = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(n_bits // 32, np.uint32)
+    bits[merged["at"].to_numpy(np.int64)] = merged["bits"].to_numpy(np.int64).astype(np.uint32)
+    return places.sparkSession.sparkContext.broadcast(bits)
+
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def phrase_places(found: DataFrame) -> DataFrame:
+    """The hash `place` of each phrase in `found`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                made.append(int(places_of([word_hashes([w], lang) for w in text.encode().split(b" ")], n_bits)[0]))
-            at = np.array(made, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["at", "bit"])
+            made = [int(places_of([word_hashes([w], lang) for w in text.encode().split(b" ")])[0]) for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64())], ["place"])
 
-    rows = found.filter((F.col("word") != "") & (F.col("n") >= least)).select("lang", phrase().alias("phrase")).mapInArrow(place, "at long, bit long")
-    merged = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(n_bits // 32, np.uint32)
-    bits[merged["at"].to_numpy()] = merged["bits"].to_numpy().astype(np.uint32)
-    return found.sparkSession.sparkContext.broadcast(bits)
+    return found.select("lang", phrase().alias("phrase")).mapInArrow(run, "place long")
 
 
-def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, n_bits: int = BITS, chunk: int = CHUNK) -> list[DataFrame]:
-    """Merged stripes of levels 1 to `longest`, written once; entries of levels from 2 on are there where they may be frequent."""
+def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, n_bits: int = BITS, chunk: int = CHUNK, runs_chunk: int = RUNS) -> list[DataFrame]:
+    """The root stripe (lang, word, n) and the merged stripes (lang, prefix, word, n) of levels 2 to `longest`, written once.
+    Entries of these are there where they may be frequent."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    found = [materialize(entries(texts, 1, chunk=chunk), "stripes1")]
+    scan = _mapped(texts, lambda lang, some: counted(some, lang), "lang string, word string, pair long, n long", chunk)
+    scan = scan.groupBy("lang", "word", "pair").agg(F.sum("n").alias("n")).filter(F.col("word").isNotNull() | (F.col("n") >= least))
+    scan = materialize(scan, "words")
+    bits = _broadcast_bits(scan.filter("pair is not null").select(F.col("pair").alias("place")), n_bits)
+
+    def cut(lang: str, some: list[bytes], bits=bits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": [lang], "text": [runs_of(some, lang, 2, bits.value).decode()]})
+
+    dealt = materialize(_mapped(texts, cut, "lang string, text string", chunk), "runs")  # once: a deal by range reads twice
+    runs = materialize(dealt.repartitionByRange("lang", F.xxhash64("text")), "runs")
+    discard(dealt)
+    bits.destroy()
+    bits = None
+    found = [scan.filter("word is not null").select("lang", "word", "n")]
     for level in range(2, longest + 1):
-        bits = frequent_bits(found[-1], least, n_bits)
-        if level == 3:
-
-            def cut(lang: str, some: list[bytes], bits=bits) -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"lang": [lang], "text": [runs_of(some, lang, 2, bits.value).decode()]})
-
-            texts = materialize(_mapped(texts, cut, "lang string, text string", chunk), "runs")
-        found.append(materialize(entries(texts, level, bits, chunk), f"stripes{level}"))
+        if level > 2:
+            bits = _broadcast_bits(phrase_places(found[-1].filter(F.col("n") >= least)), n_bits)
+        found.append(materialize(entries(runs, level, bits, runs_chunk), f"stripes{level}"))
+        if bits:
+            bits.destroy()
     return found
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, n_bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, n_bits: int = BITS, chunk: int = CHUNK, runs_chunk: int = RUNS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases of 2 to `longest` words."""
-    levels = stripes(docs, text_col, lang_col, least, longest, n_bits, chunk)
+    levels = stripes(docs, text_col, lang_col, least, longest, n_bits, chunk, runs_chunk)
     whole = levels[0].groupBy("lang").agg(F.sum("n").alias("n"))
     below = levels[1]
     for x in levels[2:]:
         below = below.union(x)
-    of_prefix = below.groupBy("lang", "prefix").agg(F.sum("n").alias("total"), F.max(F.when(F.col("word") != "", F.col("n"))).alias("right"))
-    of_prefix = materialize(of_prefix.filter(F.col("total") >= least), "totals")
-    listed = below.filter((F.col("word") != "") & (F.col("n") >= least)).select("lang", phrase().alias("phrase"), F.col("n").alias("a"))
+    below = below.filter(F.col("n") >= least)
+    listed = materialize(below.select("lang", phrase().alias("phrase"), F.col("n").alias("a")), "phrases")
+    right = below.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("n").alias("right"))
     left = listed.groupBy("lang", F.regexp_replace("phrase", "^[^ ]+ ", "").alias("phrase")).agg(F.max("a").alias("left"))
-    inside = of_prefix.select("lang", F.col("prefix").alias("phrase"), "right")
-    kept = listed.join(left, ["lang", "phrase"], "left").join(inside, ["lang", "phrase"], "left")
+    kept = listed.join(left, ["lang", "phrase"], "left").join(right, ["lang", "phrase"], "left")
     kept = kept.filter(F.greatest(F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))) < F.col("a")).select("lang", "phrase", "a")
 
     words = F.split("phrase", " ")
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
     cuts = kept.withColumn("words", words).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.size("words") - F.col("k")).alias("rest"))
-    sums = lambda part, name: of_prefix.select("lang", F.col("prefix").alias(part), F.col("total").alias(name))
+    counts = materialize(levels[0].filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a")).unionByName(listed), "counts")
+    sums = lambda part, name: counts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name))
     cuts = cuts.join(sums("first", "l"), ["lang", "first"]).join(sums("rest", "r"), ["lang", "rest"]).join(whole, "lang")
     wide = {c: F.col(c).cast("decimal(18,0)") for c in "alrn"}
     scored = cuts.withColumns({f"{c}_": x for c, x in wide.items()}).withColumn("score", F.expr(SCORE))

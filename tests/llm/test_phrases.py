@@ -55,7 +55,7 @@ def test_small_chunks_and_full_bits_change_nothing(spark):
     """Chunks of one text, and bits that are all set, so that nothing is pruned."""
     rows = made(random.Random(2), 60)
     docs = spark.createDataFrame(rows, "lang string, text string")
-    assert sorted(map(tuple, P.collocations(docs, least=4, n_bits=32, chunk=100).collect())) == brute(rows, 4)
+    assert sorted(map(tuple, P.collocations(docs, least=4, n_bits=32, chunk=100, runs_chunk=500).collect())) == brute(rows, 4)
 
 
 def test_scores_beyond_64_bits(spark):

@@ -48,6 +48,8 @@ COPY_SHINGLE, COPY, BANDS, VALUES = 5, 0.8, 24, 5
 #: Members of a band whose pairs are rows; in larger bands, members of a block, shingles of a block, and shared shingles that
 #: are multiplied at once.
 SMALL, BLOCK, SHINGLES, COLUMNS = 32, 512, 1 << 20, 4096
+#: Partners that a text meets in one group, at most on average.
+PARTNERS = 512
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -272,7 +274,8 @@ def signatures(text: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts (fp, text) have the similarity of near copies."""
+    """The pairs (hub, fp) of near copies among (hub, fp, slots), from (fp, text). A hub's partners are dealt over `slots` groups,
+    each of which gets the hub's text once, so that a text with many partners is many small groups."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -287,8 +290,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(both >= COPY * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    end = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
-    return pairs.join(end("u"), "u").join(end("v"), "v").filter(alike("text_u", "text_v")).select("u", "v")
+    hubs = pairs.groupBy("hub").agg(F.max("slots").alias("slots"))
+    dealt = texts.select(F.col("fp").alias("hub"), F.col("text").alias("hub_text")).join(hubs, "hub")
+    dealt = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "hub_text")
+    asked = pairs.select("hub", "fp", F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int").alias("slot"))
+    return asked.join(texts.select("fp", "text"), "fp").join(dealt, ["hub", "slot"]).filter(alike("hub_text", "text")).select("hub", "fp")
 
 
 def shingle_set(text: Column) -> Column:
@@ -372,11 +378,13 @@ def copy_links(sets: DataFrame) -> DataFrame:
     texts = materialize(sets.select("fp", "text").join(weight, "fp", "left_semi"), "texts")
     # lengths alone rule out pairs that cannot reach the similarity
     close = F.least("n", "m") >= COPY * F.greatest("n", "m")
-    pair = (F.least("fp", "gp").alias("u"), F.greatest("fp", "gp").alias("v"))
+    ends = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
 
-    first = shared.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "n")).alias("x")).select("band", F.col("x.fp").alias("gp"), F.col("x.n").alias("m"))
-    begun = materialize(shared.join(first, "band").filter((F.col("fp") != F.col("gp")) & close).select(*pair).distinct(), "pairs")
-    found = materialize(confirmed(begun, texts), "links")
+    # of a pair, the hub is the end with the greater (weight, fp) in every band; its weight is at least its number of partners
+    first = shared.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "n")).alias("x"))
+    first = first.select("band", F.col("x.fp").alias("hub"), F.col("x.n").alias("m"), F.ceil(F.col("x.weight") / PARTNERS).cast("int").alias("slots"))
+    begun = materialize(shared.join(first, "band").filter((F.col("fp") != F.col("hub")) & close).select("hub", "fp", "slots").distinct(), "pairs")
+    found = materialize(confirmed(begun, texts).select(*ends("hub", "fp")), "links")
     root = components(found).select(F.col("u").alias("fp"), "root")
     rooted = materialize(shared.join(root, "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
@@ -385,8 +393,10 @@ def copy_links(sets: DataFrame) -> DataFrame:
     blocks = materialize(block_links(left.join(large, "band", "left_semi"), texts), "links")
     left = left.join(large, "band", "left_anti")
     other = left.select("band", F.col("fp").alias("gp"), F.col("n").alias("m"), F.col("root").alias("other"))
-    more = left.join(other, "band").filter((F.col("root") < F.col("other")) & close).select(*pair).distinct().join(begun, ["u", "v"], "left_anti")
-    return found.unionByName(blocks).unionByName(materialize(confirmed(more, texts), "links"))
+    more = left.join(other, "band").filter((F.col("root") < F.col("other")) & close).select(*ends("fp", "gp")).distinct().join(begun.select(*ends("hub", "fp")), ["u", "v"], "left_anti")
+    # a text has at most `SMALL` partners in each of its bands here
+    more = more.select(F.col("u").alias("hub"), F.col("v").alias("fp"), F.lit(1).alias("slots"))
+    return found.unionByName(blocks).unionByName(materialize(confirmed(more, texts).select(*ends("hub", "fp")), "links"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ Labelled rows tie by hashed id, then id. An empty table gives an empty table. Ex
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,10 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 WHITE = b" \t\n\x0b\x0c\r"
 #: Letters and bytes over ASCII become a, other signs a stop; white space stays.
 SHAPE = bytes(x if x in WHITE else 97 if x > 127 or bytes([x]).isalpha() else 46 for x in range(256))
+#: Words without a letter in a text of shapes.
+LETTERLESS = re.compile(rb"(?<![a.])\.++(?!a)")
+#: The most words whose triples are numbers under 2**63.
+MOST_CUBED = (1 << 21) - 1
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -42,15 +48,15 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    k = len(number)
-    if k == n:
+    number = {w: i for i, w in enumerate(words)}
+    if len(number) == n:
         return 0
-    pairs = ids[:-1] * k + ids[1:]
-    _, pairs = np.unique(pairs, return_inverse=True)  # renumbered, so that keys of triples stay under 2**63
-    triples = pairs[:-1] * k + ids[2:]
-    order = np.argsort(triples, kind="stable")
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
+    pairs = ids[:-1] * n + ids[1:]
+    if n > MOST_CUBED:  # renumbered, so that keys of triples stay under 2**63
+        _, pairs = np.unique(pairs, return_inverse=True)
+    triples = pairs[:-1] * n + ids[2:]
+    order = np.argsort(triples)
     t = triples[order]
     same = t[1:] == t[:-1]
     if not same.any():
@@ -78,7 +84,7 @@ def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], list[f
     many = max(n, 1)
     upper = sum(1 for w in words if w.isupper())
     marks = raw.count(b"!") + raw.count(b"?")
-    letterless = n - sum(b"a" in w for w in raw.translate(SHAPE).split())
+    letterless = len(LETTERLESS.findall(raw.translate(SHAPE)))
     features = [chars / many, symbols / many, dup / max(len(lines), 1), repeat / many, upper / many, marks / many, len(set(words)) / many, letterless / many]
     return (n, chars, symbols, dup, repeat), features
 

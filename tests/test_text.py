@@ -86,6 +86,38 @@ def test_blocks_are_skipped_and_results_stay(spark):
     assert sum(-b <= fifth for b in buckets) <= len(buckets) // 2
 
 
+def test_queries_share_the_postings_of_their_terms(spark, monkeypatch):
+    """What a search writes does not grow with the queries that ask the same words, and its notes are those of the plain form."""
+    rng = random.Random(8)
+    n = made_notes(spark, rng, range(2000)).withColumn("superseded_at", F.when(F.col("id") % 3 == 0, F.to_timestamp_ntz(F.lit("2024-01-01"))).cast("timestamp_ntz"))
+    n = n.withColumn("content", F.when(F.col("id") == 3, "lynx puma").when(F.col("id") % 50 == 1, "lynx").otherwise(F.col("content")))
+    index, own, rows, inner = I.indexed(n, buckets=24), n.filter("superseded_at IS NULL"), {}, S.materialize
+
+    def counted(df, what):
+        out = inner(df, what)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    written = {}
+    for k in (1, 40):
+        rows.clear()
+        q = spark.createDataFrame([(i, "vault cach") for i in range(k)], "query_id long, query string")
+        assert S.search(q, n, limit=5, index=index).count() == 5 * k
+        written[k] = sum(x for what, x in rows.items() if what not in ("asked", "scored"))
+    assert written[40] == written[1]
+    monkeypatch.undo()
+    # the only note with both words is superseded, so none is left; other queries: ties, unknown words, words of two parts
+    q = spark.createDataFrame([(1, "lynx puma"), (2, "index cache"), (3, "notes-graph tagging"), (4, "zebra vault"), (5, "the of"), (6, "lynx")], "query_id long, query string")
+    terms = S.query_terms(q)
+    plain = S.all_or_any(S.bm25(S.matches(terms, index), index))
+    shape = lambda df: sorted((r.query_id, r.id, r.n_terms, r.exact, r.matched, round(r.score, 9)) for r in df.collect())
+    for rounds in (1, 1 << 20):
+        assert shape(S.scored(terms, index, round_terms=rounds)) == shape(plain)
+        top = plain.join(own.select("id"), "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), "id"))).filter("k <= 5")
+        assert shape(S.scored(terms, index, own, 5, round_terms=rounds)) == shape(top)
+
+
 def test_index_follows_the_store(spark):
     """After batches of new, changed and deleted notes the index equals a rebuild, as segments and merged; so do searches."""
     rng = random.Random(7)

@@ -10,11 +10,12 @@ and a search adds up the differences from group to group and drops a whole group
 A leaf sends out only the edges of a spanning forest of the links that it found; components follow from rounds of large
 and small stars over edges.
 
-The corpus stage `without_near_copies` has another test: two texts are near copies where the sets of their five-word
-shingles have a Jaccard similarity of 0.8 or more. At 0.8 fingerprints differ in ten bits of 64 on average and often in
-15, for which the index above would need blocks of four bits, so MinHash bands propose the pairs and the exact similarity
-confirms them. The member of a band that shares most bands with others is compared with all its members first, so that
-most members of a large group are one component already. Then all pairs of a band whose ends are still in different
+The corpus stage `without_near_copies` starts from the same fingerprints and index. Two texts are near copies where the sets
+of their five-word shingles have a Jaccard similarity of 0.8 or more: the pairs that the index finds are confirmed by that, and
+their components are where the rest begins. At 0.8 fingerprints differ in ten bits of 64 on average and often in 15, for which
+the index would need blocks of four bits, so MinHash bands propose what lies beyond two bits, and only in bands whose members
+the index has not joined already. The member of such a band that shares most bands with others is compared with all its members
+of other components first, so that most members of a large group are one component already. Then all pairs of a band whose ends are still in different
 components: in small bands as rows; of large bands, the members outside the largest component meet each other and that
 component in blocks, where a product of matrices gives all intersections of shingle sets at once and only the edges of a
 spanning forest leave the task.
@@ -252,9 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def signatures(text: Column) -> Column:
-    """struct<a, b, n, bands> of a text: 128 bits that tell its shingle set, the set's size, and its MinHash bands."""
+    """struct<a, b, n, bands, print> of a text: 128 bits that tell its shingle set, the set's size, its MinHash bands, and its
+    fingerprint."""
 
-    @F.pandas_udf("a long, b long, n long, bands array<long>")
+    @F.pandas_udf("a long, b long, n long, bands array<long>, print long")
     def sign(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -267,8 +269,8 @@ def signatures(text: Column) -> Column:
             for at in range(0, len(found), 1 << 12):
                 least = np.minimum(least, (found[at : at + (1 << 12)] * odd).min(1))
             bands = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, VALUES))] if len(found) else []
-            rows.append((a, b, len(found), np.array(bands, np.uint64).view(np.int64)))
-        return pd.DataFrame(rows, columns=["a", "b", "n", "bands"])
+            rows.append((a, b, len(found), np.array(bands, np.uint64).view(np.int64), _signed(fingerprint(t))))
+        return pd.DataFrame(rows, columns=["a", "b", "n", "bands", "print"])
 
     return sign(text)
 
@@ -368,12 +370,34 @@ def block_links(left: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition(*pair).sortWithinPartitions(*pair, "fp").mapInArrow(_block_edges, "u long, v long")
 
 
-def copy_links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of all near copies that share a band; from (fp, n, bands, text)."""
+def index_links(sets: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Edges (u, v) of near copies among the pairs that the fingerprints' index finds; from (fp, print, text). Texts of one
+    fingerprint meet the first of them, which stands for it in the index."""
+    prints = materialize(sets.groupBy("print").agg(F.min("fp").alias("hub"), F.count("*").alias("size")), "prints")
+    same = sets.select("print", "fp").join(prints.filter("size > 1"), "print").filter("fp <> hub").select("hub", "fp")
+    named = lambda end, name: prints.select(F.col("print").alias(end), F.col("hub").alias(name))
+    near = links(prints.select(F.col("print").alias("fp")), leaf).distinct().join(named("u", "hub"), "u").join(named("v", "fp"), "v").select("hub", "fp")
+    pairs = materialize(same.unionByName(near), "pairs")
+    slots = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slots"))
+    ends = pairs.select("fp").union(pairs.select("hub")).distinct()
+    texts = materialize(sets.select("fp", "text").join(ends, "fp", "left_semi"), "texts")
+    found = materialize(confirmed(pairs.join(slots, "hub"), texts).select(F.least("hub", "fp").alias("u"), F.greatest("hub", "fp").alias("v")), "links")
+    for x in (pairs, texts):
+        discard(x)
+    return found
+
+
+def copy_links(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges (u, v) whose components, with those of the `known` edges, are those of all near copies that share a band; from
+    (fp, n, bands, text)."""
     banded = materialize(sets.select("fp", "n", F.explode("bands").alias("band")), "bands")
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(banded.join(sizes, "band"), "bands")
+    begins = components(known).select(F.col("u").alias("fp"), F.col("root").alias("begin"))
+    joined = materialize(banded.join(sizes, "band").join(begins, "fp", "left").withColumn("begin", F.coalesce("begin", "fp")), "bands")
     discard(banded)
+    apart = joined.groupBy("band").agg(F.min("begin").alias("low"), F.max("begin").alias("high")).filter("low < high").select("band")
+    shared = materialize(joined.join(apart, "band", "left_semi"), "bands")
+    discard(joined)
     weight = materialize(shared.groupBy("fp").agg(F.sum("size").alias("weight")), "weights")
     texts = materialize(sets.select("fp", "text").join(weight, "fp", "left_semi"), "texts")
     # lengths alone rule out pairs that cannot reach the similarity
@@ -381,10 +405,10 @@ def copy_links(sets: DataFrame) -> DataFrame:
     ends = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
 
     # of a pair, the hub is the end with the greater (weight, fp) in every band; its weight is at least its number of partners
-    first = shared.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "n")).alias("x"))
-    first = first.select("band", F.col("x.fp").alias("hub"), F.col("x.n").alias("m"), F.ceil(F.col("x.weight") / PARTNERS).cast("int").alias("slots"))
-    begun = materialize(shared.join(first, "band").filter((F.col("fp") != F.col("hub")) & close).select("hub", "fp", "slots").distinct(), "pairs")
-    found = materialize(confirmed(begun, texts).select(*ends("hub", "fp")), "links")
+    first = shared.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "n", "begin")).alias("x"))
+    first = first.select("band", F.col("x.fp").alias("hub"), F.col("x.n").alias("m"), F.col("x.begin").alias("hub_begin"), F.ceil(F.col("x.weight") / PARTNERS).cast("int").alias("slots"))
+    begun = materialize(shared.join(first, "band").filter((F.col("begin") != F.col("hub_begin")) & close).select("hub", "fp", "slots").distinct(), "pairs")
+    found = known.unionByName(materialize(confirmed(begun, texts).select(*ends("hub", "fp")), "links"))
     root = components(found).select(F.col("u").alias("fp"), "root")
     rooted = materialize(shared.join(root, "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
@@ -407,8 +431,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # texts of equal shingle sets are one entry, named by its first row
     entries = materialize(each.groupBy("a", "b").agg(F.min("rid").alias("fp")), "entries")
     rows = materialize(each.join(entries, ["a", "b"]).select("rid", "doc_id", "fp"), "rows")
-    sets = tagged.select(F.col(rid).alias("fp"), F.col(f"{sign}.n").alias("n"), F.col(f"{sign}.bands").alias("bands"), F.col(text_col).alias("text")).join(entries, "fp", "left_semi")
-    grouped = materialize(with_components(rows, edges=copy_links(sets)).select("rid", "doc_id", "component", "component_id"), "grouped")
+    sets = tagged.select(F.col(rid).alias("fp"), F.col(f"{sign}.n").alias("n"), F.col(f"{sign}.bands").alias("bands"), F.col(f"{sign}.print").alias("print"), F.col(text_col).alias("text")).join(entries, "fp", "left_semi")
+    grouped = materialize(with_components(rows, edges=copy_links(sets, index_links(sets))).select("rid", "doc_id", "component", "component_id"), "grouped")
     # a component's smallest id is that of the row to keep; among rows with that id (repeats, or all null) the first one stays
     first = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("rid").alias("first"))
     keep = first.select(F.col("first").alias(rid))

@@ -142,3 +142,30 @@ def test_intersections_in_blocks(monkeypatch):
     root = np.arange(len(sets)) // 2
     got = set(zip(*(x.tolist() for x in S.alike_in_block(sets, root))))
     assert got == {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+
+
+def test_corpus_pairs_come_from_the_index(spark, monkeypatch):
+    """Without any band: texts of one fingerprint, or within two bits, meet through the index; the exact similarity confirms."""
+    rng = np.random.default_rng(4)
+    word = lambda: "w" + str(rng.integers(0, 50_000))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(900)]
+        texts += [" ".join(base), " ".join(base[:-1] + [word()]), " ".join(base[:-2] + [word(), word()])]
+    texts += ["one two three", "one two three four five", "", " "]
+    prints = [brute_fingerprint(t) for t in texts]
+    alike = brute_copies(texts)
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if bin(prints[i] ^ prints[j]).count("1") <= 2 and alike[i] == alike[j]}
+    assert len(near) > 40
+    sets = spark.createDataFrame([(i, S._signed(p), t) for i, (p, t) in enumerate(zip(prints, texts))], "fp long, print long, text string")
+    got = {tuple(r) for r in S.index_links(sets, leaf=8).collect()}
+    # the index sends on a spanning forest of its links: ends of an edge may be joined by a chain
+    assert all(alike[i] == alike[j] for i, j in got) and 30 < len(got) <= len(texts)
+    label = list(range(len(texts)))
+    for i, j in got:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert all(label[i] == label[j] for i, j in near)
+    monkeypatch.setattr(S, "copy_links", lambda sets, known: known)
+    kept = {r.doc_id for r in S.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept >= set(alike) and len(kept) < len(texts) - 30

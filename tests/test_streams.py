@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 from noteloom.operators import bus as B
 from noteloom.operators import reports as R
 from noteloom.sources import views as V
@@ -141,3 +142,45 @@ def test_due_messages_meet_by_bucket_and_addressee(spark):
     assert sorted((r.id, r.reader) for r in B.due(m, readers, bucket=16).collect()) == sorted((r.id, r.session) for r in j.collect())
     plan = B.due(m, readers)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+class Handle:
+    """Counts the timers that a processor sets."""
+
+    def __init__(self):
+        self.timers, self.held = [], []
+
+    def getListState(self, *_):
+        return self
+
+    def appendList(self, rows):
+        self.held += rows
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    def get(self):
+        return iter(self.held)
+
+    def clear(self):
+        self.held = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_one_timer_stands_for_all_held_rows():
+    class Times(S.InOrder):
+        def passed(self, key, rows, now):
+            yield [at for at, in rows]
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    made, handle = Times(), Handle()
+    made.init(handle)
+    list(made.handleInputRows(("a",), iter([pd.DataFrame({"at": [50, 20, 90, 70]})]), None))
+    assert handle.timers == [20]
+    assert list(made.handleExpiredTimer(("a",), Now(60), Now(20))) == [[20, 50]] and handle.timers == [20, 70]
+    assert list(made.handleExpiredTimer(("a",), Now(100), Now(70))) == [[70, 90]] and handle.timers == [20, 70] and not handle.held

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from noteloom.functions import predicates as P
 from noteloom.functions.tables import materialize
+from noteloom.functions.text import let
 
 #: A number is no qualifier of an entity.
 NUMBERED = r"^#?\d+(_\d+)*$"
@@ -34,8 +35,7 @@ def resolved(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 def canonical_triples(facts: DataFrame, rules: P.Rules | None = None) -> DataFrame:
     """Predicates folded, mirrored ones turned round, and builders put before what they build (G3, G4), by the built-in rules or
     a table with overrides (G26)."""
-    pred = P.canonical_column(F.col("predicate"), rules)
-    f = facts.withColumn("predicate", pred).withColumn("_inverse", P.inverse_column(F.col("predicate"), rules))
+    f = P.fold(facts, rules=rules).withColumn("predicate", F.col("_folded")).drop("_folded")
     turned = F.col("_inverse").isNotNull()
     s, o = F.when(turned, F.col("object")).otherwise(F.col("subject")), F.when(turned, F.col("subject")).otherwise(F.col("object"))
     f = f.withColumn("_s", s).withColumn("_o", o).withColumn("predicate", F.coalesce("_inverse", "predicate"))
@@ -150,8 +150,8 @@ def graph_stats(facts: DataFrame) -> DataFrame:
 
 def deduped(facts: DataFrame) -> DataFrame:
     """Live facts that name one triple stay once, the earliest."""
-    key = Window.partitionBy("subject", P.canonical_column(F.col("predicate")), "object").orderBy(F.asc_nulls_first("valid_from"), "id")
-    live = facts.filter("valid_to IS NULL").withColumn("_k", F.row_number().over(key)).filter("_k = 1").drop("_k")
+    key = Window.partitionBy("subject", "_folded", "object").orderBy(F.asc_nulls_first("valid_from"), "id")
+    live = P.fold(facts.filter("valid_to IS NULL")).withColumn("_k", F.row_number().over(key)).filter("_k = 1").drop("_k", "_folded", "_inverse")
     return live.unionByName(facts.filter("valid_to IS NOT NULL"))
 
 
@@ -211,7 +211,7 @@ def audit(entities: DataFrame, facts: DataFrame, aliases: DataFrame) -> DataFram
 
 def fold_plan(facts: DataFrame) -> DataFrame:
     """Each fact with its folded predicate and what a migration does to it: keep, rewrite, or drop as a twin that folding made."""
-    f = facts.withColumn("folded", P.canonical_column(F.col("predicate")))
+    f = P.fold(facts, "folded").drop("_inverse")
     w = Window.partitionBy("subject", "folded", "object")
     changed = F.col("folded") != F.col("predicate")
     live = f.filter("valid_to IS NULL").withColumn("_k", F.row_number().over(w.orderBy(F.asc_nulls_first("valid_from"), "id"))).withColumn("_any", F.bool_or(changed).over(w))
@@ -235,7 +235,7 @@ def same_entity(a: Column, b: Column) -> Column:
 def split_objects(facts: DataFrame) -> DataFrame:
     """A listed object becomes a fact each, if every part is a reference."""
     parts = F.filter(F.transform(F.split("object", r"\s*,\s*|\s+and\s+"), lambda x: F.trim(F.regexp_replace(x, r"^and\s+", ""))), lambda x: x != "")
-    each = F.when((F.size(parts) > 1) & F.forall(parts, lambda x: reference(x).isNotNull()), parts).otherwise(F.array("object"))
+    each = let(parts, lambda p: F.when((F.size(p) > 1) & F.forall(p, lambda x: reference(x).isNotNull()), p).otherwise(F.array("object")))
     return facts.withColumn("object", F.explode(each))
 
 
@@ -420,8 +420,8 @@ def fold_directions(facts: DataFrame) -> DataFrame:
     Result: id, action (keep, fold, merge), subject, predicate, object, valid_from. Spellings meet, not facts: of each
     (subject, predicate, spelling) the first fact that stays, or else the first that moves, stands for the others."""
     trio = ["subject", "predicate", "key"]
-    own = facts.select("id", F.col("subject").alias("s0"), F.col("predicate").alias("p0"), F.col("object").alias("o0"))
-    f = canonical_triples(facts).join(own, "id").withColumn("moves", (F.col("s0") != F.col("subject")) | (F.col("p0") != F.col("predicate")) | (F.col("o0") != F.col("object")))
+    own = facts.withColumns({"s0": F.col("subject"), "p0": F.col("predicate"), "o0": F.col("object")})
+    f = canonical_triples(own).withColumn("moves", (F.col("s0") != F.col("subject")) | (F.col("p0") != F.col("predicate")) | (F.col("o0") != F.col("object")))
     f = f.withColumn("key", F.lower(F.trim("object"))).withColumn("ref", reference(F.col("object")))
     at = F.struct("valid_from", "id")
     live = f.filter("valid_to IS NULL").groupBy(*trio).agg(F.max("ref").alias("ref"), F.min(F.when(~F.col("moves"), at)).alias("stays"), F.min(F.when(F.col("moves"), at)).alias("moved"), F.min(F.when(F.col("moves"), F.col("valid_from"))).alias("earliest"))

@@ -142,3 +142,13 @@ def test_references_in_a_single_valued_pair(spark):
     held = [("tkt_1", "status", "web-app PR #5", "2024-01-01"), ("tkt_1", "status", "open", "2024-01-02"), ("tkt_1", "status", "api PR #5", None)]
     got = G.consolidate(spark.createDataFrame(held, "subject string, predicate string, object string, valid_from string"), facts(spark, [(1, "tkt_1", "status", "PR #5", "2024-03-01")])).collect()
     assert sorted((r.status, r.object, r.reason) for r in got) == [("invalidated", "open", "single_valued_predicate_took_new_object"), ("skipped", "PR #5", "equivalent_spelling_of_existing")]
+
+
+def test_folding_joins_the_rule_table(spark):
+    """The table that is joined says what the column says, also with overrides and for spellings that it does not list."""
+    spelled = ["Status", "deploys-to", "is source_of", "owned by", "requires", "blocks", "it's odd", "", None, "Fixed_in", "written_by"]
+    for rules in (None, P.Rules(aliases={"requires": "uses"}, inverses={"status": "supports"})):
+        rows = spark.createDataFrame([(p,) for p in spelled], "predicate string")
+        got = P.fold(rows, rules=rules).select("predicate", "_folded", "_inverse", P.canonical_column(F.col("predicate"), rules).alias("want")).collect()
+        inverses = (rules or P.built_in()).inverses
+        assert len(got) == len(spelled) and all(r["_folded"] == r.want and r["_inverse"] == inverses.get(r.want) for r in got)

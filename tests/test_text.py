@@ -119,6 +119,25 @@ def test_queries_share_the_postings_of_their_terms(spark, monkeypatch):
         assert shape(S.scored(terms, index, own, 5, round_terms=rounds)) == shape(top)
 
 
+def test_search_without_an_index_scans_for_the_words_asked(spark, monkeypatch):
+    """No index is built for a few queries; notes and scores are those that an index gives, also in small groups of notes."""
+    n = made_notes(spark, random.Random(9), range(700)).withColumn("content", F.when(F.col("id") % 50 == 1, "Straße łódź Éclair lynx-puma").when(F.col("id") % 50 == 2, "").when(F.col("id") % 50 == 3, F.lit(None)).otherwise(F.col("content")))
+    asked = ["vault cach", "cache caches", "notes-graph tagging", "a-a zebra", "the of", "eclair straß", "lynx-puma vault", "\" '", "?!", "łó", "c v"]
+    terms = S.query_terms(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
+    index, shape = I.indexed(n, buckets=3), lambda df: sorted((r.query_id, r.id, r.n_terms, r.exact, r.matched, round(r.score, 9)) for r in df.collect())
+    want, empty = shape(S.scored(terms, index)), n.limit(0)
+    assert {0, 1, 2, 5, 6, 9} <= {x[0] for x in want}
+    with monkeypatch.context() as m:
+        m.setattr(S, "indexed", None)
+        assert shape(S.scored(terms, n)) == want
+        m.setattr(S, "CELLS", 50)
+        assert shape(S.scored(terms, n)) == want
+        assert S.scored(terms, empty).count() == S.scored(terms.limit(0), n).count() == 0
+    names = terms.select("term", "exact").distinct().withColumn("tno", F.xxhash64("term", "exact"))
+    lists = lambda most: sorted((r.tno, i, w) for r in S.gathered(names, n, most).found.collect() for i, w in zip(r.ids, r.weights))
+    assert lists(3) == lists(1000)
+
+
 def test_blocks_of_vectors_meet_a_few_rows_at_a_time(spark):
     """Two blocks of vectors take memory for a part of their products; the pairs are those of the whole product."""
     rng = np.random.default_rng(5)

@@ -58,6 +58,25 @@ def test_small_chunks_and_full_bits_change_nothing(spark):
     assert sorted(map(tuple, P.collocations(docs, least=4, n_bits=32, chunk=100, runs_chunk=500).collect())) == brute(rows, 4)
 
 
+def test_rare_phrases_of_frequent_pairs_make_no_entries(spark, monkeypatch):
+    """30 words in random order: all 900 pairs are frequent, hardly any of 27,000 triples; entries are those of frequent phrases,
+    and stripes come in blocks, not a row for each prefix."""
+    rng = random.Random(3)
+    rows = [("en", " ".join(f"w{rng.randrange(30)}" for _ in range(500)) + " x y z" * 3) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    made, inner = [], P._mapped
+
+    def counted(texts, make, schema, chunk):
+        out = inner(texts, make, schema, chunk)
+        if "words array" in schema:
+            made.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(P, "_mapped", counted)
+    assert sorted(map(tuple, P.collocations(docs, least=20).collect())) == brute(rows, 20)
+    assert sum(len(r.words) for r in made) < 4000 and len(made) <= 2 * 4 * (P.BITS // P.BLOCK)
+
+
 def test_scores_beyond_64_bits(spark):
     """(1000 a n) div (l r) is exact where the products pass 64 bits."""
     rng = random.Random(5)

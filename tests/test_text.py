@@ -251,6 +251,31 @@ def test_admission_in_arrival_order(spark):
     assert got == {0: False, 1: True, 2: False, 3: True, 4: True}
 
 
+def test_relevance_sends_on_what_can_stay(spark, monkeypatch):
+    """A prompt's best notes are those of a full scoring, in stages too, and no step writes more than its candidates for each prompt."""
+    monkeypatch.setattr(I, "BUCKET", 8)
+    rng = random.Random(4)
+    n = made_notes(spark, rng, range(1500)).union(made_notes(spark, random.Random(4), range(1500, 1600)))
+    index = I.indexed(n)
+    asked = [(i, w, False, 0) for i in range(12) for w in rng.sample(["vault", "ind", "note", "graphs", "tag", "cacheed", "tager", "zebra", "noteing"], 5)]
+    terms = spark.createDataFrame(asked, "query_id long, term string, exact boolean, n_terms int")
+    live = n.filter("id % 17 <> 0").select("id")
+    want = sorted((r.query_id, r.id, round(r.score, 9)) for r in S.scored(terms, index, live, 40).collect())
+    for first in (1, 100):
+        assert sorted((r.query_id, r.id, round(r.score, 9)) for r in S.best_of_any(terms, index, live, 40, first_groups=first).collect()) == want
+    written, before = {}, S.materialize
+
+    def counted(df, what="step"):
+        out = before(df, what)
+        written[what] = max(written.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    prompts = spark.createDataFrame([(i, " ".join(t for q, t, _, _ in asked if q == i)) for i in range(12)], "prompt_id long, prompt string")
+    S.relevant(prompts, n, max_df=1.0, mass=0.1).count()
+    assert max(written.get(w, 0) for w in ("scored", "best", "hit")) <= 12 * S.CANDIDATES
+
+
 def test_admission_writes_no_pairs(spark, monkeypatch):
     """One large group of copies, and groups that chain: the same as one by one, and no table has more rows than there are candidates."""
     rng = np.random.default_rng(3)
